@@ -18,7 +18,7 @@ from . import _exchange as X
 
 # The pre-token pattern of the vocabulary files, its white space written out as Unicode has it
 # (Python's own class also holds U+001C to U+001F).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
