@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, suffix_dedup
+from . import bpe, simhash, suffix_dedup
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -23,12 +23,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks(), digest=True)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), digest=True)
 
 
 def queries() -> dict:
-    return {"op3_byte_bpe": op3_byte_bpe, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op3_byte_bpe": op3_byte_bpe, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
