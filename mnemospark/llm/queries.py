@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, suffix_dedup
+from . import bpe, hpy, simhash, suffix_dedup
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -23,6 +23,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks(), digest=True)
 
 
+def op2_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy.score(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_byte_bpe": op3_byte_bpe, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
