@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hpy, simhash, suffix_dedup
+from . import bpe, decontaminate, hpy, simhash, suffix_dedup, url_filter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -35,9 +35,17 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op6_simhash": op6_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": decontaminate.SQL}
