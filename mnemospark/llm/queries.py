@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hpy, simhash, suffix_dedup, url_filter
+from . import bpe, decontaminate, divergence, hpy, simhash, suffix_dedup, url_filter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -23,6 +23,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks(), digest=True)
 
 
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpy.score(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op6_simhash": op6_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op1_divergence": op1_divergence, "op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op6_simhash": op6_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
