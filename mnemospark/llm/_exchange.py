@@ -82,12 +82,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.mapInArrow(packed, PACKED).repartition(n, "chunk")
 
 
+def rows_of(table: pa.Table) -> pa.Table:
+    """(id, text) of a chunk, in an order that does not depend on how its blobs arrived."""
+    return pa.concat_tables([from_blob(b.as_py()) for b in table.column("blob")]).sort_by([("id", "ascending"), ("text", "ascending")])
+
+
 def unpack(table: pa.Table) -> tuple[list, list]:
-    """Ids and texts of a chunk, in an order that does not depend on how its blobs arrived."""
-    parts = [from_blob(b.as_py()) for b in table.column("blob")]
-    if not parts:
-        return [], []
-    rows = pa.concat_tables(parts).sort_by([("id", "ascending"), ("text", "ascending")])
+    """Ids and texts of a chunk, as lists."""
+    rows = rows_of(table)
     return rows.column("id").to_pylist(), rows.column("text").to_pylist()
 
 
@@ -113,13 +115,29 @@ def answered(shard: int, blobs: dict[int, bytes]) -> pa.Table:
     return pa.table({"chunk": pa.array(list(blobs), pa.int32()), "shard": pa.array([shard] * len(blobs), pa.int32()), "blob": pa.array(list(blobs.values()), pa.binary())})
 
 
+def _lean(f):
+    """After each group, Arrow's pool gives back what it holds: workers share an executor's memory with the JVM."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = f(table)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    def two(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out = f(table, answers)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
 def per_chunk(packed: DataFrame, ask, schema: str = ASKED) -> DataFrame:
-    return packed.groupBy("chunk").applyInArrow(ask, schema)
+    return packed.groupBy("chunk").applyInArrow(_lean(ask), schema)
 
 
 def per_shard(questions: DataFrame, answer, schema: str = ANSWERED) -> DataFrame:
-    return questions.groupBy("shard").applyInArrow(answer, schema)
+    return questions.groupBy("shard").applyInArrow(_lean(answer), schema)
 
 
 def applied(packed: DataFrame, answers: DataFrame, finish, schema: str) -> DataFrame:
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_lean(finish), schema)

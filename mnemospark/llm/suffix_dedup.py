@@ -72,7 +72,7 @@ def anchors(a: np.ndarray, ends: np.ndarray, min_len: int, gram: int) -> tuple[n
     """Positions and hashes of the anchors of documents that lie end to end in ``a``."""
     window, pad = min_len - gram + 1, 2 * min_len
     starts = np.concatenate([[0], ends[:-1]])
-    bad = np.zeros(len(a) + 1, np.int32)  # where no gram of a document long enough starts
+    bad = np.zeros(len(a) + 1, np.int8)  # where no gram of a document long enough starts
     short = np.where(ends - starts < min_len, starts, np.maximum(starts, ends - gram + 1))
     np.add.at(bad, short, 1)
     np.add.at(bad, ends, -1)
@@ -165,8 +165,12 @@ class LogarithmicIndex:
             rows = np.flatnonzero((both.n_left >= k) & (both.n_right >= self.reach - k))
             if len(rows) < 2:
                 continue
-            key = left[k][rows] << 32 | right[self.reach - k][rows]
-            order = np.argsort(key, kind="stable")
+            a, b = left[k], right[self.reach - k]
+            rows = rows[(np.bincount(a[rows])[a[rows]] > 1) & (np.bincount(b[rows])[b[rows]] > 1)]
+            if len(rows) < 2:
+                continue
+            key = a[rows] << 32 | b[rows]
+            order = np.argsort(key)
             new = _firsts(key[order])
             ids = both.ids[rows[order]]
             earliest = np.minimum.reduceat(ids, np.flatnonzero(new))[np.cumsum(new) - 1]
@@ -212,10 +216,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = np.uint32(2 ** (reach + 1) - 1)
 
     def opened(t: pa.Table):
-        ids, texts = X.unpack(t)
-        raw = [(x or "").encode() for x in texts]
-        ends = np.cumsum([len(x) for x in raw]).astype(np.int64)
-        a = np.frombuffer(b"".join(raw), np.uint8)
+        rows = X.rows_of(t)
+        ids = rows.column("id").to_pylist()
+        text = rows.column("text").cast(pa.large_binary()).fill_null(b"").combine_chunks()
+        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+        cut = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        a, ends = np.frombuffer(text.buffers()[2] or b"", np.uint8)[cut[0] : cut[-1]], cut[1:] - cut[0]
         key = np.array([NO_ID if i is None else i for i in ids], np.int64)
         at, h = anchors(a, ends, min_len, gram)
         return ids, a, ends, key, at, h, np.searchsorted(ends, at, side="right")
@@ -254,9 +260,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         starts = np.concatenate([[0], ends[:-1]])[doc]
         n_left, n_right = np.minimum(at - starts, reach).astype(np.uint8), np.minimum(ends[doc] - at - gram, reach).astype(np.uint8)
         around = np.concatenate([np.zeros(24, np.uint8), a, np.zeros(gram + 24, np.uint8)])
-        span = np.arange(24)
-        left = np.where(span < n_left[:, None], around[(at + 23)[:, None] - span], 0).astype(np.uint8)
-        right = np.where(span < n_right[:, None], around[(at + 24 + gram)[:, None] + span], 0).astype(np.uint8)
+        left, right = np.zeros((len(at), 24), np.uint8), np.zeros((len(at), 24), np.uint8)
+        for j in range(reach):
+            left[:, j] = np.where(n_left > j, around[at + (23 - j)], 0)
+            right[:, j] = np.where(n_right > j, around[at + (24 + gram + j)], 0)
         e = Entries(h, left.view(">u8").astype(np.uint64), right.view(">u8").astype(np.uint64), n_left, n_right, key[doc])
         order = np.lexsort([e.ids, e.n_right, e.n_left, *e.right.T, *e.left.T, e.h])
         e, flag = e.take(order), flag[order]
@@ -302,7 +309,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shard = t.column("shard")[0].as_py()
         if shard < 0:
             return t.select(["chunk", "shard", "blob"])
-        words = lambda c: np.frombuffer(b"".join(c.to_pylist()), ">u8").reshape(-1, 3).astype(np.uint64)
+        words = lambda c: np.frombuffer(b"".join(x.buffers()[1] for x in c.chunks), ">u8").reshape(-1, 3).astype(np.uint64)
         parts = [X.from_blob(b.as_py()) for b in t.column("blob")]
         sizes = [p.num_rows for p in parts]
         p = pa.concat_tables(parts)
@@ -332,12 +339,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for k in range(reach + 1):
                 hit = (mask >> np.uint32(k) & np.uint32(1)).astype(bool) & (e.n_left[which] >= k) & (e.n_right[which] >= reach - k)
                 marks[at[hit] - k] = 1
-        run = np.cumsum(marks, dtype=np.int64)
-        gone = run[:-1] > 0
-        gone[min_len:] = run[min_len:-1] > run[: -1 - min_len]
         out = []
         for i, (lo, hi) in zip(ids, zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())):
-            g = gone[lo:hi]
+            run = np.cumsum(marks[lo:hi], dtype=np.int32)
+            g = run > 0
+            g[min_len:] = run[min_len:] > run[:-min_len]
             kept = a[lo:hi][~g].tobytes()
             spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
             out.append((i, hi - lo, int(g.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "ignore")))
