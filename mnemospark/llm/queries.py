@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, hpy, ranking, simhash, suffix_dedup, url_filter
+from . import bpe, decontaminate, divergence, hpy, ranking, simhash, suffix_dedup, toxicity, url_filter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -35,6 +35,10 @@ def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_divergence": op1_divergence, "op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op4_bradley_terry": op4_bradley_terry, "op6_simhash": op6_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op1_divergence": op1_divergence, "op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op4_bradley_terry": op4_bradley_terry, "op5_weak_supervision": op5_weak_supervision, "op6_simhash": op6_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
