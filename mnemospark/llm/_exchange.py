@@ -63,8 +63,8 @@ def from_blob(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk, blob): documents dealt evenly to chunks by a hash of the row, compressed."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk, blob): documents dealt evenly to chunks by a hash of the row, compressed; ``carry``: columns that go along as carry_0, carry_1, ..."""
     n = width(docs.sparkSession)
 
     def packed(batches):
@@ -74,16 +74,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             ends = np.flatnonzero(np.diff(chunk[order])) + 1
             for rows in np.split(order, ends) if len(order) else ():
                 part = b.take(pa.array(rows))
-                blob = to_blob(id=part.column(1), text=part.column(2))
+                blob = to_blob(**{c: part.column(k) for k, c in enumerate(names, 1)})
                 yield pa.RecordBatch.from_arrays([pa.array([chunk[rows[0]]], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "blob"])
 
+    names = ("id", "text", *(f"carry_{k}" for k in range(len(carry))))
     i, t = F.col(id_col).cast("long"), F.col(text_col)
-    rows = docs.select(F.pmod(F.xxhash64(i, t), F.lit(n)).cast("int").alias("chunk"), i.alias("id"), t.alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(i, t), F.lit(n)).cast("int").alias("chunk"), i.alias("id"), t.alias("text"), *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)])
     return rows.mapInArrow(packed, PACKED).repartition(n, "chunk")
 
 
 def rows_of(table: pa.Table) -> pa.Table:
-    """(id, text) of a chunk, in an order that does not depend on how its blobs arrived."""
+    """(id, text and what is carried) of a chunk, in an order that does not depend on how its blobs arrived."""
     return pa.concat_tables([from_blob(b.as_py()) for b in table.column("blob")]).sort_by([("id", "ascending"), ("text", "ascending")])
 
 

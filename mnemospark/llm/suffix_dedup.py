@@ -197,15 +197,16 @@ class LogarithmicIndex:
         return e.take(_firsts(e.h, *e.right.T, *e.left.T, e.n_left, e.n_right))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, gram: int = 26, digest: bool = False, batch: int = 1 << 16, hot: int = 4096) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, gram: int = 26, digest: bool = False, batch: int = 1 << 16, hot: int = 4096, clean: bool = False) -> DataFrame:
     """Cut each byte that a ``min_len``-byte string covers which also starts in a document with a smaller id.
 
     One row per input row: ``(doc_id, n_bytes, n_removed, n_spans, kept)``, where
     ``kept`` is the text left (bytes of a character cut in part are left out), or with
-    ``digest`` its SHA-256 over the very bytes as ``kept_sha256``.  Texts are UTF-8
+    ``digest`` its SHA-256 over the very bytes as ``kept_sha256``, or with ``clean`` the row as it
+    was but for its text, which is what was kept (a null text becomes empty).  Texts are UTF-8
     bytes; a null text is empty.  Strings are judged on the input.  Rows of equal
     id do not cut each other; rows with a null id count as last and do not cut each
-    other.  Texts under ``min_len`` bytes stay whole.  Other columns are not read.
+    other.  Texts under ``min_len`` bytes stay whole.  Other columns are not read, but by ``clean``.
     An anchor held by more than ``hot`` documents is dealt to several shards; that
     changes no result.
     """
@@ -214,6 +215,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reach = min_len - gram
     half = reach // 2
     whole = np.uint32(2 ** (reach + 1) - 1)
+    carry, docs_schema = tuple(c for c in docs.columns if clean and c != text_col), docs.schema
 
     def opened(t: pa.Table):
         rows = X.rows_of(t)
@@ -224,7 +226,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         a, ends = np.frombuffer(text.buffers()[2] or b"", np.uint8)[cut[0] : cut[-1]], cut[1:] - cut[0]
         key = np.array([NO_ID if i is None else i for i in ids], np.int64)
         at, h = anchors(a, ends, min_len, gram)
-        return ids, a, ends, key, at, h, np.searchsorted(ends, at, side="right")
+        return rows, ids, a, ends, key, at, h, np.searchsorted(ends, at, side="right")
 
     def distinct(h, doc, key):
         """Sorted (shard, 32 bits of hash), each once; the number of its documents here; which is each anchor's."""
@@ -241,7 +243,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return np.searchsorted(code >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
 
     def ask_anchor(t: pa.Table) -> pa.Table:
-        _, _, _, key, _, h, doc = opened(t)
+        _, _, _, _, key, _, h, doc = opened(t)
         code, docs_of, _ = distinct(h, doc, key)
         cut, low, many = shards(code), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(docs_of, 255).astype(np.uint8)
         return X.asked(t.column("chunk")[0].as_py(), {s: X.to_blob(step=np.diff(low[i:j], prepend=np.uint32(0)), docs=many[i:j]) for s, (i, j) in enumerate(zip(cut, cut[1:])) if j > i})
@@ -291,7 +293,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return out
 
     def ask_strings(t: pa.Table, answers: pa.Table) -> pa.Table:
-        _, a, ends, key, at, h, doc = opened(t)
+        _, _, a, ends, key, at, h, doc = opened(t)
         chunk = t.column("chunk")[0].as_py()
         code, docs_of, which = distinct(h, doc, key)
         flag = np.maximum(flags(code, answers), docs_of > 1)[which]
@@ -323,7 +325,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return X.answered(shard, dict(zip(t.column("chunk").to_pylist(), (X.to_blob(mask=m) for m in np.split(mask, np.cumsum(sizes)[:-1])))))
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, a, ends, key, at, h, doc = opened(t)
+        table, ids, a, ends, key, at, h, doc = opened(t)
         blobs = dict(zip(answers.column("shard").to_pylist(), (b.as_py() for b in answers.column("blob"))))
         mine = [s for s in blobs if s < 0]
         flag = X.from_blob(blobs[mine[0]]).column("flag").to_numpy() if mine else np.zeros(len(at), np.uint8)
@@ -347,11 +349,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kept = a[lo:hi][~g].tobytes()
             spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
             out.append((i, hi - lo, int(g.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "ignore")))
+        if clean:
+            kept = pa.array([r[4] for r in out], pa.string())
+            own = {c: table.column(f"carry_{k}") for k, c in enumerate(carry)}
+            return pa.table({f.name: kept if f.name == text_col else own[f.name] for f in docs_schema})
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept")
         kinds = (pa.int64(),) * 4 + (pa.string(),)
         return pa.table({c: pa.array([r[k] for r in out], kind) for k, (c, kind) in enumerate(zip(names, kinds))})
 
-    packed = X.pack(docs, id_col, text_col)
+    packed = X.pack(docs, id_col, text_col, carry)
     known = X.per_shard(X.per_chunk(packed, ask_anchor), answer_anchor)
     questions = X.applied(packed, known, ask_strings, X.ASKED)
-    return X.applied(packed, X.per_shard(questions, answer_strings), finish, DIGEST if digest else FULL)
+    return X.applied(packed, X.per_shard(questions, answer_strings), finish, docs.schema if clean else DIGEST if digest else FULL)

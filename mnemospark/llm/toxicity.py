@@ -160,16 +160,8 @@ class LabelModel:
         return L.sigmoid(self.log_odds(fired))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MAX_LABELLED) -> DataFrame:
-    """Score of every whole text; ``predicted`` is 1 from 0.7 on.
-
-    One row per input row: ``(doc_id, held_out, score, predicted)``.  Labels are used of at most ``most`` labelled
-    ids outside the held-out fold (crc32 of the id as text mod ``folds`` is ``held``): to mine stems and to anchor the
-    label model.  Rows with a null id are never held out or learnt from.  Null and empty texts have no
-    votes but that nothing was found.  Without labels of both kinds only the fixed lexicon and the patterns
-    vote, at even odds against the prior of one in ten.  Of several labels of an id the greatest counts.
-    Repeated rows are scored each; an empty table gives no rows; other columns are not read.
-    """
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MAX_LABELLED):
+    """A function from a list of texts to their scores, learnt as classify() says."""
     from ._exchange import written
 
     chosen = L.labelled(docs, labels, id_col, label_col, folds, held, most)
@@ -212,11 +204,40 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         model = LabelModel(guess, np.r_[np.full(len(known), 0.9), np.full(len(PATTERNS), 0.1), 0.02], rounds=1)
         model.prior, weights = 0.1, np.eye(1, 5 + width)[0]
 
+    def score(texts: list) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
+        return L.sigmoid(features(model, *ballots(texts)) @ weights)
+
+    return score
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MAX_LABELLED) -> DataFrame:
+    """Score of every whole text; ``predicted`` is 1 from 0.7 on.
+
+    One row per input row: ``(doc_id, held_out, score, predicted)``.  Labels are used of at most ``most`` labelled
+    ids outside the held-out fold (crc32 of the id as text mod ``folds`` is ``held``): to mine stems and to anchor the
+    label model.  Rows with a null id are never held out or learnt from.  Null and empty texts have no
+    votes but that nothing was found.  Without labels of both kinds only the fixed lexicon and the patterns
+    vote, at even odds against the prior of one in ten.  Of several labels of an id the greatest counts.
+    Repeated rows are scored each; an empty table gives no rows; other columns are not read.
+    """
+    score = fit(docs, labels, id_col, text_col, label_col, folds, held, most)
+
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_pylist()
-            fired, counts = ballots(b.column(1).to_pylist())
-            score = L.sigmoid(features(model, fired, counts) @ weights) if ids else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(L.held_out(ids, folds, held), pa.bool_()), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            got = score(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(L.held_out(b.column(0).to_pylist(), folds, held), pa.bool_()), pa.array(got, pa.float64()), pa.array((got >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
+
+
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MAX_LABELLED) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is under 0.7."""
+    score, at = fit(docs, labels, id_col, text_col, label_col, folds, held, most), docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(score(b.column(at).to_pylist()) < THRESHOLD, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
