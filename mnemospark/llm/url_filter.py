@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._exchange import written
+
 # Verdict, host, path; a rule fits its host and every subdomain.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 DEPTH = 4
@@ -45,25 +47,21 @@ def grams(url: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - DEPTH + 1), lambda i: F.substring(text, i, DEPTH))
 
 
-def model(seen: DataFrame, asked: DataFrame) -> DataFrame:
-    """(gram, ratio): log-probability of each asked gram's last symbol after the others, accepted less rejected.
+def model(seen: DataFrame) -> DataFrame:
+    """(gram, ratio): log-probability of a gram's last symbol after the others, accepted less rejected.
 
-    ``seen``: (gram, verdict, n).  Both tables have at most 39^4 grams.
+    ``seen``: (gram, allow, block) with how often it occurs in URLs of either kind, or in neither.  At most 39^4 grams.
     """
-    logs = []
-    for verdict in ("allow", "block"):
-        own, table = seen.where(F.col("verdict") == verdict), asked.select("gram")
-        p = F.lit(1 / SYMBOLS)
-        for k in range(1, DEPTH + 1):
-            end, context = F.substring("gram", DEPTH - k + 1, k), F.substring("gram", DEPTH - k + 1, k - 1)
-            counts = own.groupBy(end.alias("end")).agg(F.sum("n").alias(f"n{k}"))
-            contexts = counts.groupBy(F.substring("end", 1, k - 1).alias("context")).agg(F.sum(f"n{k}").alias(f"all{k}"), F.count("*").alias(f"kinds{k}"))
-            table = table.withColumn("end", end).withColumn("context", context).join(counts, "end", "left").join(contexts, "context", "left").drop("end", "context")
-            p = F.when(F.col(f"all{k}").isNull(), p).otherwise((F.coalesce(f"n{k}", F.lit(0)) + F.col(f"kinds{k}") * p) / (F.col(f"all{k}") + F.col(f"kinds{k}")))
-            table = table.withColumn("p", p).drop(f"n{k}", f"all{k}", f"kinds{k}")
-            p = F.col("p")
-        logs.append(table.select("gram", F.log("p").alias(verdict)))
-    return reduce(lambda a, b: a.join(b, "gram"), logs).select("gram", (F.col("allow") - F.col("block")).alias("ratio"))
+    kinds = ("allow", "block")
+    table = seen.select("gram", *[F.lit(1 / SYMBOLS).alias(f"p_{v}") for v in kinds])
+    for k in range(1, DEPTH + 1):
+        end, context = F.substring("gram", DEPTH - k + 1, k), F.substring("gram", DEPTH - k + 1, k - 1)
+        counts = seen.groupBy(end.alias("end")).agg(*[F.sum(v).alias(f"n_{v}") for v in kinds])
+        contexts = counts.groupBy(F.substring("end", 1, k - 1).alias("context")).agg(*[F.sum(f"n_{v}").alias(f"all_{v}") for v in kinds], *[F.count_if(F.col(f"n_{v}") > 0).alias(f"kinds_{v}") for v in kinds])
+        table = table.withColumn("end", end).withColumn("context", context).join(counts, "end").join(contexts, "context")
+        smoothed = [F.when(F.col(f"all_{v}") == 0, F.col(f"p_{v}")).otherwise((F.col(f"n_{v}") + F.col(f"kinds_{v}") * F.col(f"p_{v}")) / (F.col(f"all_{v}") + F.col(f"kinds_{v}"))).alias(f"p_{v}") for v in kinds]
+        table = table.select("gram", *smoothed)
+    return table.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, folds: int = 5) -> DataFrame:
@@ -72,19 +70,20 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     One row per input row: ``(page_id, host, path, rule, verdict, score)``; the verdict is the longest
     rule's, else ``allow`` where score (accepted less rejected log-likelihood per symbol) reaches the
     threshold, else ``block``.  A null URL, or one without ``://``, has empty host and path and is scored
-    as the symbols it has.  With no URL of one kind to learn from, that kind's model is uniform.  Null
-    ids and repeated rows are kept; an empty table gives no rows; other columns are not read.
+    as the symbols it has.  With no URL of one kind to learn from, that kind's model is uniform.  A URL counts once, however
+    many rows have it.  Null ids and repeated rows are kept; an empty table gives no rows; other columns are not read.
     """
-    host, path = parts(F.col(url_col))
+    key = F.coalesce(F.col(url_col), F.lit(""))
+    host, path = parts(F.col("url"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    own = F.pmod(F.crc32(F.encode(F.coalesce("url", F.lit("")), "UTF-8")), F.lit(folds))
-    pieces = rows.select("row", "verdict", (own == 0).alias("aside"), F.explode(grams(F.col("url"))).alias("gram"))
-    seen = pieces.where(F.col("verdict").isNotNull() & ~F.col("aside")).groupBy("gram", "verdict").agg(F.count("*").alias("n"))
-    ratios = model(seen, pieces.select("gram").distinct())
-    scored = pieces.join(F.broadcast(ratios), "gram").groupBy("row").agg(F.avg("ratio").alias("score"), F.first("verdict").alias("ruled"), F.first("aside").alias("aside"))
-    means = scored.where(F.col("aside") & F.col("ruled").isNotNull()).agg(F.avg(F.when(F.col("ruled") == "allow", F.col("score"))).alias("a"), F.avg(F.when(F.col("ruled") == "block", F.col("score"))).alias("b"))
-    threshold = means.select(F.coalesce((F.col("a") + F.col("b")) / 2, F.lit(0.0)).alias("threshold"))
-    passed = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
-    return rows.join(scored.select("row", "score"), "row").join(F.broadcast(threshold)).select("page_id", "host", "path", "rule", F.coalesce("verdict", passed).alias("verdict"), F.round("score", 9).alias("score"))
+    split = lambda df: df.select("*", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"))
+    urls = written(split(pages.select(key.alias("url")).distinct()).select("url", "ruled", (F.crc32(F.encode("url", "UTF-8")) % folds == 0).alias("aside")))
+    pieces = urls.select("*", F.explode(grams(F.col("url"))).alias("gram"))
+    learnt = lambda v: F.count_if((F.col("ruled") == v) & ~F.col("aside")).alias(v)
+    ratios = written(model(written(pieces.groupBy("gram").agg(learnt("allow"), learnt("block")))))
+    scored = written(pieces.join(F.broadcast(ratios), "gram").groupBy("url", "ruled", "aside").agg(F.avg("ratio").alias("score")))
+    mean = lambda v: F.avg(F.when(F.col("ruled") == v, F.col("score")))
+    a, b = scored.where("aside").agg(mean("allow"), mean("block")).first()
+    passed = F.when(F.col("score") >= F.lit(0.0 if a is None or b is None else (a + b) / 2), "allow").otherwise("block")
+    rows = split(pages.select(F.col(id_col).alias("page_id"), key.alias("url")))
+    return rows.join(scored.select("url", "score"), "url").select("page_id", "host", "path", "rule", F.coalesce("ruled", passed).alias("verdict"), F.round("score", 9).alias("score"))
