@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._exchange import written
+from ._exchange import width, written
 
 # Verdict, host, path; a rule fits its host and every subdomain.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -77,7 +77,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = parts(F.col("url"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     split = lambda df: df.select("*", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"))
-    urls = written(split(pages.select(key.alias("url")).distinct()).select("url", "ruled", (F.crc32(F.encode("url", "UTF-8")) % folds == 0).alias("aside")))
+    distinct = pages.select(key.alias("url")).distinct().repartition(width(pages.sparkSession), "url")  # few bytes, but each becomes many grams
+    urls = written(split(distinct).select("url", "ruled", (F.crc32(F.encode("url", "UTF-8")) % folds == 0).alias("aside")))
     pieces = urls.select("*", F.explode(grams(F.col("url"))).alias("gram"))
     learnt = lambda v: F.count_if((F.col("ruled") == v) & ~F.col("aside")).alias(v)
     ratios = written(model(written(pieces.groupBy("gram").agg(learnt("allow"), learnt("block")))))
