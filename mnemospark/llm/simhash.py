@@ -128,7 +128,7 @@ def plan(fps: DataFrame, distance: int, choices: tuple[int, ...] = (2, 3, 4)) ->
             e[0] = 1
             for b in part:
                 e[1:] += e[:-1] * odds[b]
-            costs.append([0.0] + [pairs.get(at, 0.0) * e[: t + 1].sum() + 4.0 * n * comb(len(part), t) for t in range(distance + 1)])
+            costs.append([0.0] + [pairs.get(at, 0.0) * e[: t + 1].sum() + 4.0 * max(n, 1) * comb(len(part), t) for t in range(distance + 1)])
             at += 1
         cost, ts = allot(costs, distance - len(layout) + 1)
         found.append((cost, [(part, t) for part, t in zip(layout, ts) if t >= 0]))
@@ -156,6 +156,9 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     dealt = rows.select("key", "fp", F.explode(meets).alias("m")).select(F.xxhash64("key", "m.i", "m.j").alias("cell"), "fp")
     n = X.width(fps.sparkSession)
 
+    def differing(a, b):
+        return np.bitwise_count((a ^ b).view(np.uint64))  # of a negative number it would count the bits of its magnitude
+
     def forest(fp: np.ndarray):
         top = np.arange(len(fp))
 
@@ -166,7 +169,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
             return i
 
         for i in range(1, len(fp)):
-            for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= distance):
+            for j in np.flatnonzero(differing(fp[:i], fp[i]) <= distance):
                 x, y = root(i), root(j)
                 if x != y:
                     top[max(x, y)] = min(x, y)
@@ -181,7 +184,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
             size = ends - starts
             a, b = [], []
             two = starts[size == 2]  # most cells
-            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
+            near = two[differing(fp[two], fp[two + 1]) <= distance]
             a.extend(fp[near].tolist())
             b.extend(fp[near + 1].tolist())
             for i, j in zip(starts[size > 2], ends[size > 2]):
