@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, hpy, ranking, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, divergence, fixity, hpy, ranking, simhash, suffix_dedup, toxicity, url_filter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -47,6 +47,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.replicas(table(spark, sf_dir, "pages"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -56,8 +60,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_divergence": op1_divergence, "op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op4_bradley_terry": op4_bradley_terry, "op5_weak_supervision": op5_weak_supervision, "op6_simhash": op6_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op1_divergence": op1_divergence, "op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op4_bradley_terry": op4_bradley_terry, "op5_weak_supervision": op5_weak_supervision, "op6_simhash": op6_simhash, "op7_merkle_fixity": op7_merkle_fixity, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.SQL}
+    return {"op7_merkle_fixity": fixity.SQL, "op10_decontaminate": decontaminate.SQL}
