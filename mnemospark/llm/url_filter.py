@@ -77,9 +77,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = parts(F.col("url"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     split = lambda df: df.select("*", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"))
-    distinct = pages.select(key.alias("url")).distinct().repartition(width(pages.sparkSession), "url")  # few bytes, but each becomes many grams
-    urls = written(split(distinct).select("url", "ruled", (F.crc32(F.encode("url", "UTF-8")) % folds == 0).alias("aside")))
-    pieces = urls.select("*", F.explode(grams(F.col("url"))).alias("gram"))
+    urls = written(split(pages.select(key.alias("url")).distinct()).select("url", "ruled", (F.crc32(F.encode("url", "UTF-8")) % folds == 0).alias("aside")))
+    # few bytes, so one task would read them all, but each becomes many grams
+    pieces = urls.repartition(width(pages.sparkSession), "url").select("*", F.explode(grams(F.col("url"))).alias("gram"))
     learnt = lambda v: F.count_if((F.col("ruled") == v) & ~F.col("aside")).alias(v)
     ratios = written(model(written(pieces.groupBy("gram").agg(learnt("allow"), learnt("block")))))
     scored = written(pieces.join(F.broadcast(ratios), "gram").groupBy("url", "ruled", "aside").agg(F.avg("ratio").alias("score")))
