@@ -119,4 +119,4 @@ def with_views(sql: str, *names: str) -> str:
     wanted = [v for n in names for v in (*NEEDS.get(n, ()), n)]
     head = ",\n".join(f"{v} as ({VIEWS[v]})" for v in dict.fromkeys(wanted))
     glue = ",\n" if sql.lstrip().startswith(",") else "\n"
-    return f"with {head}{glue}{sql.lstrip().removeprefix(',')}"
+    return f"with recursive {head}{glue}{sql.lstrip().removeprefix(',')}"

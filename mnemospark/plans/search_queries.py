@@ -214,7 +214,12 @@ def optimal_eps(spark, d):
     return C.optimal_eps(X.memories(spark, d), DIM).select(F.round("eps", 6).alias("eps"))
 
 
-@query(None)
+@query(""", c as materialized (select a.id src, b.id dst from memories a join memories b on a.id <> b.id and list_distance(a.vector, b.vector) <= 1.15),
+core as materialized (select src id from c group by 1 having count(*) >= 3), e as materialized (select src, dst from c where src in (from core) and dst in (from core)),
+r as (select id, id top from core union select r.id, e.dst from r join e on e.src = r.top), root as materialized (select id, min(top) top from r group by 1),
+num as materialized (select id, dense_rank() over (order by top) - 1 label from root),
+edge as (select src id, min(dst) core from c where dst in (from core) and src not in (from core) group by 1)
+select m.id, coalesce(n.label, x.label, -1)::int label from memories m left join num n using (id) left join edge on edge.id = m.id left join num x on x.id = edge.core""", "memories")
 def dbscan(spark, d):
     return C.dbscan(X.memories(spark, d), DIM, 1.15, 4)
 

@@ -78,17 +78,33 @@ def dedup_hash(spark, d):
     return M.hash_dedup(X.texts(spark, d))
 
 
-@query(None)
+def greedy_sql(rows: str, limit: float) -> str:
+    """CTEs that end in ``greedy`` (id, kept, duplicate_of): rows in order of id, by recursion over the list of those kept."""
+    return f"""n as (select id, vector, row_number() over (order by id) i from {rows}),
+p as materialized (select a.i, b.i j, a.id, b.id jd, list_distance(a.vector, b.vector) ** 2 s from n a join n b on b.i < a.i and list_distance(a.vector, b.vector) ** 2 < {limit}),
+l as materialized (select n.i, coalesce(list(p.j) filter (p.j is not null), []) js from n left join p using (i) group by 1),
+g as (select 0::bigint i, []::bigint[] kept union all select g.i + 1, case when list_has_any(kept, js) then kept else list_append(kept, g.i + 1) end from g join l on l.i = g.i + 1),
+k as (select unnest(kept) i from (select kept from g order by i desc limit 1)),
+greedy as (select n.id, n.i in (from k) kept, d duplicate_of from n left join (select p.id, arg_min(jd, (s, jd)) d from p where j in (from k) group by 1) q on q.id = n.id and n.i not in (from k))
+"""
+
+
+@query(", " + greedy_sql("memories", 1.25) + "select * from greedy", "memories")
 def dedup_semantic(spark, d):
     return M.semantic_dedup(X.memories(spark, d), DIM, 1.25)
 
 
-@query(None)
+ADDED = MV.rstrip() + ", good as (select id, text, vector from verdicts where not f), canon as (select id, min(id) over (partition by text) c from good), firsts as (select id, vector from good join canon using (id) where id = c),\n" + greedy_sql("firsts", 1.25).rstrip() + """,
+made as (select v.id, case when f then -1 else coalesce(duplicate_of, c) end result_id, case when f then 'unreliable' when c <> v.id then 'exact' when duplicate_of is not null then 'semantic' else 'added' end reason from verdicts v left join canon using (id) left join greedy on greedy.id = c)
+"""
+
+
+@query(ADDED + "select * from made", "memories")
 def add_memory_decision(spark, d):
     return M.add_decision(X.memories(spark, d), DIM, 1.25)
 
 
-@query(None)
+@query(ADDED + "select id, result_id from made", "memories")
 def batch_add_ids(spark, d):
     return M.add_decision(X.memories(spark, d), DIM, 1.25).select("id", "result_id")
 

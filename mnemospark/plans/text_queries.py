@@ -353,7 +353,9 @@ def manifest_diff(spark, d):
     return I.manifest_diff(before, now)
 
 
-@query(None)
+@query(verdicts_sql("cleaned").replace(", base as", f", cleaned as (select id, {sanitize_sql('text')} \"text\" from texts), base as", 1) + f""", parts as (select id, {SENTENCES('"text"')} s from verdicts where "text" <> '' and not f and not regexp_matches("text", {q(T.TAG)})),
+chunks as (select id, g::int g, array_to_string(s[g * 3 + 1 : g * 3 + 3], ' ') chunk from (select id, s, unnest(range(0, (len(s) + 2) // 3)) g from parts))
+select sha256(chunk) content_hash, arg_min(id, (id, g)) id, arg_min(g, (id, g)) chunk_index from chunks group by 1""", "texts")
 def holo_add(spark, d):
     clean = X.texts(spark, d).select("id", T.sanitize(F.col("text")).alias("text"))
     good = clean.where((F.col("text") != "") & ~T.has_tags(F.col("text")) & ~T.verdict(F.col("text"))["is_flagged"])
