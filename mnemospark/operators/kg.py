@@ -214,3 +214,12 @@ def extract_skills(df: DataFrame) -> DataFrame:
     make = lambda names, p, kind, c: F.transform(names, lambda n: _triple(F.col("skill"), F.lit(p), n, c, F.lit("skill"), F.lit(kind)))
     own = F.array(_triple(F.lit("agent"), F.lit("has_skill"), F.col("skill"), 1.0, F.lit("agent"), F.lit("skill")))
     return _flat(rows, [own, make(commands, "has_command", "other", 0.9), make(T.entities(F.col("text"), "service"), "uses_service", "service", 0.8)])
+
+
+def build(memory: DataFrame | None = None, tools: DataFrame | None = None, tasks: DataFrame | None = None, daily: DataFrame | None = None, skills: DataFrame | None = None) -> DataFrame:
+    """All triples of files (source_file, text) by kind, each once whatever its case; the most certain stays."""
+    from .maintenance import union_all
+
+    made = [f(df) for f, df in ((extract_memory, memory), (extract_tools, tools), (extract_tasks, tasks), (extract_daily, daily), (extract_skills, skills)) if df is not None]
+    rows = union_all(made).withColumn("seq", F.struct((-F.col("confidence")).alias("c"), "source_file", "subject", "predicate", "object"))
+    return dedup(rows).drop("seq")

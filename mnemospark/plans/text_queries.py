@@ -320,12 +320,33 @@ def kg_extract_tasks(spark, d):
     return K.extract_tasks(X.texts(spark, d))
 
 
-@query(None)
+def entities_sql(kind: str, c: str) -> str:
+    found = [f"regexp_extract_all({c}, {q('(?i)' + p)}, 1)" for p in T.ENTITY_PATTERNS[kind]] + ["[]"]
+    return f"list_sort(list_distinct(list_transform(list_filter(list_concat({', '.join(found)}), lambda x: x <> ''), lambda x: {normalize_sql('x')})))"
+
+
+LINES = f", ll as (select id, source_file, i, {STRIP('x')} x from (select id, source_file, unnest(string_split_regex(text, '\\r?\\n')) x, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) i from texts)), lines as (select * from ll where x <> '')\n"
+DONE = "(?i)^(" + "|".join(K.VERBS[:8]) + ")s?\\s+(.+)$"
+DAILY = LINES.rstrip() + f""", st as (select *, last_value(case when contains(lower(x), 'conversation summary') then 1 when x like '## %' then 0 end ignore nulls) over (partition by id order by i) s from lines),
+d as (select source_file, lower(regexp_extract(x, {q(DONE)}, 1)) predicate, {normalize_sql(f"regexp_extract(x, {q(DONE)}, 2)")} obj from st where s = 1 and not contains(lower(x), 'conversation summary'))
+select source_file, 'agent' subject, predicate, obj "object", 'agent' subject_type, {SUBJECT_SQL.replace('name', 'obj')} object_type, 0.6::double confidence from d where predicate <> '' and length(obj) > 2"""
+
+
+@query(DAILY, "texts")
 def kg_extract_daily(spark, d):
     return K.extract_daily(X.texts(spark, d))
 
 
-@query(None)
+TITLE = r"##\s+(?:Tool|Script)[:\s]+([^\(]+)"
+TOOLS = LINES.rstrip() + f""", st as (select *, last_value(case when x like '## %' and regexp_matches(x, {q(TITLE)}) then {normalize_sql(f"regexp_extract(x, {q(TITLE)}, 1)")} end ignore nulls) over (partition by id order by i) tool from lines),
+t as (select *, list_transform(string_split(x, '|'), lambda y: {STRIP('y')}) p from st where tool <> ''),
+f as (select source_file, tool, 'implemented_in' predicate, unnest({entities_sql('file', 'x')}[1:3]) o, 'file' ot, 0.9 c from t
+  union all select source_file, tool, 'uses_service', unnest({entities_sql('service', 'x')}[1:2]), 'service', 0.8 from t
+  union all select source_file, tool, 'has_command', {normalize_sql('p[2]')}, 'other', 0.8 from t where len(p) >= 3 and p[2] <> '')
+select source_file, tool subject, predicate, o "object", 'tool' subject_type, ot object_type, c::double confidence from f"""
+
+
+@query(TOOLS, "texts")
 def kg_extract_tools(spark, d):
     return K.extract_tools(X.texts(spark, d))
 
