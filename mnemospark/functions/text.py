@@ -149,9 +149,46 @@ def is_session_log(text: Column) -> Column:
     return F.substring(text, 1, 200).rlike(SESSION) | F.substring(text, 1, 500).rlike(SESSION_KEY)
 
 
-def _matches(text: Column, categories: list[str]) -> Column:
-    hits = [F.when(text.rlike("(?i)" + p), F.struct(F.lit(c).alias("category"), F.lit(p).alias("pattern"))) for c in categories for p in PATTERNS[c]]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+def needles(pattern: str) -> list[list[str]]:
+    """Lists of strings of which a match of the pattern holds one each, whatever their case: a cheap test before the pattern itself."""
+    import re._parser as sre
+
+    def of(tokens) -> list[list[str]]:
+        out, run = [], ""
+        for op, arg in [*tokens, (None, None)]:
+            if op is sre.LITERAL:
+                run += chr(arg).lower()
+                continue
+            if len(run) > 1 or run == "<":
+                out.append([run])
+            run = ""
+            if op is sre.SUBPATTERN:
+                out += of(arg[3])
+            elif op is sre.BRANCH:
+                each = [max(of(b), key=lambda x: min(map(len, x)), default=None) for b in arg[1]]
+                if all(each):
+                    out.append(sorted({w for ws in each for w in ws}))
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+                out += of(arg[2])
+        return out
+
+    return of(sre.parse(pattern))
+
+
+def _found(text: Column, low: Column, pattern: str) -> Column:
+    may = F.lit(True)
+    for words in sorted(needles(pattern), key=lambda ws: (len(ws), -min(map(len, ws)))):  # the fewest tests first: most texts fail them
+        may = may & _any(low, words)
+    return may & text.rlike(pattern)
+
+
+def _matches(text: Column, low: Column, categories: list[str]) -> Column:
+    """The patterns that a text matches; ``low`` is the text in lower case."""
+
+    def hit(category: str, pattern: str) -> Column:
+        return F.when(_found(text, low, "(?i)" + pattern), F.struct(F.lit(category).alias("category"), F.lit(pattern).alias("pattern")))
+
+    return F.filter(F.array(*[hit(c, p) for c in categories for p in PATTERNS[c]]), lambda x: x.isNotNull())
 
 
 def let(c: Column, f) -> Column:
@@ -183,9 +220,20 @@ def verdict(text: Column) -> Column:
             .otherwise(scored(h["other"]))
         )
 
-    certain = text.rlike(SYSINFO) | text.rlike(FETCH) | text.rlike(ECHO)
+    whole = F.coalesce(text, F.lit(""))
+
+    def first(low: Column) -> Column:
+        certain = _found(whole, low, SYSINFO) | _found(whole, low, FETCH) | _found(whole, low, ECHO)
+        return F.struct(_matches(whole, low, [TERMINAL]).alias("terminal"), certain.alias("certain"))
+
     scan = F.when(is_session_log(text), assistant_text(text)).otherwise(text)
-    return let(F.coalesce(scan, F.lit("")), lambda t: let(F.struct(F.coalesce(_matches(text, [TERMINAL]), F.array()).alias("terminal"), F.coalesce(certain, F.lit(False)).alias("certain"), _matches(t, [TAGS]).alias("tags"), _matches(t, rest).alias("other")), judged))
+
+    def found(x: Column) -> Column:
+        t, low = x["scan"], x["low"]
+        return F.struct(x["t"]["terminal"].alias("terminal"), x["t"]["certain"].alias("certain"), _matches(t, low, [TAGS]).alias("tags"), _matches(t, low, rest).alias("other"))
+
+    both = let(F.coalesce(scan, F.lit("")), lambda t: F.struct(t.alias("scan"), F.lower(t).alias("low"), let(F.lower(whole), first).alias("t")))
+    return let(let(both, found), judged)
 
 
 def _graded(m: Column, c: Column, made) -> Column:
