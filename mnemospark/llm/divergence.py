@@ -154,3 +154,30 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in OUT.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
+
+
+_ONLY = lambda keep: f"length(regexp_replace(t, '[^{keep}]', '', 'g'))"
+_TERM = lambda p, q: f"case when {p} > 0 then {p} * log2({p} / (({p} + {q}) / 2)) else 0 end + case when {q} > 0 then {q} * log2({q} / (({p} + {q}) / 2)) else 0 end"
+#: The query's rows, distances to six places.
+SQL = rf"""
+with d as (select doc_id, lang, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') lw, octet_length(encode(t)) size,
+  {_ONLY('a-z')} k0, {_ONLY('A-Z')} k1, {_ONLY('0-9')} k2, {_ONLY(chr(92) + 'x20' + chr(92) + 'x09' + chr(92) + 'x0B-' + chr(92) + 'x0D')} k3, {_ONLY(chr(92) + 'n')} k4, {_ONLY(".,;:!?''" + '"()-')} k5, {_ONLY(chr(92) + 'x00-' + chr(92) + 'x7F')} a from d),
+k as (select *, a - k0 - k1 - k2 - k3 - k4 - k5 k6, size - a k7, len(w) n from w),
+rc as (select lang, {', '.join(f'sum(k{i}) / sum(size) r{i}' for i in range(8))} from k where lang is not null group by lang),
+wc as (select lang, x, count(*) n from (select lang, unnest(lw) x from k where lang is not null) group by 1, 2),
+tot as (select lang, sum(n) total from wc group by 1),
+top as (select lang, x, n / total q from (select *, row_number() over (partition by lang order by n desc, x) r from wc) join tot using (lang) where r <= 40),
+q as (select lang, coalesce(sum(q), 0) q from rc left join top using (lang) group by 1),
+dw as (select doc_id, x, count(*) c from (select doc_id, unnest(lw) x from k) group by 1, 2),
+m as (select dw.doc_id, lang, sum(p) p, sum(q) q, sum({_TERM('p', 'q')}) s from (select doc_id, x, c / n p from dw join k using (doc_id)) dw join top using (x) group by 1, 2),
+pairs as (select k.doc_id, rc.lang, 1 - coalesce(m.p, 0) pr, 1 - q.q qr, coalesce(m.s, 0) + q.q - coalesce(m.q, 0) s, ({' + '.join(_TERM(f'(k{i} / size)', f'r{i}') for i in range(8))}) c from k cross join rc join q on q.lang = rc.lang left join m on m.doc_id = k.doc_id and m.lang = rc.lang where n > 0),
+far as (select doc_id, min(sqrt(least(1, greatest(0, c / 2)))) cd, min(sqrt(least(1, greatest(0, (s + {_TERM('pr', 'qr')}) / 2)))) wd from pairs group by 1),
+g as (select doc_id, i, array_to_string(w[i : i + 4], ' ') g from (select doc_id, w, unnest(range(1, n - 3)) i from k)),
+again as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 5)) p from (select *, count(*) over (partition by doc_id, g) c from g) where c > 1) group by 1),
+lines as (select doc_id, count(*) - count(distinct x) n from (select doc_id, unnest(string_split(t, chr(10))) x from d) where regexp_matches(x, '[^\x20\x09-\x0D]') group by 1),
+b as (select k.doc_id, k.n n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, {_ONLY('#*$%&|<>')} n_symbols, coalesce(lines.n, 0) n_dup_lines, coalesce(again.n, 0) n_repeat_words from k left join lines using (doc_id) left join again using (doc_id))
+select b.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not coalesce(n_words >= 50 and cd > 0.3 or n_words >= 100 and wd > 0.35, false) kept, round(cd, 6) char_distance, round(wd, 6) word_distance
+from b left join far using (doc_id)
+"""

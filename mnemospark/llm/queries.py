@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, divergence, fixity, hpy, ranking, simhash, suffix_dedup, toxicity, url_filter
 
@@ -24,7 +25,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judge(table(spark, sf_dir, "documents"))
+    rows = divergence.judge(table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op2_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_merkle_fixity": fixity.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {"op1_divergence": divergence.SQL, "op7_merkle_fixity": fixity.SQL, "op8_url_filter": url_filter.SQL, "op9_suffix_dedup": suffix_dedup.SQL, "op10_decontaminate": decontaminate.SQL}

@@ -361,3 +361,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = X.per_shard(X.per_chunk(packed, ask_anchor), answer_anchor)
     questions = X.applied(packed, known, ask_strings, X.ASKED)
     return X.applied(packed, X.per_shard(questions, answer_strings), finish, docs.schema if clean else DIGEST if digest else FULL)
+
+
+#: The digest query by brute force over every string of 50 bytes.
+SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, p, substr(h, 2 * p + 1, 100) s from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) p from d)),
+f as (select s, min(doc_id) m from w group by s),
+x as (select doc_id, p from w join f using (s) where m < doc_id),
+c as (select distinct doc_id, unnest(range(p, p + 50)) p from x),
+b as (select doc_id, p, substr(h, 2 * p + 1, 2) y from (select doc_id, h, unnest(range(0, len(h) // 2)) p from d)),
+k as (select b.doc_id, string_agg(y, '' order by b.p) filter (c.p is null) kept, count(c.p) n_removed from b left join c on c.doc_id = b.doc_id and c.p = b.p group by 1),
+s as (select doc_id, count(*) n from c a where not exists (select 1 from c where c.doc_id = a.doc_id and c.p = a.p - 1) group by 1)
+select d.doc_id, len(h)::bigint // 2 n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n, 0)::bigint n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from d left join k using (doc_id) left join s using (doc_id)
+"""

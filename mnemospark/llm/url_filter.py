@@ -64,12 +64,12 @@ def model(seen: DataFrame) -> DataFrame:
     return table.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, folds: int = 5) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, aside: str = "012") -> DataFrame:
     """Host, path, rule and verdict of every page.
 
     One row per input row: ``(page_id, host, path, rule, verdict, score)``; the verdict is the longest
     rule's, else ``allow`` where score (accepted less rejected log-likelihood per symbol) reaches the
-    threshold, else ``block``.  A null URL, or one without ``://``, has empty host and path and is scored
+    threshold, else ``block``.  URLs whose MD5 begins with a digit of ``aside`` are not learnt from but set the threshold.  A null URL, or one without ``://``, has empty host and path and is scored
     as the symbols it has.  With no URL of one kind to learn from, that kind's model is uniform.  A URL counts once, however
     many rows have it.  Null ids and repeated rows are kept; an empty table gives no rows; other columns are not read.
     """
@@ -77,7 +77,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = parts(F.col("url"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     split = lambda df: df.select("*", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"))
-    urls = written(split(pages.select(key.alias("url")).distinct()).select("url", "ruled", (F.crc32(F.encode("url", "UTF-8")) % folds == 0).alias("aside")))
+    urls = written(split(pages.select(key.alias("url")).distinct()).select("url", "ruled", F.substring(F.md5("url"), 1, 1).isin(*aside).alias("aside")))
     # few bytes, so one task would read them all, but each becomes many grams
     pieces = urls.repartition(width(pages.sparkSession), "url").select("*", F.explode(grams(F.col("url"))).alias("gram"))
     learnt = lambda v: F.count_if((F.col("ruled") == v) & ~F.col("aside")).alias(v)
@@ -88,3 +88,31 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     passed = F.when(F.col("score") >= F.lit(0.0 if a is None or b is None else (a + b) / 2), "allow").otherwise("block")
     rows = split(pages.select(F.col(id_col).alias("page_id"), key.alias("url")))
     return rows.join(scored.select("url", "score"), "url").select("page_id", "host", "path", "rule", F.coalesce("ruled", passed).alias("verdict"), F.round("score", 9).alias("score"))
+
+
+def _sql() -> str:
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fits = lambda h, p: f"(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')"
+    order = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    levels = ["m0 as (select gram, 1.0::double / 39 pa, 1.0::double / 39 pb from seen)"]
+    for k in range(1, DEPTH + 1):
+        end, context = f"substr(gram, {DEPTH - k + 1}, {k})", f"substr(gram, {DEPTH - k + 1}, {k - 1})"
+        smooth = lambda v: f"case when t{v} = 0 then p{v} else (n{v} + d{v} * p{v}) / (t{v} + d{v}) end p{v}"
+        levels.append(f"c{k} as (select {end} e, sum(a) na, sum(b) nb from seen group by 1)")
+        levels.append(f"x{k} as (select substr(e, 1, {k - 1}) x, sum(na) ta, sum(nb) tb, count(*) filter (na > 0) da, count(*) filter (nb > 0) db from c{k} group by 1)")
+        levels.append(f"m{k} as (select gram, {smooth('a')}, {smooth('b')} from m{k - 1} join c{k} on e = {end} join x{k} on x = {context})")
+    return f"""
+with p as (select page_id, coalesce(url, '') url from pages),
+r as (select page_id, url, translate(regexp_extract(y, '^([^/?#]*)', 1), '{upper}', '{low}') host, regexp_extract(y, '^[^/?#]*([^?#]*)', 1) path from (select *, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end y from p)),
+v as (select *, case {' '.join(f"when {fits(h, q)} then '{h + q}'" for _, h, q in order)} end rule, case {' '.join(f"when {fits(h, q)} then '{w}'" for w, h, q in order)} end ruled from r),
+u as (select distinct url, ruled, substr(md5(url), 1, 1) in ('0', '1', '2') aside from v),
+g as (select url, ruled, aside, substr(t, i, {DEPTH}) gram from (select *, unnest(range(1, len(t) - {DEPTH - 2})) i from (select *, '{'^' * (DEPTH - 1)}' || regexp_replace(translate(url, '{upper}123456789', '{low}000000000'), '[^a-z0/.\\-?=&#:_%]', '~', 'g') || '$' t from u))),
+seen as (select gram, count(*) filter (ruled = 'allow' and not aside) a, count(*) filter (ruled = 'block' and not aside) b from g group by 1),
+{', '.join(levels)},
+s as (select url, any_value(ruled) ruled, any_value(aside) aside, avg(ln(pa) - ln(pb)) score from g join m{DEPTH} using (gram) group by url),
+t as (select coalesce((avg(score) filter (ruled = 'allow') + avg(score) filter (ruled = 'block')) / 2, 0) t from s where aside)
+select page_id, host, path, rule, coalesce(v.ruled, case when score >= t then 'allow' else 'block' end) verdict, round(score, 9) score from v join s using (url), t
+"""
+
+
+SQL = _sql()

@@ -123,7 +123,7 @@ def test_url_rules_are_brute_force(spark):
 
 
 def test_url_model_is_brute_force(spark):
-    import zlib
+    import hashlib
     from math import log
 
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
@@ -137,7 +137,7 @@ def test_url_model_is_brute_force(spark):
     n = {"allow": Counter(), "block": Counter()}
     for u in urls:
         v = plain_rule(u)[3]
-        if v and zlib.crc32(u.encode()) % 5:
+        if v and hashlib.md5(u.encode()).hexdigest()[0] not in "012":
             for g in grams(u):
                 n[v].update(g[4 - k :] for k in range(1, 5))
     inside = {v: Counter() for v in n}
