@@ -81,6 +81,8 @@ def hybrid_search(memories: DataFrame, query_vector: list[float], query_terms: l
         hits = expand(hits, pool, edges, 5, top_k)
     hits = hits.orderBy(F.desc("score"), "id").limit(2 * top_k)
     rows = memories.select("id", "text", "timestamp").join(F.broadcast(hits), "id")
+    # the limit holds the costly test back from the scan: only candidates are judged
+    rows = rows.orderBy(F.desc("score"), "id").limit(2 * top_k)
     if filter_unreliable:
         rows = rows.where(~T.verdict(F.col("text"))["is_flagged"])
     rows = rows.select("id", F.col("score").alias("combined"), (F.col("score") * F.exp(-decay * hours_since(F.col("timestamp"), as_of))).alias("score"))
@@ -116,7 +118,7 @@ def recall(memories: DataFrame, query_vector: list[float], as_of: float, access:
     ``access``: (mem_id, n).  score = s exp(-decay h) + 0.15 importance exp(-decay h / 2) + frequency ln(1 + n), kept from ``threshold`` up.
     """
     base = vector_search(memories, query_vector, as_of, 5 * k, base_decay).select("id", F.col("score").alias("base"))
-    rows = memories.join(F.broadcast(base), "id")
+    rows = memories.join(F.broadcast(base), "id").orderBy(F.desc("base"), "id").limit(5 * k)  # only candidates are judged
     for key, value in (where or {}).items():
         rows = rows.where(F.col(key) == value)
     rows = rows.withColumn("clean", T.sanitize(F.col("text")))
