@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 from . import vectors as V
 
 HOUR = 3600.0
@@ -73,8 +74,9 @@ def hybrid_search(memories: DataFrame, query_vector: list[float], query_terms: l
     Vector candidates are max(3 top_k, 50), keyword ones 3 top_k, 2 top_k survive fusion;
     unreliable texts go, scores decay by exp(-decay * hours), the top k stay.
     """
-    vector = V.knn(memories, query_vector, max(3 * top_k, 50), "l2").select("id", (1 / (1 + F.col("score"))).alias("score"))
-    keyword = bm25(memories, query_terms, 3 * top_k)
+    # candidate lists are as long as the request asks for; written, so that scaling and fusion do not scan the corpus again
+    vector = written(V.knn(memories, query_vector, max(3 * top_k, 50), "l2").select("id", (1 / (1 + F.col("score"))).alias("score")))
+    keyword = written(bm25(memories, query_terms, 3 * top_k))
     pool = fuse(minmax(vector), minmax(keyword), alpha, 0.0).select("id", "score")
     hits = pool.where(F.col("score") >= min_score)
     if edges is not None and min_score > 0:
