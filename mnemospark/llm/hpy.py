@@ -1,6 +1,8 @@
 """A hierarchical Pitman-Yor language model over words and their spellings.
 
-A word's restaurant seats the tokens of the training documents; its base is the
+The restaurants of words are contexts of the two words before, of the one before, and
+of none: tokens sit in the longest, each table of a context is a customer of the context
+without its farthest word.  The base of the last is the
 spelling model, whose restaurants are contexts of up to three preceding letters
 (as classes of bytes).  A context's parent is the context without its farthest letter,
 the last parent is uniform over bytes; each table of a restaurant is a customer
@@ -13,8 +15,11 @@ Scores are over the words seen in training and one symbol for all others, whose
 probability is that of all spellings not seen; the score with each unseen word
 spelt out is given beside it.
 
-Words are counted exactly, over all training documents, by a shuffle of each
-chunk's distinct words, so what the model gathers grows with the corpus.  The
+Words, pairs and triples are counted exactly, over all training documents, by a shuffle
+of each chunk's distinct ones, so what the model gathers grows with the corpus.  A shard
+has all contexts that end in the same words, so a context and its parent are seated
+together, and each triple's prediction is ``a + b * P(word)`` for the P(word) of the
+restaurant without context.  Contexts are told apart by a hash of 64 bits.  The
 spelling model is a table of 2^15 contexts and 256 bytes at any size.
 """
 
@@ -23,6 +28,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,11 +138,73 @@ def _sum_codes(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.n
     return found, np.bincount(of, weights, minlength=len(found))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, strength: float = 1.0, samples: int = 3, seed: int = 7) -> DataFrame:
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ a >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = ((x ^ x >> np.uint64(32)) + b) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each key among the distinct ones, and where each of those is first."""
+    codes = pd.factorize(keys)[0]
+    first = np.zeros(codes.max(initial=-1) + 1, np.int64)
+    first[codes[::-1]] = np.arange(len(keys))[::-1]
+    return codes, first
+
+
+def seat_contexts(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, base: np.ndarray, rng, strength: float = 1.0, sweeps: int = 5, kept: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Seats n customers of each word w after (u, v); ``base``: P(w) without context.  All rows of a v must be given.
+
+    For each row a and b, so that its predictive probability, averaged over the samples kept, is a + b * P(w);
+    and each distinct w with its tables in the contexts of one word, which are the customers of the restaurant without context.
+    Discounts are estimated from the counts given.
+    """
+    pair = _mix(u, v)
+    of, first = _numbered(_mix(pair, w))
+    long = _numbered(pair[first])[0]
+    dish, first2 = _numbered(_mix(v[first], ~w[first]))
+    at = first[first2]
+    short, base, words = _numbered(v[at])[0], base[at], w[at]
+    c3 = np.bincount(of, n, len(first)).astype(np.int64)
+    t3, c2 = np.minimum(c3, 1), None
+    c2 = np.bincount(dish, t3, len(at)).astype(np.int64)
+    t2 = np.minimum(c2, 1)
+    d3, d2 = discount_of(c3), discount_of(c2)
+    full = (strength + np.bincount(long, c3))[long]
+    a, b = np.zeros(len(first)), np.zeros(len(first))
+    for sweep in range(sweeps + 1):
+        spread3, spread2 = (strength + d3 * np.bincount(long, t3))[long], (strength + d2 * np.bincount(short, t2))[short]
+        all2 = (strength + np.bincount(short, c2))[short]
+        own2, rest2 = np.maximum(c2 - d2 * t2, 0) / all2, spread2 / all2
+        if sweep > sweeps - kept:
+            rest3 = spread3 / full
+            a += np.maximum(c3 - d3 * t3, 0) / full + rest3 * own2[dish]
+            b += rest3 * rest2[dish]
+        if sweep < sweeps:
+            t3 = seat(c3, spread3 * (own2 + rest2 * base)[dish], d3, rng)
+            c2 = np.bincount(dish, t3, len(at)).astype(np.int64)
+            t2 = seat(c2, spread2 * base, d2, rng)
+    word, first = _numbered(words)
+    return a[of] / kept, b[of] / kept, words[first], np.bincount(word, t2, len(first)).astype(np.int64)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As in an exchange; the shuffles behind it are dropped, as nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return X.written(df)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, strength: float = 1.0, samples: int = 3, seed: int = 7, contexts: bool = False) -> DataFrame:
     """log10 probability of every whole text, learnt from the texts whose crc32(id as text) mod ``folds`` is not ``held``.
 
     Tokens are the words (runs of bytes other than ASCII white space, A-Z lower-cased)
-    and then one end.  One row per input row: ``(doc_id, held_out, n_tokens, n_known,
+    and then one end.  With ``contexts``, each is given the two before it, ends before the first;
+    without, the restaurant without context predicts all.  One row per input row: ``(doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, spelled_score)``; base_score is the add-half unigram
     score.  Both it and score take words unseen in training as one symbol; spelled_score
     has the probability of each one's spelling.  A null or empty text is its end alone; a row with a null id is never held out; repeated
@@ -167,22 +235,98 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 count[0] += 1
         return X.asked(t.column("chunk")[0].as_py(), {s: X.to_blob(word=pa.array([words[i] for i in at], pa.binary()), n=count[at]) for s, at in enumerate(parts) if len(at)})
 
+    def triples(found, words, parts):
+        """Distinct (v, u, w) of a chunk, v before w and u before v; the number of each token's; and for each shard, the positions of its own."""
+        size, stop = len(words), np.zeros(1, np.int64)
+        seqs = [np.concatenate([stop, stop, at, stop]) for at in found]
+        u, v, w = (np.concatenate([x[k : len(x) - 2 + k] for x in seqs] or [stop[:0]]) for k in range(3))
+        pairs, pair = np.unique(v * size + u, return_inverse=True)
+        keys, of = np.unique(pair * size + w, return_inverse=True)
+        pair, w = np.divmod(keys, size)
+        v, u = np.divmod(pairs[pair], size)
+        own = np.zeros(size, np.int32)
+        for s, at in enumerate(parts):
+            own[at] = s
+        shard = own[v]
+        order = np.argsort(shard, kind="stable")
+        return u, v, w, of, np.split(order, np.searchsorted(shard[order], np.arange(1, n)))
+
+    def ask_contexts(t: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, found, words, parts = read(t)
+        p, number = np.zeros(len(words), np.float32), np.zeros(len(words), np.int64)
+        for s, b in zip(answers.column("shard").to_pylist(), answers.column("blob")):
+            got = X.from_blob(b.as_py())
+            p[parts[s]], number[parts[s]] = got.column("p").to_numpy(), got.column("number").to_numpy()
+        u, v, w, of, shards = triples(found, words, parts)
+        learnt = np.repeat([not is_held(i) for i in ids], [len(at) + 1 for at in found])
+        count = np.bincount(of, learnt, len(w)).astype(np.int32)
+        rows, place = [], np.zeros(len(words), np.int32)
+        for s, at in enumerate(shards):
+            if len(at):
+                there = np.zeros(len(words), bool)
+                for x in (u, v, w):
+                    there[x[at]] = True
+                have = np.flatnonzero(there)
+                have = have[np.argsort(number[have])]
+                place[have] = np.arange(len(have))
+                small = np.min_scalar_type(len(have))
+                rows.append((s, X.to_blob(step=np.diff(number[have], prepend=0), p=p[have]), X.to_blob(u=place[u[at]].astype(small), v=place[v[at]].astype(small), w=place[w[at]].astype(small), n=count[at])))
+        chunk = t.column("chunk")[0].as_py()
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "words": pa.array([r[1] for r in rows], pa.binary()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+
+    def answer_contexts(t: pa.Table) -> pa.Table:
+        """To each chunk a and b of its triples; to the shards of words, as chunk -1, their customers."""
+        t = t.sort_by("chunk")
+        own, columns = t.column("shard")[0].as_py(), []
+        for some, blob in zip(t.column("words"), t.column("blob")):
+            some, p = X.from_blob(some.as_py()), X.from_blob(blob.as_py())
+            h = np.cumsum(some.column("step").to_numpy()).astype(np.uint64)
+            w = p.column("w").to_numpy()
+            columns.append((h[p.column("u").to_numpy()], h[p.column("v").to_numpy()], h[w], p.column("n").to_numpy(), some.column("p").to_numpy()[w]))
+        ends = np.cumsum([len(c[0]) for c in columns])[:-1]
+        u, v, w, count, p = (np.concatenate(c) for c in zip(*columns))
+        del columns
+        a, b, words, customers = seat_contexts(u, v, w, count, p.astype(np.float64), np.random.default_rng([seed, samples, own]), strength, samples + 2, samples)
+        del u, v, w, count, p
+        rows = [(c, n + own, X.to_blob(a=x, b=y)) for c, x, y in zip(t.column("chunk").to_pylist(), np.split(a.astype(np.float32), ends), np.split(b.astype(np.float32), ends))]
+        words, customers = words[customers > 0], customers[customers > 0]
+        shard = (words % np.uint64(n)).astype(np.int32)
+        rows += [(-1, s, X.to_blob(place=words[shard == s] // np.uint64(n), n=customers[shard == s])) for s in np.unique(shard).tolist()]
+        return pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate((("chunk", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())))})
+
     def merged(t: pa.Table):
+        """A shard's words, the customers and the training tokens of each, and what each chunk asked."""
         t = t.sort_by("chunk")
-        vocab, asked, counts = X.vocabulary(), {}, []
+        vocab, asked, counts, sent = X.vocabulary(), {}, [], []
         for chunk, blob in zip(t.column("chunk").to_pylist(), t.column("blob")):
             p = X.from_blob(blob.as_py())
+            if chunk < 0:
+                sent.append((p.column("place").to_numpy().astype(np.int64), p.column("n").to_numpy()))
+                continue
             asked[chunk] = np.fromiter(map(vocab.__getitem__, p.column("word").to_pylist()), np.int64, p.num_rows)
             counts.append(p.column("n").to_numpy())
         count = np.bincount(np.concatenate(list(asked.values())), np.concatenate(counts), minlength=len(vocab)).astype(np.int64)
-        return t.column("shard")[0].as_py(), list(vocab), count, asked
+        words, customers = list(vocab), count
+        if sent:
+            customers = np.bincount(np.concatenate([x for x, _ in sent]), np.concatenate([k for _, k in sent]), len(words)).astype(np.int64)
+        return t.column("shard")[0].as_py(), words, customers, count, asked
+
+    def restaurants(questions: DataFrame) -> DataFrame:
+        """(shard, blob): each shard's words and their customers."""
+
+        def have(t: pa.Table) -> pa.Table:
+            shard, words, customers, _, _ = merged(t)
+            return pa.table({"shard": pa.array([shard], pa.int32()), "blob": pa.array([X.to_blob(word=pa.array(words, pa.binary()), n=customers)], pa.binary())})
+
+        return written(X.per_shard(questions, have, "shard int, blob binary"))
 
-    def gathered(customers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def gathered(seats: DataFrame, customers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Spelling customers of all shards, summed by ranges of codes, and the shards' totals summed."""
         slices = 16
 
         def send(t: pa.Table) -> pa.Table:
-            codes, weights, totals = customers(*merged(t)[:3])
+            p = X.from_blob(t.column("blob")[0].as_py())
+            codes, weights, totals = customers(t.column("shard")[0].as_py(), p.column("word").to_pylist(), p.column("n").to_numpy())
             cut = np.searchsorted(codes, np.arange(slices + 1) * (CLASSES**ORDER * 256 // slices))
             rows = [(k, X.to_blob(code=codes[i:j], n=weights[i:j])) for k, (i, j) in enumerate(zip(cut, cut[1:])) if j > i] + [(-1, X.to_blob(code=np.arange(len(totals)), n=np.array(totals, np.float64)))]
             return pa.table({"slice": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
@@ -192,7 +336,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             codes, weights = _sum_codes(*(np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("code", "n")))
             return pa.table({"slice": t.column("slice")[:1], "blob": pa.array([X.to_blob(code=codes, n=weights)], pa.binary())})
 
-        rows = X.per_shard(questions, send, "slice int, blob binary").groupBy("slice").applyInArrow(merge, "slice int, blob binary").collect()
+        rows = X.per_shard(seats, send, "slice int, blob binary").groupBy("slice").applyInArrow(merge, "slice int, blob binary").collect()
         parts = {r["slice"]: X.from_blob(r["blob"]) for r in rows}
         totals = parts.pop(-1).column("n").to_numpy() if parts else np.zeros(0)
         join = lambda c: np.concatenate([p.column(c).to_numpy() for p in parts.values()] or [np.zeros(0)])
@@ -208,11 +352,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         return np.add.reduceat(table.reshape(-1)[codes].astype(np.float64), starts)
 
     packed = X.pack(docs, id_col, text_col)
-    questions = X.written(X.per_chunk(packed, ask))
-    codes, weights, totals = gathered(first)
-    tokens, types, once, twice = (int(x) for x in totals) if len(totals) else (0, 0, 0, 0)
-    discount = float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
-    early = spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed))
+    questions = written(X.per_chunk(packed, ask))
+
+    def begun(questions: DataFrame):
+        """Of the restaurant without context: its customers by shard, their number, distinct ones, discount, and a first spelling model."""
+        seats = restaurants(questions)
+        codes, weights, totals = gathered(seats, first)
+        tokens, types, once, twice = (int(x) for x in totals) if len(totals) else (0, 0, 0, 0)
+        discount = float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
+        return seats, tokens, types, discount, spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed))
+
+    seats, customers, types, discount, early = begun(questions)
+    tokens, known_types = customers, types
+    in_context = []
+    if contexts:
+
+        all_spread, all_discount, all_early = strength + discount * types, discount, early
+
+        def guess(t: pa.Table) -> pa.Table:
+            """P(word) while the restaurant without context has all tokens."""
+            shard, words, count, _, asked = merged(t)
+            base = all_spread * np.exp(log_base(words, all_early.value))
+            p = (np.maximum(count - all_discount * seat(count, base, all_discount, np.random.default_rng([seed, shard])), 0) + base) / (strength + tokens)
+            return X.answered(shard, {c: X.to_blob(p=p[at].astype(np.float32), number=at * n + shard) for c, at in asked.items()})
+
+        asked_contexts = X.applied(packed, X.per_shard(questions, guess), ask_contexts, "shard int, chunk int, words binary, blob binary")
+        in_context = written(X.per_shard(asked_contexts, answer_contexts))
+        questions = questions.union(in_context.where("chunk < 0").select("shard", "chunk", "blob"))
+        in_context = [in_context.where("chunk >= 0")]
+        seats, customers, types, discount, early = begun(questions)
 
     def seated(shard, words, count, table, now):
         """The word restaurant's tables of this shard's words, in each sample; ``now``: its tables so far."""
@@ -226,7 +394,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         each = np.repeat(tables[-1][known], np.diff(np.append(starts, len(codes))))
         return *_sum_codes(codes, each), [t.sum() for t in tables]
 
-    codes, weights, tables_of = gathered(second)
+    codes, weights, tables_of = gathered(seats, second)
     late = spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed + 1))
     before = float(tables_of[-1]) if len(tables_of) else 0.0
 
@@ -234,30 +402,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         tables = seated(shard, words, count, late.value, before)
         return np.zeros(0, np.int64), np.zeros(0), [*(t.sum() for t in tables), np.exp(log_base(words, late.value))[count > 0].sum()]
 
-    _, _, totals = gathered(third)
+    _, _, totals = gathered(seats, third)
     spread = strength + discount * (float(np.mean(totals[:-1])) if len(totals) else 0.0)
-    unseen = np.log10(spread * max(1 - totals[-1], 1e-12) / (strength + tokens)) if len(totals) else 0.0
+    unseen = np.log10(spread * max(1 - totals[-1], 1e-12) / (strength + customers)) if len(totals) else 0.0
 
     def answer(t: pa.Table) -> pa.Table:
-        shard, words, count, asked = merged(t)
+        shard, words, count, tokens_of, asked = merged(t)
         tables = np.mean(seated(shard, words, count, late.value, before), axis=0)
         with np.errstate(divide="ignore"):
             own = np.log(np.maximum(count - discount * tables, 0))
-        spelled = (np.logaddexp(own, np.log(spread) + log_base(words, late.value)) - np.log(strength + tokens)) / np.log(10)
+        spelled = (np.logaddexp(own, np.log(spread) + log_base(words, late.value)) - np.log(strength + customers)) / np.log(10)
         log10 = np.where(count > 0, spelled, unseen)
-        return X.answered(shard, {c: X.to_blob(n=count[at], p=log10[at], q=spelled[at]) for c, at in asked.items()})
+        return X.answered(shard, {c: X.to_blob(n=tokens_of[at], p=log10[at], q=spelled[at]) for c, at in asked.items()})
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
         ids, found, words, parts = read(t)
         count, p, q = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(words))
+        if contexts:
+            *_, w, of, shards = triples(found, words, parts)
+            own, rest = np.zeros(len(w)), np.zeros(len(w))
         for s, b in zip(answers.column("shard").to_pylist(), answers.column("blob")):
             got = X.from_blob(b.as_py())
+            if s >= n:
+                own[shards[s - n]], rest[shards[s - n]] = (got.column(c).to_numpy() for c in ("a", "b"))
+                continue
             count[parts[s]], p[parts[s]], q[parts[s]] = (got.column(c).to_numpy() for c in ("n", "p", "q"))
-        base = np.log10((count + 0.5) / (tokens + 0.5 * (types + 1)))
+        base = np.log10((count + 0.5) / (tokens + 0.5 * (known_types + 1)))
         known = count > 0
-        rows = [(i, is_held(i), len(at) + 1, int(known[at].sum() + known[0]), tokens, float(base[at].sum() + base[0]), float(p[at].sum() + p[0]), float(q[at].sum() + q[0])) for i, at in zip(ids, found)]
+        if contexts:
+            starts = np.cumsum([0, *(len(at) + 1 for at in found)])[:-1]
+            scores = [np.add.reduceat(np.log10(own + rest * 10**x[w])[of], starts) for x in (p, q)]
+        else:
+            scores = [[x[at].sum() + x[0] for at in found] for x in (p, q)]
+        rows = [(i, is_held(i), len(at) + 1, int(known[at].sum() + known[0]), tokens, float(base[at].sum() + base[0]), float(a), float(b)) for i, at, a, b in zip(ids, found, *scores)]
         names = [x.split()[0] for x in SCORES.split(", ")]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         return pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(zip(names, kinds))})
 
-    return X.applied(packed, X.per_shard(questions, answer), finish, SCORES)
+    answers = X.per_shard(questions, answer)
+    for more in in_context:
+        answers = answers.union(more)
+    return X.applied(packed, answers, finish, SCORES)

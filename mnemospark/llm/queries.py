@@ -30,7 +30,7 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hpy.score(table(spark, sf_dir, "documents"))
+    return hpy.score(table(spark, sf_dir, "documents"), contexts=True)
 
 
 def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,35 @@ def test_language_model_sums_to_one(spark):
     assert 0.5 < end + sum(words) < 1.001
 
 
+def test_contexts_condition_words(spark, docs):
+    df = spark.createDataFrame([(i, "the cat sat on a mat") for i in range(30)] + [(100, "mat a on sat cat the"), (101, "sat the zebra")], DOC)
+    rows = {r.doc_id: r for r in hpy.score(df, folds=10**9, held=-1, contexts=True).collect()}
+    assert rows[0].score > rows[100].score + 2
+    plain = {r.doc_id: r for r in hpy.score(docs).collect()}
+    deep = {r.doc_id: r for r in hpy.score(docs, contexts=True).collect()}
+    out = [i for i, r in plain.items() if r.held_out]
+    assert sum(deep[i].score for i in out) > sum(plain[i].score for i in out)
+    assert all((deep[i].n_known, deep[i].base_score) == (plain[i].n_known, plain[i].base_score) for i in plain)
+    odd = spark.createDataFrame([(None, "a b"), (1, None), (2, ""), (2, "A  a"), (9, "x" * 5000)], DOC)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in hpy.score(odd, contexts=True).collect())
+    assert hpy.score(odd.limit(0), contexts=True).collect() == []
+
+
+def test_context_predictions_sum_to_one():
+    rng = np.random.default_rng(5)
+    seq = rng.integers(0, 12, 3000).astype(np.uint64)
+    base = rng.dirichlet(np.ones(12))
+    every = np.array([(u, v, w) for u in range(13) for v in range(12) for w in range(12)], np.uint64)  # 12 was never seen
+    count = Counter(zip(seq.tolist(), seq[1:].tolist(), seq[2:].tolist()))
+    n = np.array([count[tuple(x)] for x in every.tolist()])
+    u, v, w = every.T
+    a, b, words, customers = hpy.seat_contexts(u, v, w, n, base[w.astype(int)], np.random.default_rng(0))
+    sums = (a + b * base[w.astype(int)]).reshape(-1, 12).sum(axis=1)
+    assert np.allclose(sums, 1)
+    pairs = len(set(zip(seq[1:].tolist(), seq[2:].tolist())))
+    assert sorted(words.tolist()) == list(range(12)) and pairs <= customers.sum() <= n.sum()
+
+
 def test_language_model_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (1, None), (2, ""), (2, "A  a"), (9, "x" * 5000)], DOC).selectExpr("*", "1 as score", "2 as chunk")
     rows = hpy.score(df).collect()
