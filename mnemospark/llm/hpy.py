@@ -67,16 +67,21 @@ def spellings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
     """Tables after seating each dish's customers one by one; weight is (strength + discount * tables) * parent's probability.
 
-    Past 64 customers, they come in groups that double, each seated by the state before it.
+    Past 64 customers, they come in groups of 1/64 of those before, each seated by the state
+    expected in its midst, so that what is left of the groups' error is of second order.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
     rows, n = np.flatnonzero(customers > 1), 1
     while len(rows):
         c, a, t = customers[rows], weight[rows], tables[rows]
-        m = np.minimum(1 if n < 64 else n, c - n)
+        step = max(1, n // 64)
+        m = np.minimum(step, c - n)
         p = np.clip(a / (a + n - discount * t), 0, 1)
-        tables[rows] = t + (rng.random(len(rows)) < p if n < 64 else rng.binomial(m, p))
-        n += 1 if n < 64 else n
+        if step > 1:
+            half = (m - 1) / 2
+            p = np.clip(a / (a + n + half - discount * (t + half * p)), 0, 1)
+        tables[rows] = t + (rng.random(len(rows)) < p if step == 1 else rng.binomial(m, p))
+        n += step
         rows = rows[customers[rows] > n]
     return tables
 

@@ -242,5 +242,14 @@ def test_seats():
     assert t[0] == 0 and t[1] == 1 and (t[1:] >= 1).all() and (t <= c).all()
 
 
+def test_seats_of_large_dishes_are_those_of_single_seating():
+    for c, weight in ((1000, 20.0), (5000, 200.0)):
+        rng, one = np.random.default_rng(1), np.ones(2000)
+        for k in range(1, c):
+            one += rng.random(2000) < np.clip(weight / (weight + k - 0.5 * one), 0, 1)
+        t = hpy.seat(np.full(2000, c), np.full(2000, weight), 0.5, np.random.default_rng(2))
+        assert abs(t.mean() / one.mean() - 1) < 0.02 and abs(t.std() / one.std() - 1) < 0.1
+
+
 def test_scratch_is_the_shared_folder(spark):
     assert _exchange.scratch(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
