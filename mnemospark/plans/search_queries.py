@@ -191,6 +191,11 @@ links as (select src, dst, weight from (select *, row_number() over (partition b
 
 @query(LINKS + "select * from links", "memories")
 def link_neighbors(spark, d):
+    return G.link_neighbors(X.memories(spark, d), DIM, denoised=False, most=8)
+
+
+@query(None)
+def link_neighbors_denoised(spark, d):
     return G.link_neighbors(X.memories(spark, d), DIM)
 
 

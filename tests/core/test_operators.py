@@ -209,3 +209,28 @@ def test_package_stands_without_optional_parts():
 
     code = "import sys; sys.modules['mnemospark.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(k.startswith('op') and k[2].isdigit() for k in q)"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_links_are_all_candidates_of_denoised_active_rows(spark):
+    rng = np.random.default_rng(4)
+    n, dim, k = 60, 8, 3
+    m = rng.normal(size=(n, dim)) + 2
+    ts, merged, files = rng.integers(0, 100000, n).astype(float), rng.random(n) < 0.2, [["a", "b", ""][i % 3] for i in range(n)]
+    df = spark.createDataFrame([(i, m[i].tolist(), ts[i].item(), files[i], bool(merged[i])) for i in range(n)], "id long, vector array<double>, timestamp double, source_file string, merged boolean")
+    ids = np.flatnonzero(~merged)
+    x = m[ids] - m[ids].mean(axis=0)
+    _, _, basis = np.linalg.svd(x, full_matrices=False)
+    x = x @ basis[3:].T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    want = {}
+    for i in range(len(ids)):
+        for j in np.argsort(-s[i])[: 2 * k]:
+            a, b = int(ids[i]), int(ids[j])
+            w = 0.85 * max(0, s[i, j]) + 0.15 * np.exp(-((ts[a] - ts[b]) ** 2) / (2 * 43200.0**2)) + (0.05 if files[a] and files[a] == files[b] else 0)
+            if w > 0.4:
+                want[a, b] = round(w, 3)
+    got = {(r.src, r.dst): r.weight for r in graph.link_neighbors(df, dim, k).collect()}
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 0.0011 for e in want)
+    assert max(sum(a == i for a, _ in got) for i in ids.tolist()) > k
