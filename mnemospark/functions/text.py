@@ -263,8 +263,8 @@ def remove_tags(text: Column) -> Column:
 
 
 def concept_tokens(text: Column) -> Column:
-    """Distinct lower-case words of four or more word characters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\b\w{4,}\b)"), F.lit(1)))
+    """Distinct lower-case words of four or more letters, digits or underscores of any script."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{4,})"), F.lit(1)))
 
 
 def accents() -> tuple[str, str]:

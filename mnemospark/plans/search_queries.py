@@ -182,6 +182,14 @@ def concept_edges(spark, d):
     return G.concept_edges(m)
 
 
+WORDS = "select id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}'))) w from memories"
+
+
+@query(f", t as ({WORDS}), c as (select w, -(row_number() over (order by w)) k from (select distinct w from t)), e as (select id src, k dst, 'contains' \"type\" from t join c using (w) union all select k, id, 'instance' from t join c using (w)) select * from e", "memories")
+def concept_edges_unicode(spark, d):
+    return G.concept_edges(X.memories(spark, d))
+
+
 LINKS = """, c as (select a.id src, b.id dst, list_cosine_similarity(a.vector, b.vector) s, a."timestamp" - b."timestamp" dt, a.source_file = b.source_file and a.source_file <> '' same from memories a join memories b on a.id <> b.id),
 k as (select * from (select *, row_number() over (partition by src order by s desc, dst) r from c) where r <= 16),
 w as (select src, dst, s, round(0.85 * greatest(0, s) + 0.15 * exp(-dt * dt / (2 * 43200.0 * 43200.0)) + case when same then 0.05 else 0 end, 3) weight from k),

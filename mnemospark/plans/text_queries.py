@@ -122,6 +122,12 @@ def concept_tokens(spark, d):
     return X.texts(spark, d).select("id", w.alias("w")).select("id", F.size("w").alias("n"), F.md5(F.array_join(F.array_sort("w"), " ").cast("binary")).alias("digest"))
 
 
+@query("select id, len(w)::int n, md5(array_to_string(list_sort(w), ' ')) digest from (select id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}')) w from texts)", "texts")
+def concept_tokens_unicode(spark, d):
+    w = T.concept_tokens(F.col("text"))
+    return X.texts(spark, d).select("id", w.alias("w")).select("id", F.size("w").alias("n"), F.md5(F.array_join(F.array_sort("w"), " ").cast("binary")).alias("digest"))
+
+
 @query("select id, sha256(text) content_hash from texts", "texts")
 def content_hash(spark, d):
     return X.texts(spark, d).select("id", F.sha2("text", 256).alias("content_hash"))

@@ -234,3 +234,9 @@ def test_links_are_all_candidates_of_denoised_active_rows(spark):
     got = {(r.src, r.dst): r.weight for r in graph.link_neighbors(df, dim, k).collect()}
     assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 0.0011 for e in want)
     assert max(sum(a == i for a, _ in got) for i in ids.tolist()) > k
+
+
+def test_concept_tokens_are_unicode(spark):
+    texts = ["Schön ÜBERALL naïve_x ab1 größer, über 東京都庁 _a_b", "plain words here", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", T.concept_tokens(F.col("text")).alias("w")).collect()
+    assert {r.id: set(r.w) for r in rows} == {i: {w.lower() for w in re.findall(r"\b\w{4,}\b", t)} for i, t in enumerate(texts)}
