@@ -257,6 +257,11 @@ m as (select conv_id, i, 0 c, t, n from ex where i = 1
 union all select m.conv_id, ex.i, case when length(m.t) + length(ex.t) <= 800 then c else c + 1 end, case when length(m.t) + length(ex.t) <= 800 then m.t || chr(10) || chr(10) || '---' || chr(10) || chr(10) || ex.t else ex.t end, case when length(m.t) + length(ex.t) <= 800 then m.n + ex.n else ex.n end from m join ex on ex.conv_id = m.conv_id and ex.i = m.i + 1)
 select conv_id, c::int chunk_index, arg_max(t, i) "text", arg_max(n, i)::bigint turn_count from m group by conv_id, c""")
 def session_merge(spark, d):
+    return C.merge_exchanges(C.exchanges(X.turns(spark, d)), most=None)
+
+
+@query(None)
+def session_chunks(spark, d):
     return C.merge_exchanges(C.exchanges(X.turns(spark, d)))
 
 

@@ -240,3 +240,35 @@ def test_concept_tokens_are_unicode(spark):
     texts = ["Schön ÜBERALL naïve_x ab1 größer, über 東京都庁 _a_b", "plain words here", ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", T.concept_tokens(F.col("text")).alias("w")).collect()
     assert {r.id: set(r.w) for r in rows} == {i: {w.lower() for w in re.findall(r"\b\w{4,}\b", t)} for i, t in enumerate(texts)}
+
+
+def brute_sessions(turns):
+    """The reference's rules over (role, text, timestamp), as (text, turns)."""
+    made, now, first = [], [], None
+    for role, text, ts in turns:
+        opens = role in ("user", "system")
+        if now and opens and (first and ts and abs(ts - first) > 1800 or any(r == "assistant" for r, _ in now)):
+            made.append(now)
+            now, first = [], None
+        now.append((role, text))
+        if ts and (first is None or ts < first):
+            first = ts
+    made = [("\n\n".join(t if r == "note" else f"[{r}] {t}" for r, t in x), len(x)) for x in [*made, now] if x]
+    merged = [made[0]]
+    for text, n in made[1:]:
+        if len(merged[-1][0]) + len(text) <= 800:
+            merged[-1] = (merged[-1][0] + "\n\n---\n\n" + text, merged[-1][1] + n)
+        else:
+            merged.append((text, n))
+    return [(p, n) for text, n in merged for p in ([text] if len(text) <= 1500 else C._packed(re.split(r"\n{2,}", text), 1500, "\n\n", 2))]
+
+
+def test_sessions_break_at_gaps_and_split_long_chunks(spark):
+    rng = np.random.default_rng(6)
+    convs = {0: [("user", "a" * 900, 1000), ("user", "b" * 900, 2000), ("user", "c", 2900), ("user", "d", 100), ("assistant", "e", 9000), ("user", "f", None)]}
+    for c in range(1, 30):
+        convs[c] = [(str(rng.choice(["user", "assistant", "system"])), "\n\n\n".join("xy " * int(k) + "z" for k in rng.integers(1, 300, rng.integers(1, 5))), [None, int(rng.integers(1, 6000))][int(rng.integers(2))]) for _ in range(rng.integers(1, 9))]
+    df = spark.createDataFrame([(c, k, *t) for c, ts in convs.items() for k, t in enumerate(ts)], "conv_id long, turn int, role string, text string, timestamp long")
+    rows = C.merge_exchanges(C.exchanges(df)).orderBy("conv_id", "chunk_index").collect()
+    got = {c: [(r.text, r.turn_count) for r in rows if r.conv_id == c] for c in convs}
+    assert got == {c: brute_sessions(ts) for c, ts in convs.items()}
