@@ -147,6 +147,16 @@ def injection(rows: DataFrame, width: int = 200) -> DataFrame:
     return rows.agg(F.concat(F.lit("\n[MEM]\n"), F.array_join(F.transform(order, lambda x: x["line"]), "\n")).alias("lines"))
 
 
+def recall_injection(memories: DataFrame, query_vector: list[float], as_of: float, access: DataFrame, k: int = 3, threshold: float = 0.3, doubt: float = 0.6, width: int = 200) -> DataFrame:
+    """(lines): ``[score] text`` lines of the k best recalled memories, for a prompt; texts that are unreliable by ``doubt`` or more are left out.  No row without a line."""
+    found = recall(memories, query_vector, as_of, access, k, threshold).select("id", F.round("score", 4).alias("score"))
+    rows = memories.select("id", T.sanitize(F.col("text")).alias("text")).join(F.broadcast(found), "id").orderBy(F.desc("score"), "id").limit(k)  # only candidates are judged
+    rows = rows.where((F.col("text") != "") & (T.verdict(F.col("text"))["confidence"] < doubt))
+    line = F.concat(F.lit("["), F.col("score").cast("string"), F.lit("] "), F.regexp_replace(F.substring("text", 1, width), r"\s+$", ""))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", line.alias("line"))))
+    return rows.agg(order.alias("o")).where(F.size("o") > 0).select(F.concat(F.lit("\n[MEM]\n"), F.array_join(F.transform("o", lambda x: x["line"]), "\n")).alias("lines"))
+
+
 def last_user_message(turns: DataFrame) -> DataFrame:
     """(conv_id, text): each conversation's last user turn, without platform prefix."""
     return turns.where(F.col("role") == "user").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")).withColumn("text", T.strip_meta(F.col("text")))

@@ -168,6 +168,12 @@ def mem_injection(spark, d):
     return R.injection(m.select("id", "text").join(F.broadcast(near), "id"))
 
 
+@query(None)
+def mem_injection_recalled(spark, d):
+    access = X.access_log(spark, d).groupBy("mem_id").agg(F.count("*").alias("n"))
+    return R.recall_injection(X.memories(spark, d), X.query_vector(spark, d), NOW, access)
+
+
 @query(f"select distinct w term from (select unnest(regexp_extract_all(translate(lower(text), {q(FROM)}, {q(TO)}), '[\\p{{L}}\\p{{N}}]+')) w from memories) where w in ('that', 'and', 'zebra')", "memories")
 def token_prefilter(spark, d):
     return R.token_prefilter(X.memories(spark, d), [*TERMS, "zebra"])

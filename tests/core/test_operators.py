@@ -272,3 +272,15 @@ def test_sessions_break_at_gaps_and_split_long_chunks(spark):
     rows = C.merge_exchanges(C.exchanges(df)).orderBy("conv_id", "chunk_index").collect()
     got = {c: [(r.text, r.turn_count) for r in rows if r.conv_id == c] for c in convs}
     assert got == {c: brute_sessions(ts) for c, ts in convs.items()}
+
+
+def test_injection_is_of_recalled_reliable_memories(spark):
+    hour = 3600.0
+    rows = [(1, [1.0, 0.0], "<result>x</result> it crashed and failed again", 0.0, None), (2, [1.0, 0.0], "fine words" + " " * 9, 0.0, None), (3, [1.0, 0.1], "old words", -1000 * hour, None), (4, [0.9, 0.1], "used words", -10 * hour, 0.5), (5, [0.0, 1.0], "far words", 0.0, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, text string, timestamp double, importance_score double")
+    access = spark.createDataFrame([(4, 20)], "mem_id long, n long")
+    cos = 0.9 / np.hypot(0.9, 0.1)
+    used = cos * np.exp(-0.05) * np.exp(-0.1) + 0.15 * 0.5 * np.exp(-0.05) + 0.05 * np.log(21)
+    lines = retrieval.recall_injection(df, [1.0, 0.0], 0.0, access).first().lines
+    assert lines == f"\n[MEM]\n[{round(used, 4)}] used words\n[1.0] fine words"
+    assert retrieval.recall_injection(df.where("id = 5"), [1.0, 0.0], 0.0, access).collect() == []
