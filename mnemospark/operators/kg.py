@@ -205,7 +205,7 @@ def extract_tools(df: DataFrame) -> DataFrame:
 
 
 def extract_skills(df: DataFrame) -> DataFrame:
-    """From SKILL.md files below ``skills/<name>/``: the skill itself, up to five commands with what they do, services that it uses."""
+    """From SKILL.md files below ``skills/<name>/``: the skill itself, up to five commands with what they do, services that it uses; from ``_meta.json`` files there, up to five commands."""
     name = F.regexp_extract("source_file", r"skills/([^/]+)/", 1)
     rows = df.select("source_file", "text", name.alias("skill")).where("skill <> ''")
     pattern = r"(`?\w+`?\s*[-–]\s*.+)"
@@ -213,7 +213,11 @@ def extract_skills(df: DataFrame) -> DataFrame:
     commands = F.transform(F.slice(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), 1, 5), command)
     make = lambda names, p, kind, c: F.transform(names, lambda n: _triple(F.col("skill"), F.lit(p), n, c, F.lit("skill"), F.lit(kind)))
     own = F.array(_triple(F.lit("agent"), F.lit("has_skill"), F.col("skill"), 1.0, F.lit("agent"), F.lit("skill")))
-    return _flat(rows, [own, make(commands, "has_command", "other", 0.9), make(T.entities(F.col("text"), "service"), "uses_service", "service", 0.8)])
+    meta = F.col("source_file").rlike(r"skills/[^/]+/_meta\.json$")
+    listed = F.filter(F.slice(F.coalesce(F.from_json("text", "commands array<string>")["commands"], F.array().cast("array<string>")), 1, 5), lambda c: c.isNotNull())
+    none = F.array().cast(f"array<{TRIPLE}>")
+    found = [own, make(commands, "has_command", "other", 0.9), make(T.entities(F.col("text"), "service"), "uses_service", "service", 0.8)]
+    return _flat(rows, [*[F.when(~meta, x).otherwise(none) for x in found], F.when(meta, make(listed, "has_command", "other", 0.9)).otherwise(none)])
 
 
 def build(memory: DataFrame | None = None, tools: DataFrame | None = None, tasks: DataFrame | None = None, daily: DataFrame | None = None, skills: DataFrame | None = None) -> DataFrame:

@@ -284,3 +284,9 @@ def test_injection_is_of_recalled_reliable_memories(spark):
     lines = retrieval.recall_injection(df, [1.0, 0.0], 0.0, access).first().lines
     assert lines == f"\n[MEM]\n[{round(used, 4)}] used words\n[1.0] fine words"
     assert retrieval.recall_injection(df.where("id = 5"), [1.0, 0.0], 0.0, access).collect() == []
+
+
+def test_skill_commands_of_meta_files(spark):
+    rows = [("skills/web/_meta.json", '{"commands": ["a b", "c", "d", "e", "f", "g"], "x": 1}'), ("skills/bad/_meta.json", "{"), ("skills/none/_meta.json", '{"x": 1}'), ("skills/web/SKILL.md", "text")]
+    got = kg.extract_skills(spark.createDataFrame(rows, "source_file string, text string")).collect()
+    assert {(r.subject, r.predicate, r.object, r.confidence, r.source_file) for r in got} == {("agent", "has_skill", "web", 1.0, rows[3][0]), *(("web", "has_command", c, 0.9, rows[0][0]) for c in ("a b", "c", "d", "e", "f"))}
