@@ -44,10 +44,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows, written to the shared folder and read again: cuts lineage and survives lost executors.  ``by``: a folder for each value."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -64,25 +64,32 @@ def spellings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return context << 8 | a, starts
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables after seating each dish's customers one by one; weight is (strength + discount * tables) * parent's probability.
+def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng) -> np.ndarray:
+    """Tables after each dish's customers, all sent away, sit down again one by one, given all other dishes.
 
-    Past 64 customers, they come in groups of 1/64 of those before, each seated by the state
-    expected in its midst, so that what is left of the groups' error is of second order.
+    ``others`` is strength + discount * (tables of the restaurant's other dishes), ``parent`` the
+    dish's probability in the parent.  Customers come in steps of 1/64 of those seated, and
+    at least one; a step is seated by the state expected in its midst.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
     rows, n = np.flatnonzero(customers > 1), 1
+    c, o, q, t = customers[rows], others[rows], parent[rows], tables[rows]
     while len(rows):
-        c, a, t = customers[rows], weight[rows], tables[rows]
         step = max(1, n // 64)
         m = np.minimum(step, c - n)
-        p = np.clip(a / (a + n - discount * t), 0, 1)
+        a = (o + discount * t) * q
+        p = a / (a + n - discount * t)
         if step > 1:
-            half = (m - 1) / 2
-            p = np.clip(a / (a + n + half - discount * (t + half * p)), 0, 1)
-        tables[rows] = t + (rng.random(len(rows)) < p if step == 1 else rng.binomial(m, p))
+            half = (m - 1) / 2 * p
+            a += discount * q * half
+            p = a / (a + n + (m - 1) / 2 - discount * (t + half))
+            t = t + rng.binomial(m, np.clip(p, 0, 1))
+        else:
+            t = t + (rng.random(len(rows)) < p)
         n += step
-        rows = rows[customers[rows] > n]
+        tables[rows] = t
+        left = np.flatnonzero(c > n)
+        rows, c, o, q, t = rows[left], c[left], o[left], q[left], t[left]
     return tables
 
 
@@ -127,8 +134,8 @@ def spelling_model(codes: np.ndarray, counts: np.ndarray, strength: float = 1.0,
         base = parents_given()
         for k in range(ORDER, -1, -1):
             rows, cols = np.nonzero(customers[k])
-            weight = (strength + discounts[k] * tables[k].sum(axis=1))[rows] * base[k][rows % len(base[k]), cols]
-            tables[k][rows, cols] = seat(customers[k][rows, cols].astype(np.int64), weight, discounts[k], rng)
+            others = strength + discounts[k] * (tables[k].sum(axis=1)[rows] - tables[k][rows, cols])
+            tables[k][rows, cols] = seat(customers[k][rows, cols].astype(np.int64), others, base[k][rows % len(base[k]), cols], discounts[k], rng)
             if k:
                 customers[k - 1] = parents(tables[k])
         if sweep >= sweeps - kept:
@@ -157,10 +164,12 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, first
 
 
-def seat_contexts(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, base: np.ndarray, rng, strength: float = 1.0, sweeps: int = 5, kept: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def seat_contexts(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, base: np.ndarray, rng, strength: float = 1.0, burn: int = 3, samples: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seats n customers of each word w after (u, v); ``base``: P(w) without context.  All rows of a v must be given.
 
-    For each row a and b, so that its predictive probability, averaged over the samples kept, is a + b * P(w);
+    A chain of ``burn`` sweeps and then one for each of ``samples``, begun with one table a dish; a sweep
+    seats contexts of two words by what those of one predict, and then those.
+    For each row a and b, so that its predictive probability, averaged over the samples, is a + b * P(w);
     and each distinct w with its tables in the contexts of one word, which are the customers of the restaurant without context.
     Discounts are estimated from the counts given.
     """
@@ -171,116 +180,287 @@ def seat_contexts(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, ba
     at = first[first2]
     short, base, words = _numbered(v[at])[0], base[at], w[at]
     c3 = np.bincount(of, n, len(first)).astype(np.int64)
-    t3, c2 = np.minimum(c3, 1), None
+    t3 = np.minimum(c3, 1).astype(np.float64)
     c2 = np.bincount(dish, t3, len(at)).astype(np.int64)
-    t2 = np.minimum(c2, 1)
+    t2 = np.minimum(c2, 1).astype(np.float64)
     d3, d2 = discount_of(c3), discount_of(c2)
     full = (strength + np.bincount(long, c3))[long]
+    many3 = np.flatnonzero(c3 > 1)
     a, b = np.zeros(len(first)), np.zeros(len(first))
-    for sweep in range(sweeps + 1):
-        spread3, spread2 = (strength + d3 * np.bincount(long, t3))[long], (strength + d2 * np.bincount(short, t2))[short]
-        all2 = (strength + np.bincount(short, c2))[short]
-        own2, rest2 = np.maximum(c2 - d2 * t2, 0) / all2, spread2 / all2
-        if sweep > sweeps - kept:
-            rest3 = spread3 / full
+
+    def totals(t, of, d):
+        return (strength + d * np.bincount(of, t))[of]
+
+    for sweep in range(burn + samples):
+        own2, rest2 = _parts(c2, t2, short, d2, strength)
+        if len(many3):
+            others = totals(t3, long, d3)[many3] - d3 * t3[many3]
+            t3[many3] = seat(c3[many3], others, (own2 + rest2 * base)[dish[many3]], d3, rng)
+        c2 = np.bincount(dish, t3, len(at)).astype(np.int64)
+        t2 = np.minimum(t2, c2) + ((t2 == 0) & (c2 > 0))
+        many2 = np.flatnonzero(c2 > 1)
+        t2[c2 <= 1] = c2[c2 <= 1]
+        t2[many2] = seat(c2[many2], totals(t2, short, d2)[many2] - d2 * t2[many2], base[many2], d2, rng)
+        if sweep >= burn:
+            own2, rest2 = _parts(c2, t2, short, d2, strength)
+            rest3 = totals(t3, long, d3) / full
             a += np.maximum(c3 - d3 * t3, 0) / full + rest3 * own2[dish]
             b += rest3 * rest2[dish]
-        if sweep < sweeps:
-            t3 = seat(c3, spread3 * (own2 + rest2 * base)[dish], d3, rng)
-            c2 = np.bincount(dish, t3, len(at)).astype(np.int64)
-            t2 = seat(c2, spread2 * base, d2, rng)
     word, first = _numbered(words)
-    return a[of] / kept, b[of] / kept, words[first], np.bincount(word, t2, len(first)).astype(np.int64)
+    return a[of] / samples, b[of] / samples, words[first], np.bincount(word, t2, len(first)).astype(np.int64)
+
+
+def _parts(c: np.ndarray, t: np.ndarray, of: np.ndarray, d: float, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each dish's probability: what its own customers give it, and what share of the parent's it has beside."""
+    full = strength + np.bincount(of, c)
+    return np.maximum(c - d * t, 0) / full[of], ((strength + d * np.bincount(of, t)) / full)[of]
+
 
+def to_codes(p: np.ndarray) -> np.ndarray:
+    """Probabilities as 16 bits: logarithms in steps of 1/1024 bit (0.034 % at most away), 0 for none."""
+    with np.errstate(divide="ignore"):
+        return np.where(p > 0, np.clip(np.rint(65535 + 1024 * np.log2(p)), 1, 65535), 0).astype(np.uint16)
 
-def written(df: DataFrame) -> DataFrame:
+
+def from_codes(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, np.exp2((codes.astype(np.float64) - 65535) / 1024), 0)
+
+
+def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """As in an exchange; the shuffles behind it are dropped, as nothing reads them again."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, None)
     conf.set(key, "true")
     try:
-        return X.written(df)
+        return X.written(df, by)
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, strength: float = 1.0, samples: int = 3, seed: int = 7, contexts: bool = False) -> DataFrame:
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.table({c: pa.array([r[k] for r in rows], kinds[kind]) for k, (c, kind) in enumerate(names)})
+
+
+def _planes(ids: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers below 2^32 as their low and high halves, which compress better apart."""
+    return {"low": (ids & 0xFFFF).astype(np.uint16), "high": (ids >> 16).astype(np.uint16)}
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, strength: float = 1.0, burn: int = 3, samples: int = 3, seed: int = 7, chunk_bytes: int = 1 << 24) -> DataFrame:
     """log10 probability of every whole text, learnt from the texts whose crc32(id as text) mod ``folds`` is not ``held``.
 
     Tokens are the words (runs of bytes other than ASCII white space, A-Z lower-cased)
-    and then one end.  With ``contexts``, each is given the two before it, ends before the first;
-    without, the restaurant without context predicts all.  One row per input row: ``(doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score, spelled_score)``; base_score is the add-half unigram
-    score.  Both it and score take words unseen in training as one symbol; spelled_score
-    has the probability of each one's spelling.  A null or empty text is its end alone; a row with a null id is never held out; repeated
-    rows count each time; an empty table gives no rows; other columns are not read.
-    Perplexity is ``10 ** (-score / n_tokens)``.
+    and then one end; each is given the two before it, ends before the first.  One row per
+    input row: ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    spelled_score)``; base_score is the add-half unigram score.  Both it and score take
+    words unseen in training as one symbol; spelled_score has the probability of each
+    one's spelling.  A null or empty text is its end alone; a row with a null id is never
+    held out; repeated rows count each time; an empty table gives no rows; other columns
+    are not read.  Perplexity is ``10 ** (-score / n_tokens)``.  ``chunk_bytes``: of text
+    that one task counts at a time; each chunk asks each shard once.
     """
     spark = docs.sparkSession
     n = X.width(spark)
+    asked_schema, blob_schema = "kind int, shard int, chunk long, blob binary", "chunk long, shard int, blob binary"
 
     def is_held(i) -> bool:
         return i is not None and zlib.crc32(str(i).encode()) % folds == held
 
-    def read(t: pa.Table):
-        ids, texts = X.unpack(t)
-        vocab = X.vocabulary()
-        at = vocab.__getitem__
-        at(STOP)
-        found = [np.fromiter(map(at, words), np.int32, len(words)) for words in ((x or "").encode().lower().split() for x in texts)]
-        words = list(vocab)
-        return ids, found, words, X.by_shard(words, n)
-
-    def ask(t: pa.Table) -> pa.Table:
-        ids, found, words, parts = read(t)
-        count = np.zeros(len(words), np.int64)
-        for i, at in zip(ids, found):
-            if not is_held(i):
-                np.add.at(count, at, 1)
-                count[0] += 1
-        return X.asked(t.column("chunk")[0].as_py(), {s: X.to_blob(word=pa.array([words[i] for i in at], pa.binary()), n=count[at]) for s, at in enumerate(parts) if len(at)})
-
-    def triples(found, words, parts):
-        """Distinct (v, u, w) of a chunk, v before w and u before v; the number of each token's; and for each shard, the positions of its own."""
-        size, stop = len(words), np.zeros(1, np.int64)
-        seqs = [np.concatenate([stop, stop, at, stop]) for at in found]
-        u, v, w = (np.concatenate([x[k : len(x) - 2 + k] for x in seqs] or [stop[:0]]) for k in range(3))
+    def chunk_rows(chunk: int, ids: list, found: list, vocab: dict) -> list[tuple]:
+        """Kind 0: the chunk's tokens by its own numbers; kind 1: to each shard, its words and how often training texts have them."""
+        words, sizes = list(vocab), np.array([len(at) for at in found], np.int64)
+        tokens, learnt = np.concatenate(found), np.repeat([not is_held(i) for i in ids], sizes)
+        count = np.bincount(tokens[learnt], minlength=len(words))
+        count[0] += sum(not is_held(i) for i in ids)
+        shard = np.fromiter((zlib.crc32(w) % n for w in words), np.int32, len(words))
+        order = np.argsort(shard, kind="stable")
+        of = pa.table({"id": pa.array(ids, pa.int64()), "size": sizes})
+        rows = [(0, -1, chunk, X.to_blob(**{c: pa.array([b], pa.binary()) for c, b in {"docs": X.to_blob(**{c: of.column(c) for c in of.column_names}), "tokens": X.to_blob(**_planes(tokens)), "shards": X.to_blob(shard=shard)}.items()}))]
+        for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            rows.append((1, int(shard[at[0]]), chunk, X.to_blob(word=pa.array([words[i] for i in at], pa.binary()), n=count[at])))
+        return rows
+
+    def read(batches):
+        from pyspark import TaskContext
+
+        chunk, ids, found, size, vocab = TaskContext.get().partitionId() << 32, [], [], 0, None
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if vocab is None:
+                    vocab = X.vocabulary()
+                    vocab[STOP]
+                words = (text.as_py() or "").encode().lower()
+                size += len(words) + 16
+                words = words.split()
+                ids.append(i)
+                found.append(np.fromiter(map(vocab.__getitem__, words), np.int32, len(words)))
+                if size >= chunk_bytes:
+                    yield from _rows(asked_schema, chunk_rows(chunk, ids, found, vocab)).to_batches(max_chunksize=1)
+                    chunk, ids, found, size, vocab = chunk + 1, [], [], 0, None
+        if ids:
+            yield from _rows(asked_schema, chunk_rows(chunk, ids, found, vocab)).to_batches(max_chunksize=1)
+
+    def tokens_of(blob):
+        """Ids, sizes and tokens of a chunk's documents, and the positions of each shard's words."""
+        p = X.from_blob(blob)
+        of, tokens, shard = (X.from_blob(p.column(c)[0].as_py()) for c in ("docs", "tokens", "shards"))
+        tokens = tokens.column("high").to_numpy().astype(np.int64) << 16 | tokens.column("low").to_numpy()
+        shard = shard.column("shard").to_numpy()
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
+        return of.column("id").to_pylist(), of.column("size").to_numpy(), tokens, shard, {int(shard[at[0]]): at for at in np.split(order, cuts)}
+
+    def merge_words(t: pa.Table) -> pa.Table:
+        """A shard's words and their counts, and the numbers of those that each chunk has."""
+        t = t.sort_by("chunk")
+        vocab, asked, counts = X.vocabulary(), [], []
+        for blob in t.column("blob"):
+            p = X.from_blob(blob.as_py())
+            asked.append(np.fromiter(map(vocab.__getitem__, p.column("word").to_pylist()), np.int64, p.num_rows))
+            counts.append(p.column("n").to_numpy())
+        count = np.bincount(np.concatenate(asked), np.concatenate(counts), minlength=len(vocab)).astype(np.int64)
+        words = X.to_blob(word=pa.array(list(vocab), pa.binary()), n=count)
+        return _rows("shard int, chunk long, blob binary", [(t.column("shard")[0].as_py(), chunk, X.to_blob(at=at.astype(np.uint32))) for chunk, at in zip(t.column("chunk").to_pylist(), asked)] + [(t.column("shard")[0].as_py(), -1, words)])
+
+    def shard_of(t: pa.Table, customers: bool = True):
+        """A shard's words, their customers, how often training texts have them, and what each chunk has.
+
+        Chunk -1: the words; -2: their customers, as shards of contexts sent them, if they did.
+        """
+        t = t.sort_by("chunk")
+        asked, sent, words, count = {}, [], [], None
+        for chunk, blob in zip(t.column("chunk").to_pylist(), t.column("blob")):
+            p = X.from_blob(blob.as_py())
+            if chunk == -2:
+                sent.append((p.column("place").to_numpy().astype(np.int64), p.column("n").to_numpy()))
+            elif chunk == -1:
+                words, count = p.column("word").to_pylist(), p.column("n").to_numpy()
+            else:
+                asked[chunk] = p.column("at").to_numpy()
+        own = count
+        if sent:
+            own = np.bincount(np.concatenate([x for x, _ in sent]), np.concatenate([k for _, k in sent]), len(words)).astype(np.int64)
+        return t.column("shard")[0].as_py(), words, own, count, asked
+
+    def gathered(shards: DataFrame, customers) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, float]]:
+        """Spelling customers of all shards, summed by ranges of codes, the shards' totals summed, and the first of each."""
+        slices = 16
+
+        def send(t: pa.Table) -> pa.Table:
+            shard, words, own, count, _ = shard_of(t)
+            codes, weights, totals = customers(shard, words, own)
+            cut = np.searchsorted(codes, np.arange(slices + 1) * (CLASSES**ORDER * 256 // slices))
+            rows = [(k, X.to_blob(code=codes[i:j], n=weights[i:j])) for k, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+            return _rows("slice int, blob binary", rows + [(-1, X.to_blob(shard=[shard], **{f"t{k}": [float(x)] for k, x in enumerate(totals)}))])
+
+        def merge(t: pa.Table) -> pa.Table:
+            parts = [X.from_blob(b.as_py()) for b in t.column("blob")]
+            if t.column("slice")[0].as_py() < 0:
+                p = pa.concat_tables(parts)
+                return _rows("slice int, blob binary", [(-1, X.to_blob(**{c: p.column(c) for c in p.column_names}))])
+            codes, weights = _sum_codes(*(np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("code", "n")))
+            return _rows("slice int, blob binary", [(t.column("slice")[0].as_py(), X.to_blob(code=codes, n=weights))])
+
+        rows = X.per_shard(shards, send, "slice int, blob binary").groupBy("slice").applyInArrow(merge, "slice int, blob binary").collect()
+        parts = {r["slice"]: X.from_blob(r["blob"]) for r in rows}
+        totals = parts.pop(-1, None)
+        join = lambda c: np.concatenate([parts[k].column(c).to_numpy() for k in sorted(parts)] or [np.zeros(0)])
+        if totals is None:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0), {}
+        sums = np.array([totals.column(c).to_numpy().sum() for c in totals.column_names[1:]])
+        return join("code").astype(np.int64), join("n"), sums, dict(zip(totals.column("shard").to_pylist(), totals.column("t0").to_pylist()))
+
+    def spelt(words, own, tables) -> tuple[np.ndarray, np.ndarray]:
+        """Each table of a word sends its spelling to the spelling model."""
+        known = np.flatnonzero(own)
+        if not len(known):
+            return np.zeros(0, np.int64), np.zeros(0)
+        codes, starts = spellings([words[i] for i in known])
+        return _sum_codes(codes, np.repeat(tables[known], np.diff(np.append(starts, len(codes)))))
+
+    def log_base(words, table) -> np.ndarray:
+        codes, starts = spellings(words)
+        return np.add.reduceat(table.reshape(-1)[codes].astype(np.float64), starts)
+
+    def first(shard, words, own):
+        """One table a word."""
+        tables = np.minimum(own, 1)
+        return *spelt(words, own, tables), [tables.sum(), own.sum(), (own == 1).sum(), (own == 2).sum()]
+
+    def chain(own, base, elsewhere, discount, rng, sweeps) -> list[np.ndarray]:
+        """The tables of a shard's words in the restaurant without context after each sweep; ``elsewhere``: tables of all other shards."""
+        tables, out = np.minimum(own, 1).astype(np.float64), []
+        for _ in range(sweeps):
+            tables = seat(own, strength + discount * (elsewhere + tables.sum() - tables), base, discount, rng)
+            out.append(tables)
+        return out
+
+    packed = written(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(read, asked_schema), ("kind",))
+    tokens = packed.where("kind = 0").select("chunk", "blob")
+    shards = written(X.per_shard(packed.where("kind = 1").select("shard", "chunk", "blob"), merge_words, "shard int, chunk long, blob binary"))
+    words_only = shards.where("chunk = -1")
+
+    codes, weights, totals, types_of = gathered(words_only, first)
+    types, train, once, twice = (int(x) for x in totals) if len(totals) else (0, 0, 0, 0)
+    all_discount = float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
+    early = spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed))
+
+    def guess(t: pa.Table) -> pa.Table:
+        """P(word), as 16 bits, while the restaurant without context has all tokens; and the word's number."""
+        shard, words, own, _, asked = shard_of(t)
+        base = np.exp(log_base(words, early.value))
+        (tables,) = chain(own, base, types - types_of[shard], all_discount, np.random.default_rng([seed, shard]), 1)
+        spread = strength + all_discount * (types - types_of[shard] + tables.sum())
+        p = to_codes((np.maximum(own - all_discount * tables, 0) + spread * base) / (strength + train))
+        return _rows(blob_schema, [(c, shard, X.to_blob(p=p[at], at=at, known=own[at] > 0)) for c, at in asked.items()])
+
+    def triples(sizes, tokens, shard):
+        """Distinct (u, v, w) of a chunk, each u before v before w; the number of each token's; and for each shard, the positions of its own."""
+        size, ends = len(shard), np.cumsum(sizes + 1)
+        w = np.zeros(len(tokens) + len(sizes), np.int64)
+        w[np.delete(np.arange(len(w)), ends - 1)] = tokens
+        v, begin = np.roll(w, 1), ends - sizes - 1
+        v[begin] = 0
+        u = np.roll(v, 1)
+        u[begin] = 0
         pairs, pair = np.unique(v * size + u, return_inverse=True)
-        keys, of = np.unique(pair * size + w, return_inverse=True)
+        del u, v
+        pair *= size
+        pair += w
+        del w
+        keys, of = np.unique(pair, return_inverse=True)
+        del pair
         pair, w = np.divmod(keys, size)
         v, u = np.divmod(pairs[pair], size)
-        own = np.zeros(size, np.int32)
-        for s, at in enumerate(parts):
-            own[at] = s
-        shard = own[v]
-        order = np.argsort(shard, kind="stable")
-        return u, v, w, of, np.split(order, np.searchsorted(shard[order], np.arange(1, n)))
+        own = shard[v]
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order])) + 1
+        return u, v, w, of, {int(own[at[0]]): at for at in np.split(order, cuts)}
 
     def ask_contexts(t: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, found, words, parts = read(t)
-        p, number = np.zeros(len(words), np.float32), np.zeros(len(words), np.int64)
+        ids, sizes, tokens, shard, parts = tokens_of(t.column("blob")[0].as_py())
+        p, number = np.zeros(len(shard), np.uint16), np.zeros(len(shard), np.int64)
         for s, b in zip(answers.column("shard").to_pylist(), answers.column("blob")):
             got = X.from_blob(b.as_py())
-            p[parts[s]], number[parts[s]] = got.column("p").to_numpy(), got.column("number").to_numpy()
-        u, v, w, of, shards = triples(found, words, parts)
-        learnt = np.repeat([not is_held(i) for i in ids], [len(at) + 1 for at in found])
-        count = np.bincount(of, learnt, len(w)).astype(np.int32)
-        rows, place = [], np.zeros(len(words), np.int32)
-        for s, at in enumerate(shards):
-            if len(at):
-                there = np.zeros(len(words), bool)
-                for x in (u, v, w):
-                    there[x[at]] = True
-                have = np.flatnonzero(there)
-                have = have[np.argsort(number[have])]
-                place[have] = np.arange(len(have))
-                small = np.min_scalar_type(len(have))
-                rows.append((s, X.to_blob(step=np.diff(number[have], prepend=0), p=p[have]), X.to_blob(u=place[u[at]].astype(small), v=place[v[at]].astype(small), w=place[w[at]].astype(small), n=count[at])))
-        chunk = t.column("chunk")[0].as_py()
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "words": pa.array([r[1] for r in rows], pa.binary()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+            p[parts[s]], number[parts[s]] = got.column("p").to_numpy(), got.column("at").to_numpy().astype(np.int64) * n + s
+        u, v, w, of, own = triples(sizes, tokens, shard)
+        learnt = np.repeat([not is_held(i) for i in ids], sizes + 1)
+        count = np.bincount(of[learnt], minlength=len(w))
+        count = count.astype(np.min_scalar_type(int(count.max(initial=0))))
+        del of, learnt, tokens
+        rows, place = [], np.zeros(len(shard), np.int64)
+        for s, at in own.items():
+            have = np.unique(np.concatenate([u[at], v[at], w[at]]))
+            have = have[np.argsort(number[have])]
+            place[have] = np.arange(len(have))
+            small = np.min_scalar_type(len(have))
+            rows.append((s, t.column("chunk")[0].as_py(), X.to_blob(step=np.diff(number[have], prepend=0), p=p[have]), X.to_blob(u=place[u[at]].astype(small), v=place[v[at]].astype(small), w=place[w[at]].astype(small), n=count[at])))
+        return _rows("shard int, chunk long, words binary, blob binary", rows)
 
     def answer_contexts(t: pa.Table) -> pa.Table:
-        """To each chunk a and b of its triples; to the shards of words, as chunk -1, their customers."""
+        """To each chunk a and b of its triples; to the shards of words, as chunk -2, their customers."""
         t = t.sort_by("chunk")
         own, columns = t.column("shard")[0].as_py(), []
         for some, blob in zip(t.column("words"), t.column("blob")):
@@ -288,163 +468,74 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             h = np.cumsum(some.column("step").to_numpy()).astype(np.uint64)
             w = p.column("w").to_numpy()
             columns.append((h[p.column("u").to_numpy()], h[p.column("v").to_numpy()], h[w], p.column("n").to_numpy(), some.column("p").to_numpy()[w]))
-        ends = np.cumsum([len(c[0]) for c in columns])[:-1]
+        chunks, ends = t.column("chunk").to_pylist(), np.cumsum([len(c[0]) for c in columns])[:-1]
+        del t
         u, v, w, count, p = (np.concatenate(c) for c in zip(*columns))
         del columns
-        a, b, words, customers = seat_contexts(u, v, w, count, p.astype(np.float64), np.random.default_rng([seed, samples, own]), strength, samples + 2, samples)
+        a, b, words, customers = seat_contexts(u, v, w, count, from_codes(p), np.random.default_rng([seed, samples, own]), strength, burn, samples)
         del u, v, w, count, p
-        rows = [(c, n + own, X.to_blob(a=x, b=y)) for c, x, y in zip(t.column("chunk").to_pylist(), np.split(a.astype(np.float32), ends), np.split(b.astype(np.float32), ends))]
+        rows = [(c, own, X.to_blob(a=x, b=y)) for c, x, y in zip(chunks, np.split(to_codes(a), ends), np.split(to_codes(b), ends))]
         words, customers = words[customers > 0], customers[customers > 0]
-        shard = (words % np.uint64(n)).astype(np.int32)
-        rows += [(-1, s, X.to_blob(place=words[shard == s] // np.uint64(n), n=customers[shard == s])) for s in np.unique(shard).tolist()]
-        return pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate((("chunk", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())))})
+        shard = (words % np.uint64(n)).astype(np.int64)
+        return _rows(blob_schema, rows + [(-2, s, X.to_blob(place=words[shard == s] // np.uint64(n), n=customers[shard == s])) for s in np.unique(shard).tolist()])
 
-    def merged(t: pa.Table):
-        """A shard's words, the customers and the training tokens of each, and what each chunk asked."""
-        t = t.sort_by("chunk")
-        vocab, asked, counts, sent = X.vocabulary(), {}, [], []
-        for chunk, blob in zip(t.column("chunk").to_pylist(), t.column("blob")):
-            p = X.from_blob(blob.as_py())
-            if chunk < 0:
-                sent.append((p.column("place").to_numpy().astype(np.int64), p.column("n").to_numpy()))
-                continue
-            asked[chunk] = np.fromiter(map(vocab.__getitem__, p.column("word").to_pylist()), np.int64, p.num_rows)
-            counts.append(p.column("n").to_numpy())
-        count = np.bincount(np.concatenate(list(asked.values())), np.concatenate(counts), minlength=len(vocab)).astype(np.int64)
-        words, customers = list(vocab), count
-        if sent:
-            customers = np.bincount(np.concatenate([x for x, _ in sent]), np.concatenate([k for _, k in sent]), len(words)).astype(np.int64)
-        return t.column("shard")[0].as_py(), words, customers, count, asked
+    asked_contexts = X.applied(tokens, X.per_shard(shards, guess, blob_schema), ask_contexts, "shard int, chunk long, words binary, blob binary")
+    in_context = written(X.per_shard(asked_contexts, answer_contexts, blob_schema))
+    customers = in_context.where("chunk = -2").select("shard", "chunk", "blob")
+    shards, words_only = shards.union(customers), words_only.union(customers)
 
-    def restaurants(questions: DataFrame) -> DataFrame:
-        """(shard, blob): each shard's words and their customers."""
+    codes, weights, totals, begun = gathered(words_only, first)
+    tables_of, seated, once, twice = (int(x) for x in totals) if len(totals) else (0, 0, 0, 0)
+    discount = float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
+    middle = spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed + 1))
 
-        def have(t: pa.Table) -> pa.Table:
-            shard, words, customers, _, _ = merged(t)
-            return pa.table({"shard": pa.array([shard], pa.int32()), "blob": pa.array([X.to_blob(word=pa.array(words, pa.binary()), n=customers)], pa.binary())})
+    def second(shard, words, own):
+        tables = chain(own, np.exp(log_base(words, middle.value)), tables_of - begun[shard], discount, np.random.default_rng([seed, 1, shard]), burn)[-1]
+        return *spelt(words, own, tables), [tables.sum()]
 
-        return written(X.per_shard(questions, have, "shard int, blob binary"))
+    codes, weights, totals, burnt = gathered(words_only, second)
+    late = spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed + 2))
+    before = float(totals[0]) if len(totals) else 0.0
 
-    def gathered(seats: DataFrame, customers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Spelling customers of all shards, summed by ranges of codes, and the shards' totals summed."""
-        slices = 16
+    def sampled(shard, words, own):
+        """Log of the base, and the tables of the samples after the burn-in."""
+        base = log_base(words, late.value)
+        return base, chain(own, np.exp(base), before - burnt[shard], discount, np.random.default_rng([seed, 2, shard]), samples)
 
-        def send(t: pa.Table) -> pa.Table:
-            p = X.from_blob(t.column("blob")[0].as_py())
-            codes, weights, totals = customers(t.column("shard")[0].as_py(), p.column("word").to_pylist(), p.column("n").to_numpy())
-            cut = np.searchsorted(codes, np.arange(slices + 1) * (CLASSES**ORDER * 256 // slices))
-            rows = [(k, X.to_blob(code=codes[i:j], n=weights[i:j])) for k, (i, j) in enumerate(zip(cut, cut[1:])) if j > i] + [(-1, X.to_blob(code=np.arange(len(totals)), n=np.array(totals, np.float64)))]
-            return pa.table({"slice": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
-
-        def merge(t: pa.Table) -> pa.Table:
-            parts = [X.from_blob(b.as_py()) for b in t.column("blob")]
-            codes, weights = _sum_codes(*(np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("code", "n")))
-            return pa.table({"slice": t.column("slice")[:1], "blob": pa.array([X.to_blob(code=codes, n=weights)], pa.binary())})
-
-        rows = X.per_shard(seats, send, "slice int, blob binary").groupBy("slice").applyInArrow(merge, "slice int, blob binary").collect()
-        parts = {r["slice"]: X.from_blob(r["blob"]) for r in rows}
-        totals = parts.pop(-1).column("n").to_numpy() if parts else np.zeros(0)
-        join = lambda c: np.concatenate([p.column(c).to_numpy() for p in parts.values()] or [np.zeros(0)])
-        return join("code").astype(np.int64), join("n"), totals
+    def third(shard, words, own):
+        base, tables = sampled(shard, words, own)
+        return np.zeros(0, np.int64), np.zeros(0), [np.mean([t.sum() for t in tables]), np.exp(base)[own > 0].sum()]
 
-    def first(shard, words, count):
-        known = np.flatnonzero(count)
-        codes, _ = spellings([words[i] for i in known]) if len(known) else (np.zeros(0, np.int64), None)
-        return *_sum_codes(codes, np.ones(len(codes))), [count.sum(), len(known), (count == 1).sum(), (count == 2).sum()]
-
-    def log_base(words, table) -> np.ndarray:
-        codes, starts = spellings(words)
-        return np.add.reduceat(table.reshape(-1)[codes].astype(np.float64), starts)
-
-    packed = X.pack(docs, id_col, text_col)
-    questions = written(X.per_chunk(packed, ask))
-
-    def begun(questions: DataFrame):
-        """Of the restaurant without context: its customers by shard, their number, distinct ones, discount, and a first spelling model."""
-        seats = restaurants(questions)
-        codes, weights, totals = gathered(seats, first)
-        tokens, types, once, twice = (int(x) for x in totals) if len(totals) else (0, 0, 0, 0)
-        discount = float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
-        return seats, tokens, types, discount, spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed))
-
-    seats, customers, types, discount, early = begun(questions)
-    tokens, known_types = customers, types
-    in_context = []
-    if contexts:
-
-        all_spread, all_discount, all_early = strength + discount * types, discount, early
-
-        def guess(t: pa.Table) -> pa.Table:
-            """P(word) while the restaurant without context has all tokens."""
-            shard, words, count, _, asked = merged(t)
-            base = all_spread * np.exp(log_base(words, all_early.value))
-            p = (np.maximum(count - all_discount * seat(count, base, all_discount, np.random.default_rng([seed, shard])), 0) + base) / (strength + tokens)
-            return X.answered(shard, {c: X.to_blob(p=p[at].astype(np.float32), number=at * n + shard) for c, at in asked.items()})
-
-        asked_contexts = X.applied(packed, X.per_shard(questions, guess), ask_contexts, "shard int, chunk int, words binary, blob binary")
-        in_context = written(X.per_shard(asked_contexts, answer_contexts))
-        questions = questions.union(in_context.where("chunk < 0").select("shard", "chunk", "blob"))
-        in_context = [in_context.where("chunk >= 0")]
-        seats, customers, types, discount, early = begun(questions)
-
-    def seated(shard, words, count, table, now):
-        """The word restaurant's tables of this shard's words, in each sample; ``now``: its tables so far."""
-        weight = (strength + discount * now) * np.exp(log_base(words, table))
-        return [seat(count, weight, discount, np.random.default_rng([seed, s, shard])) for s in range(samples)]
-
-    def second(shard, words, count):
-        tables = seated(shard, words, count, early.value, types)
-        known = np.flatnonzero(count)
-        codes, starts = spellings([words[i] for i in known]) if len(known) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        each = np.repeat(tables[-1][known], np.diff(np.append(starts, len(codes))))
-        return *_sum_codes(codes, each), [t.sum() for t in tables]
-
-    codes, weights, tables_of = gathered(seats, second)
-    late = spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed + 1))
-    before = float(tables_of[-1]) if len(tables_of) else 0.0
-
-    def third(shard, words, count):
-        tables = seated(shard, words, count, late.value, before)
-        return np.zeros(0, np.int64), np.zeros(0), [*(t.sum() for t in tables), np.exp(log_base(words, late.value))[count > 0].sum()]
-
-    _, _, totals = gathered(seats, third)
-    spread = strength + discount * (float(np.mean(totals[:-1])) if len(totals) else 0.0)
-    unseen = np.log10(spread * max(1 - totals[-1], 1e-12) / (strength + customers)) if len(totals) else 0.0
+    _, _, totals, _ = gathered(words_only, third)
+    spread = strength + discount * (totals[0] if len(totals) else 0.0)
+    unseen = np.log10(spread * max(1 - totals[1], 1e-12) / (strength + seated)) if len(totals) else 0.0
 
     def answer(t: pa.Table) -> pa.Table:
-        shard, words, count, tokens_of, asked = merged(t)
-        tables = np.mean(seated(shard, words, count, late.value, before), axis=0)
+        shard, words, own, count, asked = shard_of(t)
+        base, tables = sampled(shard, words, own)
         with np.errstate(divide="ignore"):
-            own = np.log(np.maximum(count - discount * tables, 0))
-        spelled = (np.logaddexp(own, np.log(spread) + log_base(words, late.value)) - np.log(strength + customers)) / np.log(10)
-        log10 = np.where(count > 0, spelled, unseen)
-        return X.answered(shard, {c: X.to_blob(n=tokens_of[at], p=log10[at], q=spelled[at]) for c, at in asked.items()})
+            kept = np.log(np.mean([np.maximum(own - discount * t, 0) for t in tables], axis=0))
+        spelled = ((np.logaddexp(kept, np.log(spread) + base) - np.log(strength + seated)) / np.log(10)).astype(np.float32)
+        return _rows(blob_schema, [(c, n + shard, X.to_blob(n=count[at], q=spelled[at])) for c, at in asked.items()])
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, found, words, parts = read(t)
-        count, p, q = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(words))
-        if contexts:
-            *_, w, of, shards = triples(found, words, parts)
-            own, rest = np.zeros(len(w)), np.zeros(len(w))
-        for s, b in zip(answers.column("shard").to_pylist(), answers.column("blob")):
-            got = X.from_blob(b.as_py())
-            if s >= n:
-                own[shards[s - n]], rest[shards[s - n]] = (got.column(c).to_numpy() for c in ("a", "b"))
-                continue
-            count[parts[s]], p[parts[s]], q[parts[s]] = (got.column(c).to_numpy() for c in ("n", "p", "q"))
-        base = np.log10((count + 0.5) / (tokens + 0.5 * (known_types + 1)))
-        known = count > 0
-        if contexts:
-            starts = np.cumsum([0, *(len(at) + 1 for at in found)])[:-1]
-            scores = [np.add.reduceat(np.log10(own + rest * 10**x[w])[of], starts) for x in (p, q)]
-        else:
-            scores = [[x[at].sum() + x[0] for at in found] for x in (p, q)]
-        rows = [(i, is_held(i), len(at) + 1, int(known[at].sum() + known[0]), tokens, float(base[at].sum() + base[0]), float(a), float(b)) for i, at, a, b in zip(ids, found, *scores)]
-        names = [x.split()[0] for x in SCORES.split(", ")]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        return pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(zip(names, kinds))})
-
-    answers = X.per_shard(questions, answer)
-    for more in in_context:
-        answers = answers.union(more)
-    return X.applied(packed, answers, finish, SCORES)
+        ids, sizes, tokens, shard, parts = tokens_of(t.column("blob")[0].as_py())
+        count, q = np.zeros(len(shard), np.int64), np.zeros(len(shard))
+        _, _, w, of, own = triples(sizes, tokens, shard)
+        a, b = np.zeros(len(w), np.uint16), np.zeros(len(w), np.uint16)
+        for s, blob in zip(answers.column("shard").to_pylist(), answers.column("blob")):
+            got = X.from_blob(blob.as_py())
+            if s < n:
+                a[own[s]], b[own[s]] = (got.column(c).to_numpy() for c in ("a", "b"))
+            else:
+                count[parts[s - n]], q[parts[s - n]] = (got.column(c).to_numpy() for c in ("n", "q"))
+        a, b, known = from_codes(a), from_codes(b), count > 0
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        base = np.log10((count + 0.5) / (train + 0.5 * (types + 1)))
+        every = w[of]
+        sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64)[every], base[every], *(np.log10(a + b * 10.0 ** x[w])[of] for x in (np.where(known, q, unseen), q)))]
+        rows = zip(ids, map(is_held, ids), (sizes + 1).tolist(), sums[0].tolist(), [train] * len(ids), *(x.tolist() for x in sums[1:]))
+        return _rows(SCORES, list(rows))
+
+    answers = X.per_shard(shards, answer, blob_schema).union(in_context.where("chunk >= 0"))
+    return X.applied(tokens, answers, finish, SCORES)
