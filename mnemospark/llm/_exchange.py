@@ -44,13 +44,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The rows, written to the shared folder and read again: cuts lineage and survives lost executors.  ``by``: a folder for each value."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
+def written(df: DataFrame, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows, written to the shared folder (``path``, or a new one) and read again: cuts lineage and survives lost executors.  ``by``: a folder for each value."""
+    spark, path = df.sparkSession, path or scratch(df.sparkSession)
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def to_blob(**columns) -> bytes:
     table = pa.table({k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in columns.items()})
     sink = pa.BufferOutputStream()

@@ -25,12 +25,14 @@ spelling model is a table of 2^15 contexts and 256 bytes at any size.
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _exchange as X
@@ -226,15 +228,21 @@ def from_codes(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, np.exp2((codes.astype(np.float64) - 65535) / 1024), 0)
 
 
-def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """As in an exchange; the shuffles behind it are dropped, as nothing reads them again."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Shuffles of queries run inside are dropped as they end; nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
     try:
-        return X.written(df, by)
+        yield
     finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def written(df: DataFrame, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    with tidy(df.sparkSession):
+        return X.written(df, path, by)
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.Table:
@@ -243,9 +251,35 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({c: pa.array([r[k] for r in rows], kinds[kind]) for k, (c, kind) in enumerate(names)})
 
 
-def _planes(ids: np.ndarray) -> dict[str, np.ndarray]:
-    """Numbers below 2^32 as their low and high halves, which compress better apart."""
-    return {"low": (ids & 0xFFFF).astype(np.uint16), "high": (ids >> 16).astype(np.uint16)}
+def _planes(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Whole numbers byte by byte: frequent ones are small, so their bytes compress better apart."""
+    x, out = np.asarray(x), {}
+    for k in range(max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)):
+        out[f"{name}{k}"] = (x >> 8 * k & 255).astype(np.uint8)
+    return out
+
+
+def _joined(t: pa.Table, name: str) -> np.ndarray:
+    x = np.zeros(t.num_rows, np.int64)
+    for k in range(8):
+        if f"{name}{k}" in t.column_names:
+            x |= t.column(f"{name}{k}").to_numpy().astype(np.int64) << 8 * k
+    return x
+
+
+def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text (null: none), tokens as numbers of the distinct ones, frequent ones first, and those; number 0 is the end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    words = lists.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    sizes = np.bincount(np.repeat(np.arange(len(texts)), lengths)[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    coded = words.filter(some).dictionary_encode()
+    tokens = coded.indices.to_numpy()
+    order = np.argsort(-np.bincount(tokens, minlength=len(coded.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    return sizes, rank[tokens], pa.concat_arrays([pa.array([STOP], pa.binary()), coded.dictionary.take(pa.array(order)).cast(pa.binary())])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, strength: float = 1.0, burn: int = 3, samples: int = 3, seed: int = 7, chunk_bytes: int = 1 << 24) -> DataFrame:
@@ -263,51 +297,47 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """
     spark = docs.sparkSession
     n = X.width(spark)
-    asked_schema, blob_schema = "kind int, shard int, chunk long, blob binary", "chunk long, shard int, blob binary"
+    asked_schema, shard_schema, blob_schema = "kind int, shard int, chunk long, blob binary", "shard int, chunk long, blob binary", "chunk long, shard int, blob binary"
 
     def is_held(i) -> bool:
         return i is not None and zlib.crc32(str(i).encode()) % folds == held
 
-    def chunk_rows(chunk: int, ids: list, found: list, vocab: dict) -> list[tuple]:
+    def chunk_rows(chunk: int, parts: list[pa.RecordBatch]):
         """Kind 0: the chunk's tokens by its own numbers; kind 1: to each shard, its words and how often training texts have them."""
-        words, sizes = list(vocab), np.array([len(at) for at in found], np.int64)
-        tokens, learnt = np.concatenate(found), np.repeat([not is_held(i) for i in ids], sizes)
-        count = np.bincount(tokens[learnt], minlength=len(words))
-        count[0] += sum(not is_held(i) for i in ids)
-        shard = np.fromiter((zlib.crc32(w) % n for w in words), np.int32, len(words))
+        part = pa.Table.from_batches(parts).combine_chunks()
+        ids, (sizes, tokens, words) = part.column(0).to_pylist(), tokenised(part.column(1).combine_chunks())
+        learnt = np.array([not is_held(i) for i in ids])
+        count = np.bincount(tokens[np.repeat(learnt, sizes)], minlength=len(words))
+        count[0] += learnt.sum()
+        shard = np.fromiter((zlib.crc32(w) % n for w in words.to_pylist()), np.int32, len(words))
         order = np.argsort(shard, kind="stable")
-        of = pa.table({"id": pa.array(ids, pa.int64()), "size": sizes})
-        rows = [(0, -1, chunk, X.to_blob(**{c: pa.array([b], pa.binary()) for c, b in {"docs": X.to_blob(**{c: of.column(c) for c in of.column_names}), "tokens": X.to_blob(**_planes(tokens)), "shards": X.to_blob(shard=shard)}.items()}))]
+        blobs = {"docs": X.to_blob(id=part.column(0), size=sizes), "tokens": X.to_blob(**_planes("t", tokens)), "shards": X.to_blob(**_planes("s", shard))}
+        rows = [(0, -1, chunk, X.to_blob(**{c: pa.array([b], pa.binary()) for c, b in blobs.items()}))]
         for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            rows.append((1, int(shard[at[0]]), chunk, X.to_blob(word=pa.array([words[i] for i in at], pa.binary()), n=count[at])))
-        return rows
+            rows.append((1, int(shard[at[0]]), chunk, X.to_blob(word=words.take(pa.array(at)), n=count[at])))
+        return _rows(asked_schema, rows).to_batches(max_chunksize=1)
 
     def read(batches):
         from pyspark import TaskContext
 
-        chunk, ids, found, size, vocab = TaskContext.get().partitionId() << 32, [], [], 0, None
+        chunk, parts, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if vocab is None:
-                    vocab = X.vocabulary()
-                    vocab[STOP]
-                words = (text.as_py() or "").encode().lower()
-                size += len(words) + 16
-                words = words.split()
-                ids.append(i)
-                found.append(np.fromiter(map(vocab.__getitem__, words), np.int32, len(words)))
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64) + 16
+            cuts = np.flatnonzero(np.diff((size + np.cumsum(lengths)) // chunk_bytes)) + 1
+            for at, to in zip([0, *cuts], [*cuts, batch.num_rows]):
+                parts.append(batch.slice(at, to - at))
+                size += int(lengths[at:to].sum())
                 if size >= chunk_bytes:
-                    yield from _rows(asked_schema, chunk_rows(chunk, ids, found, vocab)).to_batches(max_chunksize=1)
-                    chunk, ids, found, size, vocab = chunk + 1, [], [], 0, None
-        if ids:
-            yield from _rows(asked_schema, chunk_rows(chunk, ids, found, vocab)).to_batches(max_chunksize=1)
+                    yield from chunk_rows(chunk, parts)
+                    chunk, parts, size = chunk + 1, [], 0
+        if any(p.num_rows for p in parts):
+            yield from chunk_rows(chunk, parts)
 
     def tokens_of(blob):
         """Ids, sizes and tokens of a chunk's documents, and the positions of each shard's words."""
         p = X.from_blob(blob)
         of, tokens, shard = (X.from_blob(p.column(c)[0].as_py()) for c in ("docs", "tokens", "shards"))
-        tokens = tokens.column("high").to_numpy().astype(np.int64) << 16 | tokens.column("low").to_numpy()
-        shard = shard.column("shard").to_numpy()
+        tokens, shard = _joined(tokens, "t"), _joined(shard, "s")
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         return of.column("id").to_pylist(), of.column("size").to_numpy(), tokens, shard, {int(shard[at[0]]): at for at in np.split(order, cuts)}
@@ -315,34 +345,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     def merge_words(t: pa.Table) -> pa.Table:
         """A shard's words and their counts, and the numbers of those that each chunk has."""
         t = t.sort_by("chunk")
-        vocab, asked, counts = X.vocabulary(), [], []
-        for blob in t.column("blob"):
-            p = X.from_blob(blob.as_py())
-            asked.append(np.fromiter(map(vocab.__getitem__, p.column("word").to_pylist()), np.int64, p.num_rows))
-            counts.append(p.column("n").to_numpy())
-        count = np.bincount(np.concatenate(asked), np.concatenate(counts), minlength=len(vocab)).astype(np.int64)
-        words = X.to_blob(word=pa.array(list(vocab), pa.binary()), n=count)
-        return _rows("shard int, chunk long, blob binary", [(t.column("shard")[0].as_py(), chunk, X.to_blob(at=at.astype(np.uint32))) for chunk, at in zip(t.column("chunk").to_pylist(), asked)] + [(t.column("shard")[0].as_py(), -1, words)])
-
-    def shard_of(t: pa.Table, customers: bool = True):
-        """A shard's words, their customers, how often training texts have them, and what each chunk has.
-
-        Chunk -1: the words; -2: their customers, as shards of contexts sent them, if they did.
-        """
-        t = t.sort_by("chunk")
-        asked, sent, words, count = {}, [], [], None
-        for chunk, blob in zip(t.column("chunk").to_pylist(), t.column("blob")):
-            p = X.from_blob(blob.as_py())
-            if chunk == -2:
-                sent.append((p.column("place").to_numpy().astype(np.int64), p.column("n").to_numpy()))
-            elif chunk == -1:
-                words, count = p.column("word").to_pylist(), p.column("n").to_numpy()
-            else:
-                asked[chunk] = p.column("at").to_numpy()
-        own = count
-        if sent:
-            own = np.bincount(np.concatenate([x for x, _ in sent]), np.concatenate([k for _, k in sent]), len(words)).astype(np.int64)
-        return t.column("shard")[0].as_py(), words, own, count, asked
+        parts = [X.from_blob(blob.as_py()) for blob in t.column("blob")]
+        coded = pa.concat_arrays([x for p in parts for x in p.column("word").chunks]).dictionary_encode()
+        at = coded.indices.to_numpy()
+        count = np.bincount(at, np.concatenate([p.column("n").to_numpy() for p in parts]), minlength=len(coded.dictionary)).astype(np.int64)
+        asked, shard = np.split(at, np.cumsum([p.num_rows for p in parts])[:-1]), t.column("shard")[0].as_py()
+        rows = [(shard, chunk, X.to_blob(**_planes("at", x))) for chunk, x in zip(t.column("chunk").to_pylist(), asked)]
+        return _rows(shard_schema, rows + [(shard, -1, X.to_blob(word=coded.dictionary, n=count, own=count))])
+
+    def merge_customers(t: pa.Table) -> pa.Table:
+        """A shard's words again, with the customers that the shards of contexts sent as chunk -2."""
+        t = t.sort_by([("chunk", "descending")])
+        words, *sent = (X.from_blob(b.as_py()) for b in t.column("blob"))
+        own = np.zeros(words.num_rows, np.int64)
+        for p in sent:
+            own += np.bincount(_joined(p, "place"), p.column("n").to_numpy(), len(own)).astype(np.int64)
+        return _rows(shard_schema, [(t.column("shard")[0].as_py(), -1, X.to_blob(word=words.column("word"), n=words.column("n"), own=own))])
+
+    def shard_of(t: pa.Table):
+        """A shard's words, their customers, how often training texts have them, and the numbers of those that each chunk has."""
+        blobs = dict(zip(t.column("chunk").to_pylist(), t.column("blob")))
+        words = X.from_blob(blobs.pop(-1).as_py())
+        own, count = (words.column(c).to_numpy() for c in ("own", "n"))
+        return t.column("shard")[0].as_py(), words.column("word").to_pylist(), own, count, {c: _joined(X.from_blob(b.as_py()), "at") for c, b in sorted(blobs.items())}
 
     def gathered(shards: DataFrame, customers) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, float]]:
         """Spelling customers of all shards, summed by ranges of codes, the shards' totals summed, and the first of each."""
@@ -363,7 +388,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             codes, weights = _sum_codes(*(np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("code", "n")))
             return _rows("slice int, blob binary", [(t.column("slice")[0].as_py(), X.to_blob(code=codes, n=weights))])
 
-        rows = X.per_shard(shards, send, "slice int, blob binary").groupBy("slice").applyInArrow(merge, "slice int, blob binary").collect()
+        with tidy(spark):
+            rows = X.per_shard(shards, send, "slice int, blob binary").groupBy("slice").applyInArrow(merge, "slice int, blob binary").collect()
         parts = {r["slice"]: X.from_blob(r["blob"]) for r in rows}
         totals = parts.pop(-1, None)
         join = lambda c: np.concatenate([parts[k].column(c).to_numpy() for k in sorted(parts)] or [np.zeros(0)])
@@ -397,9 +423,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             out.append(tables)
         return out
 
-    packed = written(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(read, asked_schema), ("kind",))
+    path = X.scratch(spark)
+    packed = written(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(read, asked_schema), path, ("kind",))
     tokens = packed.where("kind = 0").select("chunk", "blob")
-    shards = written(X.per_shard(packed.where("kind = 1").select("shard", "chunk", "blob"), merge_words, "shard int, chunk long, blob binary"))
+    shards = written(X.per_shard(packed.where("kind = 1").select("shard", "chunk", "blob"), merge_words, shard_schema))
+    X.discard(spark, f"{path}/kind=1")
     words_only = shards.where("chunk = -1")
 
     codes, weights, totals, types_of = gathered(words_only, first)
@@ -414,7 +442,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         (tables,) = chain(own, base, types - types_of[shard], all_discount, np.random.default_rng([seed, shard]), 1)
         spread = strength + all_discount * (types - types_of[shard] + tables.sum())
         p = to_codes((np.maximum(own - all_discount * tables, 0) + spread * base) / (strength + train))
-        return _rows(blob_schema, [(c, shard, X.to_blob(p=p[at], at=at, known=own[at] > 0)) for c, at in asked.items()])
+        return _rows(blob_schema, [(c, shard, X.to_blob(p=p[at], **_planes("at", at))) for c, at in asked.items()])
 
     def triples(sizes, tokens, shard):
         """Distinct (u, v, w) of a chunk, each u before v before w; the number of each token's; and for each shard, the positions of its own."""
@@ -425,15 +453,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         v[begin] = 0
         u = np.roll(v, 1)
         u[begin] = 0
-        pairs, pair = np.unique(v * size + u, return_inverse=True)
-        del u, v
-        pair *= size
-        pair += w
+        v *= size
+        v += u
+        del u
+        pairs = None
+        if size**3 >= 1 << 63:
+            pairs, v = np.unique(v, return_inverse=True)
+        v *= size
+        v += w
         del w
-        keys, of = np.unique(pair, return_inverse=True)
-        del pair
-        pair, w = np.divmod(keys, size)
-        v, u = np.divmod(pairs[pair], size)
+        keys, of = np.unique(v, return_inverse=True)
+        v, w = np.divmod(keys, size)
+        v, u = np.divmod(v if pairs is None else pairs[v], size)
         own = shard[v]
         order = np.argsort(own, kind="stable")
         cuts = np.flatnonzero(np.diff(own[order])) + 1
@@ -444,7 +475,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         p, number = np.zeros(len(shard), np.uint16), np.zeros(len(shard), np.int64)
         for s, b in zip(answers.column("shard").to_pylist(), answers.column("blob")):
             got = X.from_blob(b.as_py())
-            p[parts[s]], number[parts[s]] = got.column("p").to_numpy(), got.column("at").to_numpy().astype(np.int64) * n + s
+            p[parts[s]], number[parts[s]] = got.column("p").to_numpy(), _joined(got, "at") * n + s
         u, v, w, of, own = triples(sizes, tokens, shard)
         learnt = np.repeat([not is_held(i) for i in ids], sizes + 1)
         count = np.bincount(of[learnt], minlength=len(w))
@@ -455,8 +486,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             have = np.unique(np.concatenate([u[at], v[at], w[at]]))
             have = have[np.argsort(number[have])]
             place[have] = np.arange(len(have))
-            small = np.min_scalar_type(len(have))
-            rows.append((s, t.column("chunk")[0].as_py(), X.to_blob(step=np.diff(number[have], prepend=0), p=p[have]), X.to_blob(u=place[u[at]].astype(small), v=place[v[at]].astype(small), w=place[w[at]].astype(small), n=count[at])))
+            step = np.diff(place[v[at]], prepend=0)
+            rows.append((s, t.column("chunk")[0].as_py(), X.to_blob(step=np.diff(number[have], prepend=0), p=p[have]), X.to_blob(**_planes("u", place[u[at]]), **_planes("v", 2 * np.abs(step) + (step < 0)), **_planes("w", place[w[at]]), n=count[at])))
         return _rows("shard int, chunk long, words binary, blob binary", rows)
 
     def answer_contexts(t: pa.Table) -> pa.Table:
@@ -466,8 +497,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         for some, blob in zip(t.column("words"), t.column("blob")):
             some, p = X.from_blob(some.as_py()), X.from_blob(blob.as_py())
             h = np.cumsum(some.column("step").to_numpy()).astype(np.uint64)
-            w = p.column("w").to_numpy()
-            columns.append((h[p.column("u").to_numpy()], h[p.column("v").to_numpy()], h[w], p.column("n").to_numpy(), some.column("p").to_numpy()[w]))
+            step, w = _joined(p, "v"), _joined(p, "w")
+            columns.append((h[_joined(p, "u")], h[np.cumsum(np.where(step & 1, -(step >> 1), step >> 1))], h[w], p.column("n").to_numpy(), some.column("p").to_numpy()[w]))
         chunks, ends = t.column("chunk").to_pylist(), np.cumsum([len(c[0]) for c in columns])[:-1]
         del t
         u, v, w, count, p = (np.concatenate(c) for c in zip(*columns))
@@ -477,24 +508,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         rows = [(c, own, X.to_blob(a=x, b=y)) for c, x, y in zip(chunks, np.split(to_codes(a), ends), np.split(to_codes(b), ends))]
         words, customers = words[customers > 0], customers[customers > 0]
         shard = (words % np.uint64(n)).astype(np.int64)
-        return _rows(blob_schema, rows + [(-2, s, X.to_blob(place=words[shard == s] // np.uint64(n), n=customers[shard == s])) for s in np.unique(shard).tolist()])
+        return _rows(blob_schema, rows + [(-2, s, X.to_blob(**_planes("place", (words[shard == s] // np.uint64(n)).astype(np.int64)), n=customers[shard == s].astype(np.min_scalar_type(int(customers.max()))))) for s in np.unique(shard).tolist()])
 
     asked_contexts = X.applied(tokens, X.per_shard(shards, guess, blob_schema), ask_contexts, "shard int, chunk long, words binary, blob binary")
     in_context = written(X.per_shard(asked_contexts, answer_contexts, blob_schema))
     customers = in_context.where("chunk = -2").select("shard", "chunk", "blob")
-    shards, words_only = shards.union(customers), words_only.union(customers)
+    words_only = written(X.per_shard(words_only.union(customers), merge_customers, shard_schema))
+
+    def tally(shard, words, own):
+        return np.zeros(0, np.int64), np.zeros(0), [(own > 0).sum(), own.sum(), (own == 1).sum(), (own == 2).sum()]
 
-    codes, weights, totals, begun = gathered(words_only, first)
+    _, _, totals, begun = gathered(words_only, tally)
     tables_of, seated, once, twice = (int(x) for x in totals) if len(totals) else (0, 0, 0, 0)
     discount = float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
-    middle = spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed + 1))
 
     def second(shard, words, own):
-        tables = chain(own, np.exp(log_base(words, middle.value)), tables_of - begun[shard], discount, np.random.default_rng([seed, 1, shard]), burn)[-1]
+        tables = chain(own, np.exp(log_base(words, early.value)), tables_of - begun[shard], discount, np.random.default_rng([seed, 1, shard]), burn)[-1]
         return *spelt(words, own, tables), [tables.sum()]
 
     codes, weights, totals, burnt = gathered(words_only, second)
-    late = spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed + 2))
+    late = spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed + 1))
     before = float(totals[0]) if len(totals) else 0.0
 
     def sampled(shard, words, own):
@@ -537,5 +570,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         rows = zip(ids, map(is_held, ids), (sizes + 1).tolist(), sums[0].tolist(), [train] * len(ids), *(x.tolist() for x in sums[1:]))
         return _rows(SCORES, list(rows))
 
-    answers = X.per_shard(shards, answer, blob_schema).union(in_context.where("chunk >= 0"))
+    answers = X.per_shard(shards.where("chunk >= 0").union(words_only), answer, blob_schema).union(in_context.where("chunk >= 0"))
     return X.applied(tokens, answers, finish, SCORES)
