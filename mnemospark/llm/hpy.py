@@ -39,6 +39,7 @@ from . import _exchange as X
 
 ORDER, CLASSES, BOUNDARY = 3, 32, 28
 STOP = b"\n"  # the token that ends a text; no word holds a line end
+BLOCK = 1 << 19  # triples seated at a time, whole middle words
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double"
 
 
@@ -359,7 +360,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         words, *sent = (X.from_blob(b.as_py()) for b in t.column("blob"))
         own = np.zeros(words.num_rows, np.int64)
         for p in sent:
-            own += np.bincount(_joined(p, "place"), p.column("n").to_numpy(), len(own)).astype(np.int64)
+            own += np.bincount(_joined(p, "place"), _joined(p, "n"), len(own)).astype(np.int64)
         return _rows(shard_schema, [(t.column("shard")[0].as_py(), -1, X.to_blob(word=words.column("word"), n=words.column("n"), own=own))])
 
     def shard_of(t: pa.Table):
@@ -498,17 +499,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             some, p = X.from_blob(some.as_py()), X.from_blob(blob.as_py())
             h = np.cumsum(some.column("step").to_numpy()).astype(np.uint64)
             step, w = _joined(p, "v"), _joined(p, "w")
+            h = h.astype(np.min_scalar_type(int(h[-1])))
             columns.append((h[_joined(p, "u")], h[np.cumsum(np.where(step & 1, -(step >> 1), step >> 1))], h[w], p.column("n").to_numpy(), some.column("p").to_numpy()[w]))
         chunks, ends = t.column("chunk").to_pylist(), np.cumsum([len(c[0]) for c in columns])[:-1]
         del t
         u, v, w, count, p = (np.concatenate(c) for c in zip(*columns))
         del columns
-        a, b, words, customers = seat_contexts(u, v, w, count, from_codes(p), np.random.default_rng([seed, samples, own]), strength, burn, samples)
+        a, b, sent = np.zeros(len(u), np.uint16), np.zeros(len(u), np.uint16), []
+        blocks = _mix(v.astype(np.uint64), np.uint64(1)) % np.uint64(-(-len(v) // BLOCK))
+        order = np.argsort(blocks, kind="stable")
+        for k, at in enumerate(np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1)):
+            x, y, *of_words = seat_contexts(*(z[at].astype(np.uint64) for z in (u, v, w)), count[at], from_codes(p[at]), np.random.default_rng([seed, samples, own, k]), strength, burn, samples)
+            a[at], b[at] = to_codes(x), to_codes(y)
+            sent.append(of_words)
         del u, v, w, count, p
-        rows = [(c, own, X.to_blob(a=x, b=y)) for c, x, y in zip(chunks, np.split(to_codes(a), ends), np.split(to_codes(b), ends))]
+        rows = [(c, own, X.to_blob(a=x, b=y)) for c, x, y in zip(chunks, np.split(a, ends), np.split(b, ends))]
+        words, customers = (np.concatenate(x) for x in zip(*sent))
+        words, of = np.unique(words, return_inverse=True)
+        customers = np.bincount(of, customers).astype(np.int64)
         words, customers = words[customers > 0], customers[customers > 0]
         shard = (words % np.uint64(n)).astype(np.int64)
-        return _rows(blob_schema, rows + [(-2, s, X.to_blob(**_planes("place", (words[shard == s] // np.uint64(n)).astype(np.int64)), n=customers[shard == s].astype(np.min_scalar_type(int(customers.max()))))) for s in np.unique(shard).tolist()])
+        return _rows(blob_schema, rows + [(-2, s, X.to_blob(**_planes("place", (words[shard == s] // np.uint64(n)).astype(np.int64)), **_planes("n", customers[shard == s]))) for s in np.unique(shard).tolist()])
 
     asked_contexts = X.applied(tokens, X.per_shard(shards, guess, blob_schema), ask_contexts, "shard int, chunk long, words binary, blob binary")
     in_context = written(X.per_shard(asked_contexts, answer_contexts, blob_schema))
