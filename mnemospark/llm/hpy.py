@@ -283,7 +283,7 @@ def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return sizes, rank[tokens], pa.concat_arrays([pa.array([STOP], pa.binary()), coded.dictionary.take(pa.array(order)).cast(pa.binary())])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, strength: float = 1.0, burn: int = 3, samples: int = 3, seed: int = 7, chunk_bytes: int = 1 << 24) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, strength: float = 1.0, burn: int = 3, samples: int = 3, seed: int = 7, chunk_bytes: int = 1 << 23) -> DataFrame:
     """log10 probability of every whole text, learnt from the texts whose crc32(id as text) mod ``folds`` is not ``held``.
 
     Tokens are the words (runs of bytes other than ASCII white space, A-Z lower-cased)
@@ -574,11 +574,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             else:
                 count[parts[s - n]], q[parts[s - n]] = (got.column(c).to_numpy() for c in ("n", "q"))
         a, b, known = from_codes(a), from_codes(b), count > 0
-        starts = np.cumsum(sizes + 1) - sizes - 1
+        starts, lengths = np.cumsum(sizes + 1) - sizes - 1, (sizes + 1).tolist()
         base = np.log10((count + 0.5) / (train + 0.5 * (types + 1)))
-        every = w[of]
-        sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64)[every], base[every], *(np.log10(a + b * 10.0 ** x[w])[of] for x in (np.where(known, q, unseen), q)))]
-        rows = zip(ids, map(is_held, ids), (sizes + 1).tolist(), sums[0].tolist(), [train] * len(ids), *(x.tolist() for x in sums[1:]))
+        del sizes, tokens, answers
+
+        def total(x: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(x[of], starts)
+
+        sums = [total(x[w]) for x in (known.astype(np.int64), base)]
+        for x in (np.where(known, q, unseen), q):
+            sums.append(total(np.log10(a + b * (10.0**x)[w])))
+        rows = zip(ids, map(is_held, ids), lengths, sums[0].tolist(), [train] * len(ids), *(x.tolist() for x in sums[1:]))
         return _rows(SCORES, list(rows))
 
     answers = X.per_shard(shards.where("chunk >= 0").union(words_only), answer, blob_schema).union(in_context.where("chunk >= 0"))
