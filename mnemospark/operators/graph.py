@@ -30,11 +30,10 @@ def concept_edges(df: DataFrame) -> DataFrame:
     return out.union(back)
 
 
-def link_neighbors(df: DataFrame, dim: int, k: int = 8, time_weight: float = 0.15, source_bonus: float = 0.05, least: float = 0.4, sigma: float = 43200.0, denoised: bool = True, most: int | None = None) -> DataFrame:
+def link_neighbors(df: DataFrame, dim: int, k: int = 8, time_weight: float = 0.15, source_bonus: float = 0.05, least: float = 0.4, sigma: float = 43200.0, denoised: bool = True) -> DataFrame:
     """(src, dst, weight): each row's 2k nearest candidates whose weight, cosine blended with nearness in time and a bonus for one source, is over ``least``.
 
     Candidates are those of denoised vectors among rows that are not merged; with ``denoised`` false, of all rows as they are.
-    ``most`` keeps only so many of the nearest.
     """
     near = df
     if denoised:
@@ -48,11 +47,8 @@ def link_neighbors(df: DataFrame, dim: int, k: int = 8, time_weight: float = 0.1
     dt = F.col("src_ts") - F.col("dst_ts")
     near = F.exp(-dt * dt / (2 * sigma * sigma))
     bonus = F.when((F.col("src_file") == F.col("dst_file")) & (F.col("src_file") != ""), source_bonus).otherwise(0.0)
-    rows = rows.withColumn("weight", F.round((1 - time_weight) * F.greatest(F.lit(0.0), "score") + time_weight * near + bonus, 3)).where(F.col("weight") > least)
-    if most is None:
-        return rows.select("src", "dst", "weight")
-    best = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("src", "dst", "weight")
+    weight = F.round((1 - time_weight) * F.greatest(F.lit(0.0), "score") + time_weight * near + bonus, 3)
+    return rows.select("src", "dst", weight.alias("weight")).where(F.col("weight") > least)
 
 
 def reach(edges: DataFrame, start: int, depth: int) -> DataFrame:

@@ -152,7 +152,7 @@ def recall_injection(memories: DataFrame, query_vector: list[float], as_of: floa
     found = recall(memories, query_vector, as_of, access, k, threshold).select("id", F.round("score", 4).alias("score"))
     rows = memories.select("id", T.sanitize(F.col("text")).alias("text")).join(F.broadcast(found), "id").orderBy(F.desc("score"), "id").limit(k)  # only candidates are judged
     rows = rows.where((F.col("text") != "") & (T.verdict(F.col("text"))["confidence"] < doubt))
-    line = F.concat(F.lit("["), F.col("score").cast("string"), F.lit("] "), F.regexp_replace(F.substring("text", 1, width), r"\s+$", ""))
+    line = F.concat(F.lit("["), F.col("score").cast("string"), F.lit("] "), F.regexp_replace(F.substring("text", 1, width), T.like_python(r"\s+$"), ""))
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", line.alias("line"))))
     return rows.agg(order.alias("o")).where(F.size("o") > 0).select(F.concat(F.lit("\n[MEM]\n"), F.array_join(F.transform("o", lambda x: x["line"]), "\n")).alias("lines"))
 

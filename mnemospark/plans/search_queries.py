@@ -121,19 +121,20 @@ def vector_search_graph(spark, d):
     return r.select("rank", "id", F.round("raw_score", 6).alias("raw_score"), F.round("score", 9).alias("score"))
 
 
+RANKED = "select (row_number() over (order by score desc, id))::int rank, id, round(score, 4) score, round(h, 2) age_hours from best"
 NOW = 1704240000.0  # 2024-01-03: near the memories, so that decayed scores differ
 
 
-def _recall_sql(where: str) -> str:
+def _recall_sql(where: str, k: int = 10, threshold: float = 0.01, ending: str = RANKED) -> str:
     clean = sanitize_sql("text")
     from .text_queries import verdicts_sql
 
     return verdicts_sql("cleaned").replace(", base as", f", cleaned as (select * replace ({clean} as \"text\") from memories), base as", 1).rstrip() + f"""
-, n as (select id, list_cosine_similarity(vector, q) * exp(-0.005 * greatest(0, ({NOW} - "timestamp") / 3600)) b from memories, qv where id in (select id from ({knn_sql(150)}))),
-top as (select * from n order by b desc, id limit 50), acc as (select mem_id, count(*) c from access_log group by 1),
+, n as (select id, list_cosine_similarity(vector, q) * exp(-0.005 * greatest(0, ({NOW} - "timestamp") / 3600)) b from memories, qv where id in (select id from ({knn_sql(15 * k)}))),
+top as (select * from n order by b desc, id limit {5 * k}), acc as (select mem_id, count(*) c from access_log group by 1),
 s as (select id, ({NOW} - "timestamp") / 3600 h, b, coalesce(importance_score, 0) w, coalesce(c, 0) c from top join verdicts using (id) left join acc on mem_id = id where not f and not regexp_matches("text", {q(T.TAG)}) and {where}),
-t as (select id, h, b * exp(-0.01 * h) + case when w > 0 then 0.15 * w * exp(-0.005 * h) else 0 end + 0.05 * ln(1 + c) score from s)
-select (row_number() over (order by score desc, id))::int rank, id, round(score, 4) score, round(h, 2) age_hours from (select * from t where score >= 0.01 order by score desc, id limit 10)"""
+t as (select id, h, b * exp(-0.01 * h) + case when w > 0 then 0.15 * w * exp(-0.005 * h) else 0 end + 0.05 * ln(1 + c) score from s),
+best as (select * from t where score >= {threshold} order by score desc, id limit {k}) {ending}"""
 
 
 def _recall(spark, d, where=None):
@@ -161,15 +162,12 @@ def dual_search(spark, d):
     return r.select("rank", "id", F.round("score", 6).alias("score"), "tier")
 
 
-@query(f"select chr(10) || '[MEM]' || chr(10) || string_agg(printf('[%.2f] %s', score, rtrim(substr(text, 1, 200))), chr(10) order by score desc, id) lines from (select n.id, n.score, text from ({knn_sql(3)}) n join memories using (id))", "memories", "qv")
-def mem_injection(spark, d):
-    m = X.memories(spark, d)
-    near = V.knn(m, X.query_vector(spark, d), 3)
-    return R.injection(m.select("id", "text").join(F.broadcast(near), "id"))
+LINES = """select chr(10) || '[MEM]' || chr(10) || string_agg('[' || round(score, 4)::varchar || '] ' || regexp_replace(substr("text", 1, 200), '\\s+$', ''), chr(10) order by round(score, 4) desc, id) lines
+from best join verdicts using (id) where conf < 0.6 and "text" <> '' having count(*) > 0"""
 
 
-@query(None)
-def mem_injection_recalled(spark, d):
+@query(_recall_sql("true", 3, 0.3, LINES), "memories", "qv", "access_log")
+def mem_injection(spark, d):
     access = X.access_log(spark, d).groupBy("mem_id").agg(F.count("*").alias("n"))
     return R.recall_injection(X.memories(spark, d), X.query_vector(spark, d), NOW, access)
 
@@ -179,37 +177,28 @@ def token_prefilter(spark, d):
     return R.token_prefilter(X.memories(spark, d), [*TERMS, "zebra"])
 
 
-TOKENS = "select id, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '\\b\\w{4,}\\b'))) w from memories"
-
-
-@query(f", t as ({TOKENS}), c as (select w, -(row_number() over (order by w)) k from (select distinct w from t)), e as (select id src, k dst, 'contains' \"type\" from t join c using (w) union all select k, id, 'instance' from t join c using (w)) select * from e", "memories")
-def concept_edges(spark, d):
-    m = X.memories(spark, d).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " "))
-    return G.concept_edges(m)
-
-
 WORDS = "select id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}'))) w from memories"
 
 
 @query(f", t as ({WORDS}), c as (select w, -(row_number() over (order by w)) k from (select distinct w from t)), e as (select id src, k dst, 'contains' \"type\" from t join c using (w) union all select k, id, 'instance' from t join c using (w)) select * from e", "memories")
-def concept_edges_unicode(spark, d):
+def concept_edges(spark, d):
     return G.concept_edges(X.memories(spark, d))
 
 
 LINKS = """, c as (select a.id src, b.id dst, list_cosine_similarity(a.vector, b.vector) s, a."timestamp" - b."timestamp" dt, a.source_file = b.source_file and a.source_file <> '' same from memories a join memories b on a.id <> b.id),
 k as (select * from (select *, row_number() over (partition by src order by s desc, dst) r from c) where r <= 16),
 w as (select src, dst, s, round(0.85 * greatest(0, s) + 0.15 * exp(-dt * dt / (2 * 43200.0 * 43200.0)) + case when same then 0.05 else 0 end, 3) weight from k),
-links as (select src, dst, weight from (select *, row_number() over (partition by src order by s desc, dst) r from w where weight > 0.4) where r <= 8)
+links as (select src, dst, weight from w where weight > 0.4)
 """
 
 
 @query(LINKS + "select * from links", "memories")
-def link_neighbors(spark, d):
-    return G.link_neighbors(X.memories(spark, d), DIM, denoised=False, most=8)
+def link_neighbors_raw(spark, d):
+    return G.link_neighbors(X.memories(spark, d), DIM, denoised=False)
 
 
 @query(None)
-def link_neighbors_denoised(spark, d):
+def link_neighbors(spark, d):
     return G.link_neighbors(X.memories(spark, d), DIM)
 
 

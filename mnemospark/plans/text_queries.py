@@ -116,14 +116,8 @@ def remove_tags(spark, d):
     return X.read(spark, d, "pages").select("page_id", F.sha2(T.remove_tags(F.col("html")), 256).alias("digest"))
 
 
-@query("select id, len(w)::int n, md5(array_to_string(list_sort(w), ' ')) digest from (select id, list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '\\b\\w{4,}\\b')) w from texts)", "texts")
-def concept_tokens(spark, d):
-    w = T.concept_tokens(F.regexp_replace("text", r"[^\x00-\x7F]", " "))
-    return X.texts(spark, d).select("id", w.alias("w")).select("id", F.size("w").alias("n"), F.md5(F.array_join(F.array_sort("w"), " ").cast("binary")).alias("digest"))
-
-
 @query("select id, len(w)::int n, md5(array_to_string(list_sort(w), ' ')) digest from (select id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}')) w from texts)", "texts")
-def concept_tokens_unicode(spark, d):
+def concept_tokens(spark, d):
     w = T.concept_tokens(F.col("text"))
     return X.texts(spark, d).select("id", w.alias("w")).select("id", F.size("w").alias("n"), F.md5(F.array_join(F.array_sort("w"), " ").cast("binary")).alias("digest"))
 
@@ -226,7 +220,7 @@ def crawl_chunks(spark, d):
 
 @query(f"select id, chunk from (select id, unnest({PARAS}) chunk from texts)", "texts")
 def useful_chunks(spark, d):
-    parts = F.transform(F.split("text", r"\n\s*\n|(?=#+\s)"), T.stripped)
+    parts = F.transform(F.split("text", T.like_python(r"\n\s*\n|(?=#+\s)")), T.stripped)
     return X.texts(spark, d).select("id", F.explode(parts).alias("chunk")).where(C.useful(F.col("chunk")))
 
 
@@ -254,14 +248,15 @@ def session_exchanges(spark, d):
 @query("""with recursive ex as (select conv_id, row_number() over (partition by conv_id order by x) i, string_agg('[' || role || '] ' || text, chr(10) || chr(10) order by turn) t, count(*) n
 from (select *, sum(s) over (partition by conv_id order by turn) x from (select *, case when role in ('user', 'system') and lag(role) over (partition by conv_id order by turn) = 'assistant' then 1 else 0 end s from conversations)) group by conv_id, x),
 m as (select conv_id, i, 0 c, t, n from ex where i = 1
-union all select m.conv_id, ex.i, case when length(m.t) + length(ex.t) <= 800 then c else c + 1 end, case when length(m.t) + length(ex.t) <= 800 then m.t || chr(10) || chr(10) || '---' || chr(10) || chr(10) || ex.t else ex.t end, case when length(m.t) + length(ex.t) <= 800 then m.n + ex.n else ex.n end from m join ex on ex.conv_id = m.conv_id and ex.i = m.i + 1)
-select conv_id, c::int chunk_index, arg_max(t, i) "text", arg_max(n, i)::bigint turn_count from m group by conv_id, c""")
+union all select m.conv_id, ex.i, case when length(m.t) + length(ex.t) <= 800 then c else c + 1 end, case when length(m.t) + length(ex.t) <= 800 then m.t || chr(10) || chr(10) || '---' || chr(10) || chr(10) || ex.t else ex.t end, case when length(m.t) + length(ex.t) <= 800 then m.n + ex.n else ex.n end from m join ex on ex.conv_id = m.conv_id and ex.i = m.i + 1),
+whole as (select conv_id, c, arg_max(t, i) t, arg_max(n, i)::bigint n from m group by conv_id, c),
+para as (select conv_id, c, n, unnest(ps) p, generate_subscripts(ps, 1) i from (select *, string_split_regex(t, '\\n{2,}') ps from whole where length(t) > 1500)),
+grow as (select conv_id, c, n, i, 0 part, p t from para where i = 1
+union all select para.conv_id, para.c, para.n, para.i, case when t <> '' and length(t) + length(p) + 2 > 1500 then part + 1 else part end, case when t = '' or length(t) + length(p) + 2 > 1500 then p else t || chr(10) || chr(10) || p end from grow join para on para.conv_id = grow.conv_id and para.c = grow.c and para.i = grow.i + 1),
+parts as (select conv_id, c, n, part, """ + STRIP("arg_max(t, i)") + """ t from grow group by conv_id, c, n, part),
+every as (select conv_id, c, 0 part, n, t from whole where length(t) <= 1500 union all select conv_id, c, part, n, t from parts where t <> '' or part < (select max(part) from parts q where q.conv_id = parts.conv_id and q.c = parts.c))
+select conv_id, (row_number() over (partition by conv_id order by c, part) - 1)::int chunk_index, t "text", n turn_count from every""")
 def session_merge(spark, d):
-    return C.merge_exchanges(C.exchanges(X.turns(spark, d)), most=None)
-
-
-@query(None)
-def session_chunks(spark, d):
     return C.merge_exchanges(C.exchanges(X.turns(spark, d)))
 
 

@@ -290,3 +290,30 @@ def test_skill_commands_of_meta_files(spark):
     rows = [("skills/web/_meta.json", '{"commands": ["a b", "c", "d", "e", "f", "g"], "x": 1}'), ("skills/bad/_meta.json", "{"), ("skills/none/_meta.json", '{"x": 1}'), ("skills/web/SKILL.md", "text")]
     got = kg.extract_skills(spark.createDataFrame(rows, "source_file string, text string")).collect()
     assert {(r.subject, r.predicate, r.object, r.confidence, r.source_file) for r in got} == {("agent", "has_skill", "web", 1.0, rows[3][0]), *(("web", "has_command", c, 0.9, rows[0][0]) for c in ("a b", "c", "d", "e", "f"))}
+
+
+def test_text_functions_read_patterns_as_python_does(spark):
+    import re
+
+    odd = ["it failed\rto start", "a b  ", " 　x\x1c", "größe straße über naïveté x", "user: \nhi\n\n\n\nyo\u0085", "[Telegram größe x]\n text", "<größe a=1>t</größe>", "A. B! C", "\n\n\n", ""]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id long, text string")
+    t = F.col("text")
+    got = {r.id: r for r in rows.select("id", T.stripped(t).alias("s"), T.sanitize(t).alias("c"), T.remove_tags(t).alias("g"), T.concept_tokens(t).alias("w"), T.verdict(t).alias("v")).collect()}
+    for i, x in enumerate(odd):
+        clean = x
+        for p in T.REMOVALS:
+            clean = re.sub(p, "", clean)
+        assert got[i].s == x.strip() and got[i].g == re.sub(T.TAG, "", x)
+        assert got[i].c == re.sub(r"\n{3,}", "\n\n", clean).strip()
+        assert set(got[i].w) == set(re.findall(r"\b\w{4,}\b", x.lower()))
+        hits = [p for c in T.PATTERNS for p in T.PATTERNS[c] if re.search(p, x, re.I)]
+        assert set(got[i].v.patterns) <= set(hits) and bool(got[i].v.patterns) == bool(hits)
+    assert got[0].v.is_flagged and got[3].w == ["größe", "straße", "über", "naïveté"]
+
+
+def test_markdown_keeps_fences_and_any_text(spark):
+    fence = "```py\n# not a heading\n" + "x = 1\n" * 500 + "```"
+    for text in ("__CODE_BLOCK_3__ stays", f"# A\n\nBefore. {'Some words here. ' * 150}\n{fence}\nafter\n## B\n{fence}", "```\nnever closed"):
+        chunks = C.split_markdown(text)
+        assert sum(c.count(fence) for c, _ in chunks) == text.count(fence) and text[-20:].strip() in chunks[-1][0]
+    assert [h for _, h in C.split_markdown("# A\n" + "a " * 150 + "\n# B\n" + "b " * 150)] == ["# A", "# B"]
