@@ -144,22 +144,31 @@ def _ranks(h: np.ndarray, words: np.ndarray, depth: int) -> list[np.ndarray]:
 
 
 class LogarithmicIndex:
-    """Levels of sorted entries; each is at least twice as large as the next."""
+    """Levels of entries in suffix order, by hash, then what follows, then what precedes; each is at least twice as large as the next.
+
+    ``examined`` counts the entries of levels that batches were held against, and ``moved`` those that merges moved.
+    """
 
     def __init__(self, reach: int):
-        self.reach, self.levels = reach, []
+        self.reach, self.levels, self.examined, self.moved = reach, [], 0, 0
 
     def scan(self, batch: Entries, level: Entries | None) -> np.ndarray:
         """For each entry of the batch a bit k if the string that starts k bytes before its anchor is in an earlier document of the level (none: of the batch)."""
-        both = batch + level if level is not None else batch
-        shared = np.sort(both.h)
-        shared = np.unique(shared[1:][shared[1:] == shared[:-1]])
         mask = np.zeros(len(batch), np.uint32)
+        if level is None:
+            shared = np.sort(batch.h)
+            shared = np.unique(shared[1:][shared[1:] == shared[:-1]])
+            met = batch.take(slice(0, 0))
+        else:
+            shared = np.unique(batch.h)
+            lo, hi = np.searchsorted(level.h, shared), np.searchsorted(level.h, shared, side="right")
+            shared, lo, size = shared[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            met = level.take(np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum()))
+            self.examined += len(met)
         if not len(shared):
             return mask
-        at = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, both.h), len(shared) - 1)] == both.h)
-        both = both.take(at)
-        own = at < len(batch)
+        at = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, batch.h), len(shared) - 1)] == batch.h)
+        own, both = len(at), batch.take(at) + met
         left, right = _ranks(both.h, both.left, self.reach), _ranks(both.h, both.right, self.reach)
         for k in range(self.reach + 1):
             rows = np.flatnonzero((both.n_left >= k) & (both.n_right >= self.reach - k))
@@ -175,7 +184,7 @@ class LogarithmicIndex:
             ids = both.ids[rows[order]]
             earliest = np.minimum.reduceat(ids, np.flatnonzero(new))[np.cumsum(new) - 1]
             hit = rows[order[earliest < ids]]
-            hit = hit[own[hit]]
+            hit = hit[hit < own]
             mask[at[hit]] |= np.uint32(1 << k)
         return mask
 
@@ -186,15 +195,41 @@ class LogarithmicIndex:
             mask |= self.scan(batch, level)
         self.levels.append(self.sorted(batch))
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            self.levels[-2:] = [self.sorted(self.levels[-2] + self.levels[-1])]
+            self.levels[-2:] = [self.merged(*self.levels[-2:])]
         return mask
 
+    def merged(self, a: Entries, b: Entries) -> Entries:
+        """Two levels as one: their runs are merged by hash, and only the entries of hashes that both have are put in order anew."""
+        both = a + b
+        self.moved += len(both)
+        order = np.argsort(both.h, kind="stable")  # of two sorted runs, this merges them
+        e, second = both.take(order), order >= len(a)
+        group = np.cumsum(_firsts(e.h)) - 1
+        n = np.bincount(group)
+        of_b = np.bincount(group, second)
+        rows = np.flatnonzero(((of_b > 0) & (of_b < n))[group])
+        if not len(rows):
+            return e
+        tied = e.take(rows)
+        at = self.suffix_order(tied)
+        place = np.arange(len(e))
+        place[rows] = rows[at]
+        keep = np.ones(len(e), bool)
+        keep[rows] = self.distinct(tied.take(at))
+        return e.take(place[keep])
+
     @staticmethod
-    def sorted(e: Entries) -> Entries:
-        """In suffix order; of equal surroundings the first document's stays."""
-        order = np.lexsort([e.ids, e.n_right, e.n_left, *e.left.T[::-1], *e.right.T[::-1], e.h])
-        e = e.take(order)
-        return e.take(_firsts(e.h, *e.right.T, *e.left.T, e.n_left, e.n_right))
+    def suffix_order(e: Entries) -> np.ndarray:
+        return np.lexsort([e.ids, e.n_right, e.n_left, *e.left.T[::-1], *e.right.T[::-1], e.h])
+
+    @staticmethod
+    def distinct(e: Entries) -> np.ndarray:
+        """Of equal surroundings in suffix order, the first document's."""
+        return _firsts(e.h, *e.right.T, *e.left.T, e.n_left, e.n_right)
+
+    def sorted(self, e: Entries) -> Entries:
+        e = e.take(self.suffix_order(e))
+        return e.take(self.distinct(e))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, gram: int = 26, digest: bool = False, batch: int = 1 << 16, hot: int = 4096, clean: bool = False) -> DataFrame:
