@@ -2,8 +2,9 @@
 
 Every window of a text whose first words begin some benchmark n-gram is spelt out
 and looked up in the table of n-grams, word for word, so a hit is verified by
-equality.  The table and its heads are broadcast while they are under stated
-sizes; a larger benchmark is joined by a shuffle, without heads.
+equality.  Heads are kept as bits of a bitmap of at most 16 MB at any size of the
+benchmark, so that only windows that begin like an n-gram are spelt out; the
+table is broadcast while it is under a stated size, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._exchange import fresh, written
+
 #: What no word holds: ASCII other than digits and lower-case letters.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before letters are lower-cased.
 OTHER, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 HEAD = 4
-MAX_BROADCAST, MAX_HEADS = 200_000, 20_000
+MAX_BROADCAST = 200_000
+#: Bits for each n-gram, and the least and the most of them in all, as powers of two.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 15, 27
 
 
 def lowered(text: Column) -> Column:
@@ -37,13 +42,33 @@ def ngrams(benchmark: DataFrame, n: int, item_col: str, text_col: str) -> DataFr
     w = w.withColumn("size", F.least(F.size("w"), F.lit(n)))
     cut = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: F.slice("w", i, F.col("size")))
     rows = w.select("item", "size", F.explode(cut).alias("g"))
-    head = F.xxhash64(*[F.get("g", F.lit(k)) for k in range(HEAD)])
-    return rows.groupBy("size", F.array_join("g", " ").alias("gram"), head.alias("head")).agg(F.collect_set("item").alias("items"))
+    return rows.groupBy("size", F.array_join("g", " ").alias("gram"), _head("g", F.lit(0), F.col("size")).alias("head")).agg(F.collect_set("item").alias("items"))
+
+
+def _head(words_col: str, at: Column, size: Column) -> Column:
+    """Hash of a window's size and its first words; of a window shorter than that, of all of them."""
+    return F.xxhash64(size, *[F.when(k < size, F.get(words_col, at + k)) for k in range(HEAD)])
+
+
+def bitmap(heads: DataFrame, bits: int) -> bytes:
+    """``bits`` bits, of which the head modulo ``bits`` is set for each head."""
+    place = F.pmod("head", F.lit(bits)) + 1
+    rows = heads.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("part")).collect()
+    out = bytearray(max(bits // 8, 4096))
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["part"]
+    return bytes(out[: bits // 8])
 
 
-def _begins(size: int, heads: list[int]):
-    """Whether the first words at a place are those of some n-gram."""
-    return lambda i: F.xxhash64(*[F.get("w", i + k) if k < size else F.lit(None).cast("string") for k in range(HEAD)]).isin(heads)
+def _begins(size: int, bits: Column, count: int):
+    """Whether the first words at a place may be those of some n-gram."""
+
+    def holds(i: Column) -> Column:
+        place = F.pmod(_head("w", i, F.lit(size)), F.lit(count))
+        byte = F.ascii(F.decode(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+        return F.getbit(byte, (place % 8).cast("int")) == 1
+
+    return holds
 
 
 def _window(size: int):
@@ -52,18 +77,16 @@ def _window(size: int):
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
     """One row per row of docs: (row, doc_id, digest of the text, n_words, found array<(at, size, items)>)."""
-    grams = ngrams(benchmark, n, item_col, item_text_col)
+    grams = written(ngrams(benchmark, n, item_col, item_text_col))
     sizes = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count("*").alias("n")).collect()}  # n rows at most
-    small, heads = sum(sizes.values()) <= MAX_BROADCAST, None
-    if sum(sizes.values()) <= MAX_HEADS:
-        heads = {s: [r[0] for r in grams.where(F.col("size") == s).select("head").distinct().collect()] for s in sizes}
+    small = sum(sizes.values()) <= MAX_BROADCAST
+    count = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * sum(sizes.values())).bit_length()))
+    bits = F.lit(bitmap(grams, count))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), words(F.col(text_col)).alias("w"))
     windows = [F.array(F.struct(F.lit(-1).alias("at"), F.size("w").alias("size"), F.lit(None).cast("string").alias("gram")))]
     for size in sorted(sizes):
         at = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size)).otherwise(F.array().cast("array<int>"))
-        if heads:
-            at = F.filter(at, _begins(size, heads[size]))
-        windows.append(F.transform(at, _window(size)))
+        windows.append(F.transform(F.filter(at, _begins(size, bits, count)), _window(size)))
     rows = base.select("row", "doc_id", "digest", F.explode(F.concat(*windows)).alias("x")).select("row", "doc_id", "digest", "x.at", "x.size", "x.gram")
     table = grams.select(F.col("size").alias("g_size"), F.col("gram").alias("g_gram"), "items")
     met = rows.join(F.broadcast(table) if small else table, (F.col("gram") == F.col("g_gram")) & (F.col("size") == F.col("g_size")), "left").where((F.col("at") < 0) | F.col("items").isNotNull())
@@ -100,16 +123,22 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, share: int = 20, spans: bool = False) -> DataFrame:
-    """``docs`` without contaminated rows, or with ``spans`` without the words hit in them (each with what follows it up to the next word)."""
+    """``docs`` without contaminated rows, or with ``spans`` without the words hit in them (each with what follows it up to the next word).
+
+    Contamination is as judge() has it.  Null and empty texts, and texts without hits, stay as
+    they are; rows of equal id and text share one fate, a null id included.  All columns stay;
+    an empty table gives no rows.
+    """
     found = hits(docs, benchmark, id_col, text_col, item_col, item_text_col, n)
+    own_id, own_text, own_found = (fresh(docs, c) for c in ("bad_id", "bad_digest", "bad_found"))
     hit = covered(F.col("found"))
-    bad = found.where((hit > 0) & (share * hit >= F.col("n_words"))).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("found").alias("__found")).dropDuplicates(["__id", "__digest"])
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__digest"))
+    bad = found.where((hit > 0) & (share * hit >= F.col("n_words"))).select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_text), F.col("found").alias(own_found)).dropDuplicates([own_id, own_text])
+    same = docs[id_col].eqNullSafe(bad[own_id]) & (F.xxhash64(docs[text_col]) == bad[own_text])
     if not spans:
-        return docs.join(bad.drop("__found"), same, "left_anti")
+        return docs.join(bad.drop(own_found), same, "left_anti")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD}+{OTHER}*)"), F.lit(1))
-    stay = F.filter(pieces, lambda p, i: ~F.exists("__found", lambda x: (x["at"] <= i) & (i < x["at"] + x["size"])))
-    cut = F.when(F.col("__found").isNotNull(), F.concat(F.regexp_extract(text_col, f"^{OTHER}*", 0), F.array_join(stay, ""))).otherwise(F.col(text_col))
+    stay = F.filter(pieces, lambda p, i: ~F.exists(own_found, lambda x: (x["at"] <= i) & (i < x["at"] + x["size"])))
+    cut = F.when(F.col(own_found).isNotNull(), F.concat(F.regexp_extract(text_col, f"^{OTHER}*", 0), F.array_join(stay, ""))).otherwise(F.col(text_col))
     return docs.join(bad, same, "left").select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
