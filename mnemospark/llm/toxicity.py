@@ -2,10 +2,12 @@
 
 Many voters each look for one thing: a stem of a lexicon (fixed, and mined from labelled
 texts in any language), or a pattern (shouting, a run of marks, an address to the reader,
-a text with nothing of the kind).  A generative label model holds that each voter, where
-it votes, is right with its own probability, and that voters which fire together beyond
-what the label explains share one vote; both are estimated by expectation maximisation.
-A linear classifier is trained on the posterior labels and scores every text.
+a text with nothing of the kind).  A generative label model holds that each voter votes at
+one rate on toxic texts and at another on others, and that voters which go together within
+either label share one vote; the rates are estimated by expectation maximisation over
+texts with and without a label.  The annotator who labelled texts is one more voter, of
+known accuracy.  A linear classifier, which does not see that voter, is trained on the
+posterior labels of all these texts; its scale is set on the labelled ones.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 from . import _linear as L
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
-MAX_LABELLED, MAX_STEMS = 20_000, 400
-#: How often a given label is right: it is one more voter on the texts that have one.
-ANNOTATOR = 0.98
+MAX_LABELLED = MAX_UNLABELLED = 20_000
+#: How often a given label is right.
+ANNOTATOR = 0.999999
 STEM = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 
@@ -44,7 +46,7 @@ def stems(text: str | None) -> set[str]:
 
 
 def mine(sample: DataFrame, least: float = 0.02, odds: float = 20.0) -> list[str]:
-    """At most MAX_STEMS stems that a share ``least`` of toxic texts have and others hardly do, the shortest that serve."""
+    """Stems that a share ``least`` of toxic texts have (so at most 1 / least times the stems of one text) and others hardly do, the shortest that serve."""
 
     def run(batches):
         count: dict[str, list[int]] = {}
@@ -66,21 +68,15 @@ def mine(sample: DataFrame, least: float = 0.02, odds: float = 20.0) -> list[str
         count[""] = n
         yield from rows()
 
-    toxic = F.col("__label") == 1
-    rows = sample.select("__text", "__label").mapInArrow(run, "stem string, other long, toxic long").groupBy("stem").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    toxic = F.col("label") == 1
+    rows = sample.select("text", "label").mapInArrow(run, "stem string, other long, toxic long").groupBy("stem").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     total = sample.agg(F.count(F.when(~toxic, 1)).alias("other"), F.count(F.when(toxic, 1)).alias("toxic")).first()
     if not total["toxic"] or not total["other"]:
         return []
     ratio = (F.col("toxic") + 0.5) / (F.col("other") + 0.5) * (total["other"] / total["toxic"])
-    best = rows.where((F.col("stem") != "") & (F.col("toxic") >= max(3, least * total["toxic"])) & (ratio >= odds)).select("stem", (F.col("toxic") * F.log(ratio)).alias("gain")).orderBy(F.desc("gain"), "stem").limit(10 * MAX_STEMS).collect()
-    chosen: list[str] = []
-    for r in best:
-        s = r["stem"]
-        if not any(s[:k] in chosen for k in STEM):
-            chosen = [c for c in chosen if not (not s.endswith(" ") and c.startswith(s))] + [s]
-        if len(chosen) >= MAX_STEMS:
-            break
-    return chosen
+    best = rows.where((F.col("stem") != "") & (F.col("toxic") >= max(3, least * total["toxic"])) & (ratio >= odds)).select("stem").collect()
+    known = {r["stem"] for r in best}
+    return sorted(s for s in known if not any(s[:k] in known for k in STEM if k < len(s)))
 
 
 def voters(stem_list: list[str]):
@@ -117,25 +113,34 @@ def _letter(c: str) -> bool:
 
 
 class LabelModel:
-    """Probabilities that each voter is right where it votes, and groups of voters that share one vote."""
+    """How often each voter votes on toxic texts and on others, and groups of voters that share one vote."""
 
     def __init__(self, fired: np.ndarray, hint: np.ndarray, rounds: int = 15, together: float = 0.3):
-        """fired: (texts, voters) 0/1, the last voter says "not toxic"; hint: each text's given label, which holds half of its weight throughout."""
-        self.groups = np.eye(fired.shape[1], dtype=np.float32)
-        given = q = np.clip(hint.astype(float), 0.02, 0.98)
-        for step in range(rounds):
+        """fired: (texts, voters) 0/1; hint: how likely each text is toxic as the estimation begins, 0 or 1 where the annotator labelled it.
+
+        The annotator is one more voter, who is right with probability ANNOTATOR and abstains on other texts.
+        """
+        hint = np.asarray(hint, float)
+        self.groups = self._groups(fired, hint, together)
+        annotator = np.where(hint == 1, 1, np.where(hint == 0, -1, 0)) * np.log(ANNOTATOR / (1 - ANNOTATOR))
+        q = np.clip(hint, 0.02, 0.98)
+        for _ in range(rounds):
             self.prior = float(np.clip(q.mean(), 1e-3, 0.999))
-            self.accuracy = (fired.T @ q + 2 * self.prior) / (fired.sum(axis=0) + 2)
-            if step in (0, rounds // 2):
-                self.groups = self._groups(fired, q, together)
-            q = (given + self.posterior(fired)) / 2
+            self.rates = [(fired.T @ w + 0.5) / (w.sum() + 1) for w in (q, 1 - q)]
+            self.told = q = L.sigmoid(self.log_odds(fired) + annotator)
+
+    @property
+    def accuracy(self) -> np.ndarray:
+        """How likely a text is toxic by each voter's vote alone."""
+        toxic, other = self.rates
+        return self.prior * toxic / (self.prior * toxic + (1 - self.prior) * other)
 
     @staticmethod
-    def _groups(fired: np.ndarray, q: np.ndarray, together: float) -> np.ndarray:
-        """(voters, groups) 0/1: voters are in one group if they correlate within either label, or others link them."""
+    def _groups(fired: np.ndarray, hint: np.ndarray, together: float) -> np.ndarray:
+        """(voters, groups) 0/1: voters are in one group if they correlate within the texts of either label, or others link them."""
         n = fired.shape[1]
         linked = np.eye(n, dtype=bool)
-        for within in (q >= 0.5, q < 0.5):
+        for within in (hint == 1, hint == 0):
             x = fired[within].astype(float)
             often = np.flatnonzero(x.sum(axis=0) >= 5)
             if len(often):
@@ -151,22 +156,33 @@ class LabelModel:
             group = least
 
     def log_odds(self, fired: np.ndarray) -> np.ndarray:
-        """The prior's, and of each group the mean of the voters that fired."""
-        a, base = np.clip(self.accuracy, 1e-4, 1 - 1e-4), np.log(self.prior / (1 - self.prior))
-        said = (fired * (np.log(a / (1 - a)) - base)) @ self.groups
-        return base + (said / np.maximum(fired @ self.groups, 1)).sum(axis=1)
+        """The prior's, and of each group the mean of the voters that voted, or of all of them if none did."""
+        toxic, other = self.rates
+        vote, silence = np.log(toxic / other), np.log((1 - toxic) / (1 - other))
+        voted = fired @ self.groups
+        said = (fired * vote) @ self.groups / np.maximum(voted, 1)
+        unsaid = silence @ self.groups / self.groups.sum(axis=0)
+        return np.log(self.prior / (1 - self.prior)) + said.sum(axis=1) + (voted == 0) @ unsaid
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
         return L.sigmoid(self.log_odds(fired))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MAX_LABELLED):
-    """A function from a list of texts to their scores, learnt as classify() says."""
+def learning_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, most: int, unlabelled: int) -> DataFrame:
+    """(text, label): distinct texts of at most ``most`` labelled ids and of at most ``unlabelled`` ids of any kind, label null where not given; all outside the held-out fold."""
+    named = L.learning_ids(labels, id_col, label_col, folds, held, most)
+    i = F.col(id_col)
+    free = docs.select(i.alias("id")).where(i.isNotNull() & L.outside(i, folds, held)).distinct().orderBy(F.xxhash64("id"), "id").limit(unlabelled)
+    ids = named.union(free.select("id", F.lit(None).cast("int").alias("label"))).groupBy("id").agg(F.max("label").alias("label"))
+    return L.texts_of(docs, ids, id_col, text_col).groupBy("text").agg(F.max("label").alias("label"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MAX_LABELLED, unlabelled: int = MAX_UNLABELLED):
+    """A function from a list of texts to their scores, learnt as classify() says; null and empty texts, repeats and ties included."""
     from ._exchange import written
 
-    chosen = L.labelled(docs, labels, id_col, label_col, folds, held, most)
-    sample = written(chosen.select(F.col(text_col).alias("__text"), "__label").distinct())
-    known, _ = voters(found := mine(sample))
+    sample = written(learning_texts(docs, labels, id_col, text_col, label_col, folds, held, most, unlabelled))
+    known, _ = voters(found := mine(sample.where("label is not null")))
     width = len(known) + len(PATTERNS) + 1
 
     def ballots(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -191,18 +207,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             on = [np.flatnonzero(f).astype(np.int32) for f in fired]
             yield pa.RecordBatch.from_arrays([pa.array(on, pa.list_(pa.int32())), pa.array(counts.tolist(), pa.list_(pa.float64())), b.column(1)], ["fired", "counts", "label"])
 
-    rows = sample.mapInArrow(cast, "fired array<int>, counts array<double>, label int").collect()
-    fired, label = np.zeros((len(rows), width), np.float32), np.array([r["label"] for r in rows])
+    rows = sorted(((r["fired"], r["counts"], -1 if r["label"] is None else r["label"]) for r in sample.mapInArrow(cast, "fired array<int>, counts array<double>, label int").collect()))  # at most most + unlabelled
+    fired, label = np.zeros((len(rows), width), np.float32), np.array([r[2] for r in rows])
     for i, r in enumerate(rows):
-        fired[i, r["fired"]] = 1
+        fired[i, r[0]] = 1
+    given = label >= 0
     if found:
-        model = LabelModel(fired, label)
-        annotator = np.where(label == 1, 1, -1) * np.log(ANNOTATOR / (1 - ANNOTATOR))
-        weights = L.logistic(features(model, fired, np.array([r["counts"] for r in rows])), L.sigmoid(model.log_odds(fired) + annotator))
+        model = LabelModel(fired, np.where(given, label, label[given].mean()))
+        x = features(model, fired, np.array([r[1] for r in rows]))
+        weights = L.logistic(x, model.told)
+        scale, shift = L.logistic(np.column_stack([x[given] @ weights, np.ones(given.sum())]), label[given], ridge=0.1)
+        weights = max(scale, 0.05) * weights
+        weights[4] += shift  # of the column of ones
     else:
-        guess = np.eye(width)
-        model = LabelModel(guess, np.r_[np.full(len(known), 0.9), np.full(len(PATTERNS), 0.1), 0.02], rounds=1)
-        model.prior, weights = 0.1, np.eye(1, 5 + width)[0]
+        model = LabelModel(np.eye(width, dtype=np.float32), np.zeros(width), rounds=1)
+        model.prior, model.groups = 0.1, np.eye(width, dtype=np.float32)
+        model.rates = [np.r_[np.full(len(known), p), np.full(len(PATTERNS), 0.01), r] for p, r in ((0.3, 0.1), (0.003, 0.9))]
+        weights = np.eye(1, 5 + width)[0]
 
     def score(texts: list) -> np.ndarray:
         if not texts:
@@ -212,17 +233,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return score
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MAX_LABELLED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MAX_LABELLED, unlabelled: int = MAX_UNLABELLED) -> DataFrame:
     """Score of every whole text; ``predicted`` is 1 from 0.7 on.
 
     One row per input row: ``(doc_id, held_out, score, predicted)``.  Labels are used of at most ``most`` labelled
-    ids outside the held-out fold (crc32 of the id as text mod ``folds`` is ``held``): to mine stems and to anchor the
-    label model.  Rows with a null id are never held out or learnt from.  Null and empty texts have no
+    ids outside the held-out fold (crc32 of the id as text mod ``folds`` is ``held``): to mine stems, as votes and to set the scale; the label model sees the texts of at most ``unlabelled`` ids beside.  Rows with a null id are never held out or learnt from.  Null and empty texts have no
     votes but that nothing was found.  Without labels of both kinds only the fixed lexicon and the patterns
     vote, at even odds against the prior of one in ten.  Of several labels of an id the greatest counts.
     Repeated rows are scored each; an empty table gives no rows; other columns are not read.
     """
-    score = fit(docs, labels, id_col, text_col, label_col, folds, held, most)
+    score = fit(docs, labels, id_col, text_col, label_col, folds, held, most, unlabelled)
 
     def run(batches):
         for b in batches:
@@ -232,9 +252,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 
 
-def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MAX_LABELLED) -> DataFrame:
-    """The rows of docs, all columns as they are, whose score is under 0.7."""
-    score, at = fit(docs, labels, id_col, text_col, label_col, folds, held, most), docs.columns.index(text_col)
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MAX_LABELLED, unlabelled: int = MAX_UNLABELLED) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is under 0.7.
+
+    Rows are judged each by their whole text, as classify() does: rows with a null id, null and
+    empty texts too; equal texts share one fate.  An empty table gives no rows.
+    """
+    score, at = fit(docs, labels, id_col, text_col, label_col, folds, held, most, unlabelled), docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
