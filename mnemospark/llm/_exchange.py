@@ -34,9 +34,11 @@ def width(spark: SparkSession) -> int:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a folder of this machine only where that is unset (local tests)."""
+    """A new folder below spark.checkpoint.dir.  Where that is unset, a folder of this machine, which only a local master has to itself."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         top = tempfile.mkdtemp(prefix="mnemospark-")
@@ -44,6 +46,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df has not, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """The rows, written to the shared folder (``path``, or a new one) and read again: cuts lineage and survives lost executors.  ``by``: a folder for each value."""
     spark, path = df.sparkSession, path or scratch(df.sparkSession)

@@ -16,7 +16,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _exchange as X
@@ -25,6 +25,8 @@ from .components import connected_components
 BITS = 64
 #: Fingerprints compared at once; a signature with more is split into blocks that meet in pairs.
 BLOCK = 512
+#: Rows of one fingerprint that a task names.
+HOT = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -41,15 +43,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) for each row; fp is the fingerprint's 64 bits as a long, 0 for texts without words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, more: tuple[str, Column] | None = None) -> DataFrame:
+    """(id, fp) for each row; fp is the fingerprint's 64 bits as a long, 0 for texts without words.  ``more``: a name and a long that go along."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["id", "fp", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    names = [more[0]] if more else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([more[1].alias(more[0])] if more else []))
+    return rows.mapInArrow(run, "id long, fp long" + "".join(f", {c} long" for c in names))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -203,6 +207,20 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _grouped(fps: DataFrame, distance: int) -> DataFrame:
+    """``fps`` with component_id: the smallest id that links of each fingerprint reach."""
+    nodes = X.written(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    groups = connected_components(links(nodes.select("fp"), distance), "a", "b")
+    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    members = X.written(named.select("fp", "n", "component").join(names, "component").select("fp", "n", "component_id"))
+    # rows of a fingerprint that very many texts share go to many tasks: at most one such fingerprint for HOT rows
+    hot = members.where(F.col("n") > HOT).select("fp", F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
+    dealt = fps.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
+    copies = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / HOT) - 1).cast("int")))
+    return dealt.drop("blocks").join(members.select("fp", "component_id", copies.alias("salt")), ["fp", "salt"]).drop("salt")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """Fingerprint and group of every row: ``(doc_id, fingerprint, component_id)``.
 
@@ -211,19 +229,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has fingerprint zero and is linked like any other.  Rows whose fingerprints differ in at
     most ``distance`` bits are linked; ``component_id`` is the smallest doc_id that links reach.
     Equal fingerprints are one node whatever their number.  Rows with a null id are in
-    groups too, but never name one: component_id is null if no id is reached.
+    groups too, but never name one: component_id is null if no id is reached.  Repeated rows
+    are returned each; an empty table gives no rows; other columns are not read.
     """
-    fps = X.written(fingerprints(docs, id_col, text_col, shingle))
-    nodes = X.written(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    groups = connected_components(links(nodes.select("fp"), distance), "a", "b")
-    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    members = named.select("fp", "component").join(names, "component").select("fp", "component_id")
-    return fps.join(members, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _grouped(X.written(fingerprints(docs, id_col, text_col, shingle)), distance)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs``, of each near-duplicate group only those with its smallest id (all rows whose id is null)."""
-    found = near_duplicates(docs, id_col, text_col, shingle, distance)
-    rest = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(rest, docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, of each near-duplicate group only those with its smallest id.
+
+    Rows whose id is null all stay.  Of an id that several rows have, those rows go whose own
+    text has a smaller id in its group; equal rows share one fate.  Null and empty texts are one
+    group.  All columns stay as they are; an empty table gives no rows.
+    """
+    digest, i = X.fresh(docs, "text_digest"), X.fresh(docs, "gone_id")
+    fps = X.written(fingerprints(docs, id_col, text_col, shingle, ("digest", F.xxhash64(F.col(text_col)))))
+    gone = _grouped(fps, distance).where(F.col("id") != F.col("component_id")).select(F.col("id").alias(i), F.col("digest").alias(digest)).distinct()
+    return docs.join(gone, (docs[id_col] == gone[i]) & (F.xxhash64(docs[text_col]) == gone[digest]), "left_anti")
