@@ -76,7 +76,7 @@ def test_toxicity_held_out(docs, labels):
 
 @pytest.mark.parametrize("module", [ranking, toxicity])
 def test_classifiers_odd_rows(spark, labels, module):
-    df = spark.createDataFrame([(None, "a b"), (1, None), (2, ""), (2, "A  a ½ idiot"), (3, "word " * 20_000)], DOC).selectExpr("*", "1 as quality", "2 as score", "3 as id")
+    df = spark.createDataFrame([(None, "a b"), (1, None), (2, ""), (2, "A  a ½ idiot"), (3, "word " * 20_000)], DOC).selectExpr("*", "1 as quality", "2 as score", "3 as id", "4 as __label", "5 as label", "6 as __id")
     odd = labels.limit(3).union(spark.createDataFrame([(None, 1, 1), (1, None, None), (2, 0, 0), (2, 1, 1)], labels.schema))
     for given in (labels, odd, labels.limit(0)):
         assert Counter(r.doc_id for r in module.classify(df, given).collect()) == Counter([None, 1, 2, 2, 3])
@@ -170,14 +170,74 @@ def test_decontamination_is_sql(spark):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(want) and any(r[0] for r in want)
 
 
-@pytest.mark.parametrize("heads", [20_000, 0])
-def test_decontamination_odd_rows(spark, monkeypatch, heads):
-    monkeypatch.setattr(decontaminate, "MAX_HEADS", heads)
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", heads)
-    docs = spark.createDataFrame([(1, "x, Aa bB? cc"), (2, None), (None, "AA BB"), (3, "zz"), (4, "éa É" + " q" * 100)], DOC).selectExpr("*", "1 as row", "2 as gram")
+@pytest.mark.parametrize(("most", "bits"), [(200_000, 27), (0, 15), (0, 3)])
+def test_decontamination_odd_rows(spark, monkeypatch, most, bits):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", most)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    docs = spark.createDataFrame([(1, "x, Aa bB? cc"), (2, None), (None, "AA BB"), (3, "zz"), (4, "éa É" + " q" * 100)], DOC).selectExpr("*", "1 as row", "2 as gram", "3 as bad_id", "4 as BAD_DIGEST", "5 as bad_found")
     bench = spark.createDataFrame([(1, "aa  bb"), (None, "zz"), (4, ""), (5, None), (6, "é")], "item_id long, text string")
     rows = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.judge(docs, bench).collect()}
     assert rows == {1: (4, 2, 1, True), 2: (0, 0, 0, False), None: (2, 2, 1, True), 3: (1, 1, 0, True), 4: (102, 0, 0, False)}
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {2, 4}
     assert {r.doc_id: r.text for r in decontaminate.clean(docs, bench, spans=True).collect()} == {1: "x, cc", 2: None, None: "", 3: "", 4: "éa É" + " q" * 100}
     assert decontaminate.judge(docs.limit(0), bench).count() == 0 and not any(r.contaminated for r in decontaminate.judge(docs, bench.limit(0)).collect())
+
+
+def test_only_windows_that_may_hit_are_spelt_out(spark):
+    rng = np.random.default_rng(0)
+    text = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 5000, k))
+    bench = spark.createDataFrame([(i, text(400)) for i in range(150)], "item_id long, text string")
+    grams = decontaminate.ngrams(bench, 13, "item_id", "text")
+    bits = 1 << 22
+    held = decontaminate.bitmap(grams, bits)
+    heads = [r[0] % bits for r in grams.select("head").collect()]
+    assert len(heads) > 50_000 and sum(bin(b).count("1") for b in held) == len(set(heads)) and all(held[h >> 3] >> (h & 7) & 1 for h in heads)
+    w = spark.createDataFrame([(text(2000).split(),) for _ in range(20)], "w array<string>")
+    from pyspark.sql import functions as F
+
+    begun = F.filter(F.sequence(F.lit(0), F.size("w") - 13), decontaminate._begins(13, F.lit(held), bits))
+    assert w.agg(F.sum(F.size(begun))).first()[0] < 0.03 * 20 * 1988
+
+
+@pytest.mark.parametrize("module", [ranking, toxicity])
+def test_classifiers_do_not_depend_on_the_order_of_rows(docs, labels, module):
+    a, b = ({r.doc_id: r.score for r in module.classify(d, labels).collect()} for d in (docs, docs.repartition(7).orderBy("text")))
+    assert max(abs(a[i] - b[i]) for i in a) < 1e-9
+
+
+def test_pairs_are_all_pairs():
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0.5, 1, (70, 3)), rng.normal(0, 1, (50, 3))
+    w = _linear.pairwise(good, bad, ridge=1e-3, block=16)
+
+    def loss(v):
+        return np.log1p(np.exp(-(good @ v)[:, None] + (bad @ v)[None, :])).mean() + 1e-3 * (v @ v) / 2
+
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in rng.normal(0, 0.05, (200, 3)))
+    x, y = np.vstack([good, bad]), np.r_[np.ones(70), np.zeros(50)]
+    score = ranking.Model(x, y).score(x)
+    assert abs((score >= 0.7).mean() - 70 / 120) < 0.02  # the quantile that the share of worse texts marks
+
+
+def test_label_model_is_the_enumerated_posterior():
+    """The posterior of every pattern of votes against Bayes' rule written out, and the fixed point of the estimation; half of the texts are labelled."""
+    rng = np.random.default_rng(3)
+    y, named = rng.random(6000) < 0.4, np.arange(6000) < 3000
+    fired = np.column_stack([np.where(y, rng.random(6000) < a, rng.random(6000) < b) for a, b in ((0.6, 0.1), (0.5, 0.05), (0.2, 0.4))]).astype(np.float32)
+    m = toxicity.LabelModel(fired, np.where(named, y, y[named].mean()), rounds=60)
+    for votes in {tuple(x) for x in fired.tolist()}:
+        toxic, other = (p * np.prod([r if v else 1 - r for r, v in zip(rates, votes)]) for p, rates in zip((m.prior, 1 - m.prior), m.rates))
+        assert abs(m.posterior(np.array([votes], np.float32))[0] - toxic / (toxic + other)) < 1e-5
+    assert (m.told[named] > 0.5).tolist() == y[named].tolist()
+    q = np.where(named, y, m.posterior(fired))
+    for rates, w in zip(m.rates, (q, 1 - q)):
+        assert np.allclose((fired.T @ w + 0.5) / (w.sum() + 1), rates, atol=0.01)
+    assert np.allclose(m.rates[0], (0.6, 0.5, 0.2), atol=0.05) and np.allclose(m.rates[1], (0.1, 0.05, 0.4), atol=0.05)
+    assert ((m.posterior(fired) >= 0.5) == y)[~named].mean() > 0.75
+
+
+def test_clean_keeps_rows_as_they_are(spark, labels):
+    rows = [(None, "a b", 1, 2), (1, None, 1, 2), (2, "", 1, 2), (2, "", 1, 2), (3, "x", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int, score int")
+    assert Counter(map(tuple, toxicity.clean(df, labels).collect())) == Counter(rows)
+    assert toxicity.clean(df.limit(0), labels).collect() == []

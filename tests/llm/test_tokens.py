@@ -108,9 +108,27 @@ def test_index_levels_double():
         assert not family.add(e).any()
     sizes = [len(x) for x in family.levels]
     assert sum(sizes) == 900 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    for level in family.levels:
+        assert (family.suffix_order(level) == np.arange(len(level))).all()
     assert family.add(e).sum() == 0 and (family.scan(suffix_dedup.Entries(*[*list(vars(e).values())[:-1], np.full(100, 99)]), family.levels[-1]) > 0).all()
 
 
+def test_index_examines_in_proportion():
+    def work(n):
+        rng, family = np.random.default_rng(1), suffix_dedup.LogarithmicIndex(24)
+        h = rng.integers(0, n, n).astype(np.uint64)  # a hash is met about twice
+        around = rng.integers(0, 3, (n, 3)).astype(np.uint64)
+        e = suffix_dedup.Entries(h, around, around[::-1].copy(), np.full(n, 24, np.uint8), np.full(n, 24, np.uint8), np.arange(n))
+        mask = np.concatenate([family.add(e.take(np.arange(i, i + 500))) for i in range(0, n, 500)])
+        return family.examined, family.moved, mask, e
+
+    few, moved, mask, e = work(8000)
+    many, more, *_ = work(16000)
+    assert many < 2.2 * few and more < 2.5 * moved  # not four times, as without order
+    plain = suffix_dedup.LogarithmicIndex(24).scan(e, None)
+    assert (mask == plain).all()
+
+
 def plain_fingerprint(text):
     import xxhash
 
@@ -319,3 +337,23 @@ def test_seats_of_large_dishes_are_those_of_single_seating():
 
 def test_scratch_is_the_shared_folder(spark):
     assert _exchange.scratch(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_representatives_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 2)
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, a), (5, b), (3, b), (None, a), (9, a), (9, a), (2, None), (4, ""), (7, "zz"), (7, "zz")]
+    df = spark.createDataFrame(rows, DOC).selectExpr("*", "1 as __gone", "2 as gone_id", "3 as Text_Digest", "4 as fp")
+    kept = Counter((r.doc_id, r.text) for r in simhash.representatives(df).collect())
+    assert kept == Counter([(5, a), (3, b), (None, a), (2, None), (7, "zz"), (7, "zz")])
+    assert simhash.representatives(df).columns == df.columns and simhash.representatives(df.limit(0)).collect() == []
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x" * 500_000)], DOC)
+    rows = [(r.doc_id, r.text.encode()) for r in df.collect()]
+    got = {r.doc_id: r for r in suffix_dedup.deduplicate(df, digest=True).collect()}
+    assert got[1].n_removed == 0 and got[2].n_bytes == len(rows[1][1]) and got[2].n_removed >= len(rows[0][1]) - 50
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(df).collect()} == {i: format(plain_fingerprint(b.decode()), "016x") for i, b in rows}
+    assert all(math.isfinite(r.score) for r in hpy.score(df).collect())
