@@ -50,3 +50,25 @@ def test_odd_pages(spark):
     got = fixity.replicas(df).collect()
     assert sorted((r.page_id is None, r.verdict) for r in got) == [(False, "corrupt"), (False, "missing"), (False, "ok"), (False, "ok"), (True, "ok"), (True, "ok")]
     assert fixity.replicas(df.limit(0)).collect() == []
+
+
+def test_replicas_have_offsets_of_their_own(spark):
+    """A record that is lost or longer shifts what follows it in its file, which is not called corrupt."""
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (20 + i % 7)) for i in range(1500)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in fixity.replicas(pages).collect()}
+    want = {i: "missing" if i % 211 == 7 else "corrupt" if i % 97 == 5 or i % 193 == 11 else "ok" for i in range(1500)}
+    assert {i: r.verdict for i, r in rows.items()} == want
+    shifted = [r for r in rows.values() if r.verdict == "ok" and r.offset != r.second_offset]
+    assert len(shifted) > 1000
+
+
+def test_files_are_read_back(spark):
+    rows = [(None, None, None), (None, "u", "h"), (5, "u", None), (5, "u", None), (5, "v", "é" * 9000), (7, "", "a\r\n\r\nb"), (2500, "w", "WARC/1.0")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = fixity.record(fixity.F.col("page_id"), fixity.F.col("url"), fixity.F.col("html"))
+    manifest = fixity.laid_out(df.select("page_id", fixity.F.sha2(text, 256).alias("sha256"), fixity.F.octet_length(text).cast("long").alias("n_bytes")))
+    read = fixity.read_records(fixity.files(df)).collect()
+    assert sorted((r.file, r.offset, r.n_bytes, r.sha256) for r in read) == sorted((r.file, r.offset, r.n_bytes, r.sha256) for r in manifest.collect())
+    assert sorted(r.content.decode() for r in read) == sorted(h or "" for _, _, h in rows) and all(r.record_id.startswith("<urn:uuid:") for r in read)
+    broken = spark.createDataFrame([(0, bytearray(b"junk")), (1, None), (2, bytearray(b""))], "file long, content binary")
+    assert [(r.file, r.n_bytes, r.record_id) for r in fixity.read_records(broken).collect()] == [(0, 4, None)]
