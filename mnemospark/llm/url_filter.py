@@ -19,6 +19,8 @@ from ._exchange import width, written
 # Verdict, host, path; a rule fits its host and every subdomain.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 DEPTH = 4
+#: Grams that are broadcast at most, and rows of one URL that a task takes.
+MAX_BROADCAST, HOT = 500_000, 1 << 20
 SYMBOLS = 39
 LETTERS = "abcdefghijklmnopqrstuvwxyz0/.-?=&#:_%"  # and "~" for what is none of these, "$" for the end
 
@@ -77,17 +79,23 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = parts(F.col("url"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     split = lambda df: df.select("*", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"))
-    urls = written(split(pages.select(key.alias("url")).distinct()).select("url", "ruled", F.substring(F.md5("url"), 1, 1).isin(*aside).alias("aside")))
+    urls = written(split(pages.groupBy(key.alias("url")).agg(F.count("*").alias("n"))).select("url", "n", "ruled", F.substring(F.md5("url"), 1, 1).isin(*aside).alias("aside")))
     # few bytes, so one task would read them all, but each becomes many grams
     pieces = urls.repartition(width(pages.sparkSession), "url").select("*", F.explode(grams(F.col("url"))).alias("gram"))
     learnt = lambda v: F.count_if((F.col("ruled") == v) & ~F.col("aside")).alias(v)
     ratios = written(model(written(pieces.groupBy("gram").agg(learnt("allow"), learnt("block")))))
-    scored = written(pieces.join(F.broadcast(ratios), "gram").groupBy("url", "ruled", "aside").agg(F.avg("ratio").alias("score")))
+    small = ratios.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    scored = written(pieces.join(F.broadcast(ratios) if small else ratios, "gram").groupBy("url", "n", "ruled", "aside").agg(F.avg("ratio").alias("score")))
     mean = lambda v: F.avg(F.when(F.col("ruled") == v, F.col("score")))
     a, b = scored.where("aside").agg(mean("allow"), mean("block")).first()
     passed = F.when(F.col("score") >= F.lit(0.0 if a is None or b is None else (a + b) / 2), "allow").otherwise("block")
     rows = split(pages.select(F.col(id_col).alias("page_id"), key.alias("url")))
-    return rows.join(scored.select("url", "score"), "url").select("page_id", "host", "path", "rule", F.coalesce("ruled", passed).alias("verdict"), F.round("score", 9).alias("score"))
+    # the rows of a URL that very many pages share go to many tasks; there is at most one such URL for HOT rows
+    blocks = F.ceil(F.col("n") / HOT).cast("int")
+    hot = scored.where(F.col("n") > HOT).select("url", blocks.alias("blocks"))
+    dealt = rows.join(F.broadcast(hot), "url", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("blocks")), F.lit(0)).cast("int"))
+    copies = scored.select("url", "score", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"))
+    return dealt.join(copies, ["url", "salt"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", passed).alias("verdict"), F.round("score", 9).alias("score"))
 
 
 def _sql() -> str:

@@ -112,7 +112,10 @@ def plain_rule(url):
     return low, path, best and best[1] + best[2], best and best[0]
 
 
-def test_url_rules_are_brute_force(spark):
+@pytest.mark.parametrize(("most", "hot"), [(500_000, 1 << 20), (0, 3)])
+def test_url_rules_are_brute_force(spark, monkeypatch, most, hot):
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST", most)
+    monkeypatch.setattr(url_filter, "HOT", hot)
     odd = [None, "", "no scheme", "http://COM/en/1", "http://x.com/en/7", "http://example.com/en/7?x", "http://a.example.net/de/8#y", "http://notnet/de/8", "ftp://b.net/de/", "x://net", "http://net?/de/", "http://Ünet.net/de/é", "http://org/es/\n1"]
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").union(spark.createDataFrame([(10**6 + i, u) for i, u in enumerate(odd)] + [(None, "http://net/de/"), (None, "http://net/de/")], "page_id long, url string"))
     rows = url_filter.judge(pages).collect()
