@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 from .graph import first_edges
 from .maintenance import equals_all
 
@@ -65,13 +66,34 @@ def counts(triples: DataFrame, col: str, most: int | None = None) -> DataFrame:
 
 def context(triples: DataFrame, questions: DataFrame, most_entities: int = 5, most: int = 10) -> DataFrame:
     """(qid, subject, predicate, object, confidence): for each question (qid, text) the best triples of its first entities."""
-    names = questions.select("qid", F.explode(F.slice(T.question_entities(F.col("text")), 1, most_entities)).alias("e"))
-    low = triples.select("*", F.explode(F.array_distinct(F.array("subject", "object"))).alias("e"))
-    met = low.join(names, "e").groupBy("qid", "subject", "predicate", "object").agg(F.max("confidence").alias("confidence"))
+    names = written(questions.select("qid", F.explode(F.slice(T.question_entities(F.col("text")), 1, most_entities)).alias("e")))
+    met = _best_of(triples, names, most, distinct=True).join(names, "e").groupBy("qid", "subject", "predicate", "object").agg(F.max("confidence").alias("confidence"))
     w = Window.partitionBy("qid").orderBy(F.desc("confidence"), "subject", "predicate", "object")
     return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
 
 
+def _best_of(triples: DataFrame, names: DataFrame, most: int, distinct: bool = False) -> DataFrame:
+    """The ``most`` best triples of each named entity e: no question needs more of one, so a name that many ask for and a name that many triples have never meet in full."""
+    asked = names.select("e").distinct()
+    rows = triples.select("subject", "predicate", "object", "confidence", F.explode(F.array_distinct(F.array("subject", "object"))).alias("e")).join(asked, "e", "left_semi")
+    if distinct:
+        rows = rows.groupBy("e", "subject", "predicate", "object").agg(F.max("confidence").alias("confidence"))
+    w = Window.partitionBy("e").orderBy(F.desc("confidence"), "subject", "predicate", "object")
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+
+
+def context_summary(found: DataFrame) -> DataFrame:
+    """(qid, summary): ``Types: a(n), b(n); Relations: c(n)`` of context with types, most frequent first."""
+
+    def told(col: Column, label: str) -> DataFrame:
+        n = found.select("qid", col.alias("x")).where("x is not null").groupBy("qid", "x").agg(F.count("*").alias("n"))
+        parts = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.concat("x", F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("t"))))
+        return n.groupBy("qid").agg(F.concat(F.lit(f"{label}: "), F.array_join(F.transform(parts, lambda p: p["t"]), ", ")).alias(label))
+
+    types = told(F.explode(F.array(T.entity_type(F.col("subject")), T.entity_type(F.col("object")))), "Types")
+    return types.join(told(F.col("predicate"), "Relations"), "qid", "full").select("qid", F.concat_ws("; ", "Types", "Relations").alias("summary"))
+
+
 def context_lines(found: DataFrame, most: int = 8) -> DataFrame:
     """(qid, lines): context as lines of a prompt."""
     order = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "subject", "predicate", "object")))
@@ -81,8 +103,8 @@ def context_lines(found: DataFrame, most: int = 8) -> DataFrame:
 
 def suggest(triples: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:
     """(qid, n, suggestion): further questions about the two best triples of each of a question's first three entities."""
-    names = questions.select("qid", F.posexplode(F.slice(T.question_entities(F.col("text")), 1, 3)).alias("p", "e"))
-    both = triples.select("*", F.explode(F.array_distinct(F.array("subject", "object"))).alias("e"))
+    names = written(questions.select("qid", F.posexplode(F.slice(T.question_entities(F.col("text")), 1, 3)).alias("p", "e")))
+    both = _best_of(triples, names, 2)
     best_two = Window.partitionBy("qid", "p").orderBy(F.desc("confidence"), "subject", "predicate", "object")
     rows = both.join(names, "e").withColumn("r", F.row_number().over(best_two)).where(F.col("r") <= 2)
     said = F.array(F.when(F.col("subject") != F.col("e"), F.concat(F.lit("What is "), "subject", F.lit("?"))), F.when(F.col("object") != F.col("e"), F.concat(F.lit("How does "), "object", F.lit(" work?"))))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stem import stem
 from ..sources.tables import written
 from . import vectors as V
 
@@ -22,13 +23,13 @@ def hours_since(ts: Column, as_of: float, clamp: bool = True) -> Column:
 
 
 def bm25(df: DataFrame, query: list[str], top_k: int | None = None, k1: float = 1.2, b: float = 0.75, match: str = "and", id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, score): BM25 over all rows for those that hold every (``match='or'``: any) query term, best first.
+    """(id, score): BM25 over all rows for those that hold every (``match='or'``: any) query term, best first; terms match by stem.
 
-    Term frequencies come from one projection of the text; only one row of totals is aggregated.
+    Texts are read once: their lengths and term frequencies are written, a few numbers a row.
     """
-    wanted = sorted({t.lower() for t in query})
-    words = T.terms(F.col(text_col))
-    tf = df.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.size("w").alias("len"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    wanted = sorted({stem(t.lower()) for t in query})
+    counts = df.select(F.col(id_col).alias("id"), T.term_counts(F.col(text_col), wanted).alias("c"))
+    tf = written(counts.select("id", F.get("c", F.lit(0)).alias("len"), *[F.get("c", F.lit(i + 1)).alias(f"tf{i}") for i in range(len(wanted))]))
     totals = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     score, hit = F.lit(0.0), F.lit(match == "and")
     for i in range(len(wanted)):
@@ -40,10 +41,6 @@ def bm25(df: DataFrame, query: list[str], top_k: int | None = None, k1: float =
     return rows.orderBy(F.desc("score"), "id").limit(top_k) if top_k else rows
 
 
-def _is(term: str):
-    return lambda x: x == term
-
-
 def minmax(df: DataFrame, col: str = "score", out: str = "norm") -> DataFrame:
     """Scores scaled to 0..1 over the list; all equal: 1."""
     ends = df.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
@@ -114,11 +111,13 @@ def vector_search(memories: DataFrame, query_vector: list[float], as_of: float,
     return ranked(best.select("id", "raw_score", "score").union(extra), top_k)
 
 
-def recall(memories: DataFrame, query_vector: list[float], as_of: float, access: DataFrame, k: int = 10, threshold: float = 0.3, decay: float = 0.01, base_decay: float = 0.005, frequency: float = 0.05, where: dict[str, str] | None = None) -> DataFrame:
+def recall(memories: DataFrame, query_vector: list[float], as_of: float, access: DataFrame, k: int = 10, threshold: float = 0.3, decay: float = 0.01, base_decay: float = 0.005, frequency: float = 0.05, where: dict[str, str] | None = None, terms: list[str] | None = None) -> DataFrame:
     """(rank, id, score, age_hours): vector search of 5k, filtered by metadata, tags and reliability, decayed again, raised by importance and access.
 
-    ``access``: (mem_id, n).  score = s exp(-decay h) + 0.15 importance exp(-decay h / 2) + frequency ln(1 + n), kept from ``threshold`` up.
+    ``access``: (mem_id, n).  With ``terms``, nothing is searched if no memory holds any of them.  score = s exp(-decay h) + 0.15 importance exp(-decay h / 2) + frequency ln(1 + n), kept from ``threshold`` up.
     """
+    if terms and not token_prefilter(memories, terms).limit(1).count():
+        memories = memories.limit(0)
     base = vector_search(memories, query_vector, as_of, 5 * k, base_decay).select("id", F.col("score").alias("base"))
     rows = memories.join(F.broadcast(base), "id").orderBy(F.desc("base"), "id").limit(5 * k)  # only candidates are judged
     for key, value in (where or {}).items():
@@ -132,6 +131,11 @@ def recall(memories: DataFrame, query_vector: list[float], as_of: float, access:
     return ranked(rows.select("id", score.alias("score"), h.alias("age_hours")).where(F.col("score") >= threshold), k)
 
 
+def recorded(found: DataFrame, query: str, as_of: float) -> DataFrame:
+    """(mem_id, ts, query): the accesses that a recall makes, for the access log."""
+    return found.select(F.col("id").alias("mem_id"), F.lit(float(as_of)).alias("ts"), F.lit(query).alias("query"))
+
+
 def dual_search(fast: DataFrame, slow: DataFrame, query_vector: list[float], k_fast: int = 5, k_slow: int = 5, boost: float = 1.2, as_of: float | None = None) -> DataFrame:
     """(rank, id, score, tier): the best of the fast tier, raised by ``boost``, and of the slow one, each memory once; ``as_of`` leaves out what has expired."""
     live = fast if as_of is None else fast.where(F.col("expires_at") >= as_of)
@@ -158,7 +162,10 @@ def recall_injection(memories: DataFrame, query_vector: list[float], as_of: floa
 
 
 def last_user_message(turns: DataFrame) -> DataFrame:
-    """(conv_id, text): each conversation's last user turn, without platform prefix."""
+    """(conv_id, text): each conversation's last user turn, without platform prefix; ``text`` is a string, or a list of parts (type, text), whose texts are joined by blanks."""
+    if dict(turns.dtypes)["text"].startswith("array"):
+        parts = F.filter("text", lambda p: (p["type"] == "text") & p["text"].isNotNull())
+        turns = turns.withColumn("text", F.array_join(F.transform(parts, lambda p: p["text"]), " "))
     return turns.where(F.col("role") == "user").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")).withColumn("text", T.strip_meta(F.col("text")))
 
 

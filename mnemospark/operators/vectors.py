@@ -142,13 +142,18 @@ def fallback_embedding(text: str | None, dim: int) -> list[float]:
 
 
 def embed(df: DataFrame, dim: int, text_col: str = "text", out_col: str = "vector", model=None) -> DataFrame:
-    """df with a vector for each text, from ``model`` (a function of a list of texts), or the fallback."""
+    """df with a vector for each text, from ``model`` (a function of a list of texts), or the fallback.
+
+    Equal texts of a batch are embedded once; a blank or null text has the zero vector.
+    """
     at = df.columns.index(text_col)
 
     def run(batches):
         for b in batches:
             texts = b.column(at).to_pylist()
-            made = model(texts) if model else [fallback_embedding(t, dim) for t in texts]
+            once = list(dict.fromkeys(t for t in texts if t and t.strip()))
+            of = dict(zip(once, model(once) if model and once else [fallback_embedding(t, dim) for t in once]))
+            made = [of.get(t, [0.0] * dim) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.float32()))], [*b.schema.names, out_col])
 
     return df.mapInArrow(run, df.withColumn(out_col, F.array().cast("array<float>")).schema)

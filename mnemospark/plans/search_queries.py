@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stem import stem
 from ..operators import clustering as C
 from ..operators import evaluation as E
 from ..operators import graph as G
@@ -39,12 +40,20 @@ def knn_cosine(spark, d):
     return _round(V.knn(X.memories(spark, d), X.query_vector(spark, d), 10), "score")
 
 
+def words_of(term: str) -> list[str]:
+    """Words that have the term's stem: what the SQL has in place of a stemmer."""
+    endings = ("", "s", "es", "ed", "ing", "ings", "er", "ers", "ly", "al", "ance", "ence", "able", "ement", "ment", "ent", "ism", "ate", "ous", "ive", "ize", "ness", "ful", "e", "y")
+    made = {base + e for base in (term, term + term[-1]) for e in endings}
+    return sorted(w for w in made if stem(w) == stem(term))
+
+
 def bm25_sql(rows: str, terms=TERMS) -> str:
     ts = sorted(terms)
+    forms = {t: ", ".join(q(w) for w in words_of(t)) for t in ts}
     idf = [f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6)" for i in range(len(ts))]
     score = " + ".join(f"{idf[i]} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * l / a))" for i in range(len(ts)))
     return f"""tk as (select id, regexp_extract_all(translate(lower(coalesce(text, '')), {q(FROM)}, {q(TO)}), '[\\p{{L}}\\p{{N}}]+') w from {rows}),
-tf as (select id, len(w) l, {', '.join(f"len(list_filter(w, lambda x: x = {q(t)}))::double f{i}" for i, t in enumerate(ts))} from tk),
+tf as (select id, len(w) l, {', '.join(f"len(list_filter(w, lambda x: x in ({forms[t]})))::double f{i}" for i, t in enumerate(ts))} from tk),
 tt as (select count(*) n, avg(l) a, {', '.join(f'count(*) filter (f{i} > 0) d{i}' for i in range(len(ts)))} from tf),
 bm as (select id, {score} score from tf, tt where {' and '.join(f'f{i} > 0' for i in range(len(ts)))})"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import kg, maintenance, retrieval
@@ -30,8 +30,7 @@ class MemoryStore:
     def add(self, rows: DataFrame, limit: float = 0.05) -> tuple[MemoryStore, DataFrame]:
         """The store with the rows that pass (ids above all others), and what adding each returned: an id, or -1."""
         _within("rows", rows.limit(MAX_BATCH + 1).count(), 0, MAX_BATCH)
-        every = self.memories.unionByName(rows, allowMissingColumns=True)
-        verdicts = tables.written(maintenance.add_decision(every, self.dim, limit).join(rows.select("id"), "id", "left_semi"))
+        verdicts = maintenance.add_to(self.memories, rows, self.dim, limit)
         kept = rows.join(verdicts.where("result_id = id").select("id"), "id", "left_semi")
         return replace(self, memories=self.memories.unionByName(kept, allowMissingColumns=True)), verdicts
 
@@ -49,6 +48,58 @@ class MemoryStore:
         asked = self.memories.sparkSession.createDataFrame([(0, question)], "qid int, text string")
         return self.search(vector, terms, as_of, top_k), kg.context_lines(kg.context(self.triples, asked))
 
+    def delete(self, mem_id: int) -> MemoryStore:
+        if not self.memories.where(F.col("id") == mem_id).limit(1).count():
+            raise KeyError(mem_id)
+        return replace(self, memories=self.memories.where(F.col("id") != mem_id))
+
+    def recall(self, vector: list[float], query: str, as_of: float, access: DataFrame, k: int = 10, **options) -> tuple[DataFrame, DataFrame]:
+        """What is recalled, and the access log (mem_id, ts, query) with these accesses."""
+        _within("dimension", len(vector), self.dim, self.dim)
+        _within("k", k, 1, MAX_TOP_K)
+        seen = access.groupBy("mem_id").agg(F.count("*").alias("n"))
+        found = tables.written(retrieval.recall(self.memories, vector, as_of, seen, k, **options))
+        return found, access.select("mem_id", "ts", "query").union(retrieval.recorded(found, query, as_of))
+
+    def purge(self, dry_run: bool = True, threshold: float = 0.4) -> tuple[MemoryStore, DataFrame]:
+        """The store without unreliable texts (with ``dry_run``, as it is), and the report of what goes."""
+        _within("threshold", threshold, 0, 1)
+        report = tables.written(maintenance.purge_report(self.memories, threshold))
+        return self if dry_run else replace(self, memories=self.memories.join(report.select("id"), "id", "left_anti")), report
+
+    def access_stats(self, log: DataFrame) -> DataFrame:
+        return maintenance.access_stats(log)
+
+    def kg_stats(self, most: int = 10) -> dict[str, DataFrame]:
+        """Triples by subject type, by object type, and the most frequent predicates."""
+        if self.triples is None:
+            raise ValueError("the store has no triples")
+        typed = kg.insert_ignore(self.triples) if "seq" in self.triples.columns else self.triples
+        return {"subject_types": kg.counts(typed, "subject_type"), "object_types": kg.counts(typed, "object_type"), "predicates": kg.counts(typed, "predicate", most)}
+
+    def health(self) -> dict[str, object]:
+        return {"status": "ok", "memories": self.memories.count(), "dimension": self.dim, "triples": None if self.triples is None else self.triples.count()}
+
+    def save(self, folder: str) -> str:
+        """A snapshot of the store in a new folder below ``folder``; its name is committed last, so that open() never sees half of one."""
+        import time
+
+        spark, path = self.memories.sparkSession, f"{folder.rstrip('/')}/{time.time_ns()}"
+        for name in ("memories", "triples", "edges"):
+            if (table := getattr(self, name)) is not None:
+                table.write.parquet(f"{path}/{name}")
+        spark.createDataFrame([(path, self.dim)], "path string, dim int").coalesce(1).write.mode("append").parquet(f"{folder.rstrip('/')}/_snapshots")
+        return path
+
+    @staticmethod
+    def open(spark: SparkSession, folder: str) -> MemoryStore:
+        """The snapshot that was committed last."""
+        last = spark.read.schema("path string, dim int").parquet(f"{folder.rstrip('/')}/_snapshots").orderBy(F.desc("path")).first()
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        there = lambda name: hadoop.Path(f"{last.path}/{name}").getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop.Path(f"{last.path}/{name}"))
+        table = lambda name: spark.read.parquet(f"{last.path}/{name}") if there(name) else None
+        return MemoryStore(table("memories"), last.dim, table("triples"), table("edges"))
+
     def stats(self) -> DataFrame:
         return maintenance.stats(self.memories)
 

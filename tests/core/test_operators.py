@@ -317,3 +317,61 @@ def test_markdown_keeps_fences_and_any_text(spark):
         chunks = C.split_markdown(text)
         assert sum(c.count(fence) for c, _ in chunks) == text.count(fence) and text[-20:].strip() in chunks[-1][0]
     assert [h for _, h in C.split_markdown("# A\n" + "a " * 150 + "\n# B\n" + "b " * 150)] == ["# A", "# B"]
+
+
+def test_stems():
+    from mnemospark.functions.stem import stem
+
+    known = "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration digitizer:digit vietnamization:vietnam decisiveness:decis sensibiliti:sensibl formative:form goodness:good revival:reviv adjustable:adjust replacement:replac adoption:adopt probate:probat rate:rate cease:ceas controll:control roll:roll at:at größe:größe"
+    assert all(stem(w) == s for w, s in (x.split(":") for x in known.split()))
+
+
+def test_keyword_search_matches_stems(spark):
+    df = spark.createDataFrame([(1, "we deployed it"), (2, "Deploying, again"), (3, "depot"), (4, None), (5, "déployed")], "id long, text string")
+    assert {r.id for r in retrieval.bm25(df, ["deploys"]).collect()} == {1, 2, 5}
+
+
+def test_gaps_since_first_is_a_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(50_000), i) for i, k in enumerate(rng.choices([None, 1, 2, 3, 4], k=900))] + [(9, None, 1000)]
+    df = spark.createDataFrame(rows, "user_id long, epoch long, event_id long")
+    want, state = set(), {}
+    for k, e, i in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0], r[1], r[2])):
+        first, n = state.get(k, (e, 0))
+        if e - first > 1800:
+            first, n = e, n + 1
+        state[k] = first, n
+        want.add((k, i, n))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {tuple(r) for r in C.gaps_since_first(df, "user_id").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert C.gaps_since_first(df.limit(0), "user_id").collect() == []
+
+
+def test_context_is_cut_before_the_join(spark):
+    from mnemospark.operators import kg
+
+    triples = spark.createDataFrame([("redis", "runs", f"x{i}", i / 100) for i in range(40)] + [("redis", "runs", "x39", 0.1)], "subject string, predicate string, object string, confidence double")
+    asked = spark.createDataFrame([(q, "is redis up?") for q in range(3)], "qid int, text string")
+    found = kg.context(triples, asked).collect()
+    assert {(r.qid, r.object) for r in found} == {(q, f"x{i}") for q in range(3) for i in range(30, 40)}
+    assert kg.context_summary(kg.context(triples, asked)).where("qid = 0").first().summary == "Types: other(10), service(10); Relations: runs(10)"
+
+
+def test_last_user_message_in_parts(spark):
+    parts = "array<struct<type:string,text:string>>"
+    rows = [(1, 1, "user", [("text", "[Telegram x] a"), ("image", "no"), ("text", "b")]), (1, 2, "assistant", [("text", "z")]), (2, 1, "user", [])]
+    df = spark.createDataFrame(rows, f"conv_id int, turn int, role string, text {parts}")
+    assert {(r.conv_id, r.text) for r in retrieval.last_user_message(df).collect()} == {(1, "a b"), (2, "")}
+
+
+def test_embedding_of_blank_and_equal_texts(spark):
+    from mnemospark.operators import vectors as V
+
+    asked = []
+    rows = V.embed(spark.createDataFrame([(1, "a"), (2, "a"), (3, " "), (4, None)], "id int, text string").coalesce(1), 3).orderBy("id").collect()
+    assert rows[0].vector == rows[1].vector and any(rows[0].vector) and rows[2].vector == rows[3].vector == [0.0] * 3 and asked == []
