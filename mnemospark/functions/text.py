@@ -279,10 +279,21 @@ QUESTION_PATTERNS = (
 QUESTION_WORDS = ("skill", "browser", "tts", "stt", "healthcheck", "opencode", "perplexity", "command", "tool", "script")
 
 
+def _all_of(text: Column, low: Column, pattern: str) -> Column:
+    """All first groups of a pattern, whatever their case; texts without the words that it needs are not searched."""
+    from .verdict import needles
+
+    may = F.lit(True)
+    for words in needles(pattern):
+        may = may & _any(low, [w.lower() for w in words])
+    found = F.regexp_extract_all(text, F.lit(like_python("(?i)" + pattern)), F.lit(1))
+    return F.when(may, found).otherwise(F.array().cast("array<string>"))
+
+
 def question_entities(text: Column) -> Column:
     """Entities that a question names, lower case, distinct, sorted."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(like_python("(?i)" + p)), F.lit(1)) for p in QUESTION_PATTERNS]
+    found = [_all_of(text, low, p) for p in QUESTION_PATTERNS]
     words = F.filter(F.array(*[F.when(low.contains(w), F.lit(w)) for w in QUESTION_WORDS]), lambda x: x.isNotNull())
     return F.array_sort(F.array_distinct(F.transform(F.concat(*found, words), lambda x: F.lower(x))))
 
@@ -301,7 +312,7 @@ ENTITY_PATTERNS = {
 
 def entities(text: Column, kind: str) -> Column:
     """Distinct normalised entities of a kind, sorted."""
-    found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(like_python("(?i)" + p)), F.lit(1)) for p in ENTITY_PATTERNS[kind]]
+    found = [_all_of(text, F.lower(F.coalesce(text, F.lit(""))), p) for p in ENTITY_PATTERNS[kind]]
     return F.array_sort(F.array_distinct(F.transform(F.filter(F.concat(*found), lambda x: x != ""), normalize_entity)))
 
 
