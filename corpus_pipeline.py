@@ -17,23 +17,28 @@ from mnemospark.llm.queries import ranks, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose whole text scores under 0.7; rows with null ids, null or empty texts and repeats are scored like any other."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the rows with its smallest id; rows with null ids stay, null and empty texts are one group."""
     return simhash.representatives(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, its text without the strings of 50 bytes that a smaller id has; null texts become empty, null ids come last and do not cut each other."""
     kept = suffix_dedup.deduplicate(docs, clean=True)
     return kept.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of whose words fewer than one in twenty, or none, are benchmark text; empty texts stay, equal rows share one fate."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; null and empty texts have no tokens."""
     return bpe.encode_decode(docs, ranks(), digest=True)
 
 
