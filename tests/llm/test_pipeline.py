@@ -45,3 +45,26 @@ def test_no_bytes_outside_characters(spark):
     df = spark.createDataFrame([(1, "é" * 40, "en", "s", 40), (2, "aé" + "é" * 39 + "z", "en", "s", 42)], "doc_id long, text string, lang string, source string, n_chars long")
     rows = {r.doc_id: (r.text, r.n_chars) for r in cp.cut_repeats(spark, df, SF).collect()}
     assert rows[1] == ("é" * 40, 40) and re.fullmatch("a?é*z", rows[2][0]) and rows[2][1] == len(rows[2][0])
+
+
+ODD = [(None, "a b c d"), (None, "a b c d"), (3, None), (4, ""), (5, "word " * 20_000), (5, "word " * 20_000), (6, "unlike all the other texts here"), (2, "unlike all the other texts here"), (6, "its id is that of another row")]
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(i, t, None, "s", None) for i, t in ODD], kind)
+    seen = [df]
+    for _, stage in cp.STAGES:
+        seen.append(written(stage(spark, seen[-1], SF)))
+    kept = sorted((r.doc_id or 0, (r.text or "")[:6]) for r in seen[2].collect())
+    assert kept == [(0, "a b c "), (0, "a b c "), (2, "unlike"), (3, ""), (5, "word w"), (5, "word w"), (6, "its id")]
+    assert all(s.columns == df.columns for s in seen[:-1]) and seen[-1].count() == seen[4].count() == len(kept)
+    import hashlib
+
+    texts = sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in seen[4].collect())
+    assert sorted(r.decoded_sha256 for r in seen[5].collect()) == texts
+    none = df.limit(0)
+    for _, stage in cp.STAGES[:-1]:
+        none = stage(spark, none, SF)
+        assert none.columns == df.columns and none.count() == 0
+    assert cp.encode(spark, none, SF).count() == 0
