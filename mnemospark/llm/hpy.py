@@ -17,8 +17,8 @@ spelt out is given beside it.
 
 Words, pairs and triples are counted exactly, over all training documents, by a shuffle
 of each chunk's distinct ones, so what the model gathers grows with the corpus.  A shard
-has all contexts that end in the same words, so a context and its parent are seated
-together, and each triple's prediction is ``a + b * P(word)`` for the P(word) of the
+has all contexts that end in the same word (a share of them, of a word with very many
+tokens), so a context and its parent are seated together, and each triple's prediction is ``a + b * P(word)`` for the P(word) of the
 restaurant without context.  Contexts are told apart by a hash of 64 bits.  The
 spelling model is a table of 2^15 contexts and 256 bytes at any size.
 """
@@ -283,7 +283,7 @@ def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return sizes, rank[tokens], pa.concat_arrays([pa.array([STOP], pa.binary()), coded.dictionary.take(pa.array(order)).cast(pa.binary())])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, strength: float = 1.0, burn: int = 3, samples: int = 3, seed: int = 7, chunk_bytes: int = 1 << 23) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, strength: float = 1.0, burn: int = 3, samples: int = 3, seed: int = 7, chunk_bytes: int = 1 << 23, share: int = 1 << 22) -> DataFrame:
     """log10 probability of every whole text, learnt from the texts whose crc32(id as text) mod ``folds`` is not ``held``.
 
     Tokens are the words (runs of bytes other than ASCII white space, A-Z lower-cased)
@@ -294,7 +294,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     one's spelling.  A null or empty text is its end alone; a row with a null id is never
     held out; repeated rows count each time; an empty table gives no rows; other columns
     are not read.  Perplexity is ``10 ** (-score / n_tokens)``.  ``chunk_bytes``: of text
-    that one task counts at a time; each chunk asks each shard once.
+    that one task counts at a time; each chunk asks each shard once.  ``share``: a middle word
+    with more training tokens than these has its contexts dealt to several shards by the word
+    before; each seats its share of the word's own restaurant.
     """
     spark = docs.sparkSession
     n = X.width(spark)
@@ -436,6 +438,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     all_discount = float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
     early = spark.sparkContext.broadcast(spelling_model(codes, weights, seed=seed))
 
+    def parts_of(count: np.ndarray) -> np.ndarray:
+        """Into how many parts the contexts of a middle word are dealt, as powers of two, at most one a shard."""
+        most = max(0, n.bit_length() - 1)
+        return np.clip(np.ceil(np.log2(np.maximum(count, 1) / share)), 0, most).astype(np.uint8)
+
     def guess(t: pa.Table) -> pa.Table:
         """P(word), as 16 bits, while the restaurant without context has all tokens; and the word's number."""
         shard, words, own, _, asked = shard_of(t)
@@ -443,9 +450,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         (tables,) = chain(own, base, types - types_of[shard], all_discount, np.random.default_rng([seed, shard]), 1)
         spread = strength + all_discount * (types - types_of[shard] + tables.sum())
         p = to_codes((np.maximum(own - all_discount * tables, 0) + spread * base) / (strength + train))
-        return _rows(blob_schema, [(c, shard, X.to_blob(p=p[at], **_planes("at", at))) for c, at in asked.items()])
+        return _rows(blob_schema, [(c, shard, X.to_blob(p=p[at], **_planes("at", at), parts=parts_of(own)[at])) for c, at in asked.items()])
 
-    def triples(sizes, tokens, shard):
+    def triples(sizes, tokens, shard, parts):
         """Distinct (u, v, w) of a chunk, each u before v before w; the number of each token's; and for each shard, the positions of its own."""
         size, ends = len(shard), np.cumsum(sizes + 1)
         w = np.zeros(len(tokens) + len(sizes), np.int64)
@@ -466,18 +473,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         keys, of = np.unique(v, return_inverse=True)
         v, w = np.divmod(keys, size)
         v, u = np.divmod(v if pairs is None else pairs[v], size)
-        own = shard[v]
+        own = (shard[v] + (shard[u] & (1 << parts[v].astype(np.int64)) - 1)) % n
         order = np.argsort(own, kind="stable")
         cuts = np.flatnonzero(np.diff(own[order])) + 1
         return u, v, w, of, {int(own[at[0]]): at for at in np.split(order, cuts)}
 
     def ask_contexts(t: pa.Table, answers: pa.Table) -> pa.Table:
         ids, sizes, tokens, shard, parts = tokens_of(t.column("blob")[0].as_py())
-        p, number = np.zeros(len(shard), np.uint16), np.zeros(len(shard), np.int64)
+        p, number, split = np.zeros(len(shard), np.uint16), np.zeros(len(shard), np.int64), np.zeros(len(shard), np.uint8)
         for s, b in zip(answers.column("shard").to_pylist(), answers.column("blob")):
             got = X.from_blob(b.as_py())
-            p[parts[s]], number[parts[s]] = got.column("p").to_numpy(), _joined(got, "at") * n + s
-        u, v, w, of, own = triples(sizes, tokens, shard)
+            p[parts[s]], number[parts[s]], split[parts[s]] = got.column("p").to_numpy(), _joined(got, "at") * n + s, got.column("parts").to_numpy()
+        u, v, w, of, own = triples(sizes, tokens, shard, split)
         learnt = np.repeat([not is_held(i) for i in ids], sizes + 1)
         count = np.bincount(of[learnt], minlength=len(w))
         count = count.astype(np.min_scalar_type(int(count.max(initial=0))))
@@ -560,23 +567,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         with np.errstate(divide="ignore"):
             kept = np.log(np.mean([np.maximum(own - discount * t, 0) for t in tables], axis=0))
         spelled = ((np.logaddexp(kept, np.log(spread) + base) - np.log(strength + seated)) / np.log(10)).astype(np.float32)
-        return _rows(blob_schema, [(c, n + shard, X.to_blob(n=count[at], q=spelled[at])) for c, at in asked.items()])
+        return _rows(blob_schema, [(c, n + shard, X.to_blob(n=count[at], q=spelled[at], parts=parts_of(count)[at])) for c, at in asked.items()])
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
         ids, sizes, tokens, shard, parts = tokens_of(t.column("blob")[0].as_py())
-        count, q = np.zeros(len(shard), np.int64), np.zeros(len(shard))
-        _, _, w, of, own = triples(sizes, tokens, shard)
+        count, q, split = np.zeros(len(shard), np.int64), np.zeros(len(shard)), np.zeros(len(shard), np.uint8)
+        blobs = dict(zip(answers.column("shard").to_pylist(), answers.column("blob")))
+        for s in [s for s in blobs if s >= n]:
+            got = X.from_blob(blobs.pop(s).as_py())
+            count[parts[s - n]], q[parts[s - n]], split[parts[s - n]] = (got.column(c).to_numpy() for c in ("n", "q", "parts"))
+        _, _, w, of, own = triples(sizes, tokens, shard, split)
         a, b = np.zeros(len(w), np.uint16), np.zeros(len(w), np.uint16)
-        for s, blob in zip(answers.column("shard").to_pylist(), answers.column("blob")):
+        for s, blob in blobs.items():
             got = X.from_blob(blob.as_py())
-            if s < n:
-                a[own[s]], b[own[s]] = (got.column(c).to_numpy() for c in ("a", "b"))
-            else:
-                count[parts[s - n]], q[parts[s - n]] = (got.column(c).to_numpy() for c in ("n", "q"))
+            a[own[s]], b[own[s]] = (got.column(c).to_numpy() for c in ("a", "b"))
         a, b, known = from_codes(a), from_codes(b), count > 0
         starts, lengths = np.cumsum(sizes + 1) - sizes - 1, (sizes + 1).tolist()
         base = np.log10((count + 0.5) / (train + 0.5 * (types + 1)))
-        del sizes, tokens, answers
+        del sizes, tokens, answers, blobs
 
         def total(x: np.ndarray) -> np.ndarray:
             return np.add.reduceat(x[of], starts)
