@@ -17,6 +17,11 @@ from .registry import query
 STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
 
+def wide(pattern: str) -> str:
+    """A pattern that ignores case, its words of letters and digits of any script, as Python's are."""
+    return "(?i)" + pattern.replace(r"\w", r"[\p{L}\p{N}_]")
+
+
 def sanitize_sql(c: str) -> str:
     for p in T.REMOVALS:
         c = f"regexp_replace({c}, {q(p)}, '', 'g')"
@@ -183,7 +188,7 @@ def extract_entities(spark, d):
     return X.texts(spark, d).select("id", F.array_join(T.question_entities(F.col("text")), ",").alias("entities"))
 
 
-@query("select id, kind, array_to_string(e, '|') entities from (" + " union all ".join(f"select id, {q(k)} kind, list_sort(list_distinct(list_transform(list_filter(list_concat({', '.join(f'regexp_extract_all(text, {q(chr(40) + chr(63) + chr(105) + chr(41) + p)}, 1)' for p in T.ENTITY_PATTERNS[k])}{', []' if len(T.ENTITY_PATTERNS[k]) < 2 else ''}), lambda x: x <> ''), lambda x: {normalize_sql('x')}))) e from texts" for k in T.ENTITY_PATTERNS) + ") where len(e) > 0", "texts")
+@query("select id, kind, array_to_string(e, '|') entities from (" + " union all ".join(f"select id, {q(k)} kind, list_sort(list_distinct(list_transform(list_filter(list_concat({', '.join(f'regexp_extract_all(text, {q(wide(p))}, 1)' for p in T.ENTITY_PATTERNS[k])}{', []' if len(T.ENTITY_PATTERNS[k]) < 2 else ''}), lambda x: x <> ''), lambda x: {normalize_sql('x')}))) e from texts" for k in T.ENTITY_PATTERNS) + ") where len(e) > 0", "texts")
 def kg_extract_entity(spark, d):
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), T.entities(F.col("text"), k).alias("e")) for k in T.ENTITY_PATTERNS])
     return X.texts(spark, d).select("id", F.inline(kinds)).where(F.size("e") > 0).select("id", "kind", F.array_join("e", "|").alias("entities"))
@@ -327,7 +332,7 @@ def kg_extract_tasks(spark, d):
 
 
 def entities_sql(kind: str, c: str) -> str:
-    found = [f"regexp_extract_all({c}, {q('(?i)' + p)}, 1)" for p in T.ENTITY_PATTERNS[kind]] + ["[]"]
+    found = [f"regexp_extract_all({c}, {q(wide(p))}, 1)" for p in T.ENTITY_PATTERNS[kind]] + ["[]"]
     return f"list_sort(list_distinct(list_transform(list_filter(list_concat({', '.join(found)}), lambda x: x <> ''), lambda x: {normalize_sql('x')})))"
 
 
