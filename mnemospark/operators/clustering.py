@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..sources.tables import written
 from . import vectors as V
 
+#: Ids in a range that one task numbers.
+RANGE = 1 << 20
+
 
 def optimal_eps(df: DataFrame, dim: int, k: int = 4) -> DataFrame:
     """(eps): the mean Euclidean distance of all rows to their k nearest others."""
@@ -33,7 +36,12 @@ def dbscan(df: DataFrame, dim: int, eps: float, min_samples: int) -> DataFrame:
         if not new.join(root.select("id", F.col("root").alias("old")), "id").where("root <> old").limit(1).count():
             break
         root = new
-    numbers = root.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)
+    # ranks within ranges of roots, shifted by the ranges' sizes: no one task sorts all clusters
+    roots = written(root.select("root").distinct().withColumn("part", F.floor(F.col("root") / RANGE)))
+    sizes = roots.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("root"))
+    numbers = roots.withColumn("rank", rank).join(before, "part").select("root", (F.col("before") + F.col("rank") - 1).alias("label"))
     border = pairs.join(root.select(F.col("id").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("core"))
     of = root.join(numbers, "root").select("id", "label")
     edge = border.join(of.select("id"), "id", "left_anti").join(of.select(F.col("id").alias("core"), "label"), "core").select("id", "label")

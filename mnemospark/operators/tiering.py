@@ -60,9 +60,12 @@ def bloom_prefilter(df: DataFrame, members: DataFrame, n: int, p: float = 0.01)
                 bits[bloom.places(i)] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(bits))], ["bit"])
 
-    found = members.select(F.col("id").cast("long").alias("id")).mapInArrow(build, "bit long").distinct().collect()
-    bits = np.zeros(bloom.bits, bool)
-    bits[[r.bit for r in found]] = True
+    place = F.col("bit") + 1  # bits of all tasks are merged into blocks of 4 KB, which are all that comes to the driver
+    found = members.select(F.col("id").cast("long").alias("id")).mapInArrow(build, "bit long").groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("part")).collect()
+    packed = np.zeros((bloom.bits // 32768 + 1, 4096), np.uint8)
+    for r in found:
+        packed[r.bucket - 1] = np.frombuffer(r.part, np.uint8)
+    bits = np.unpackbits(packed.reshape(-1), bitorder="little")[: bloom.bits].astype(bool)
     at = df.columns.index("id")
 
     def keep(batches):
