@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, fixity, hpy, ranking, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, divergence, fixity, hpy, prefix_hash, ranking, simhash, suffix_dedup, toxicity, url_filter, vector_codes, whitening
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -61,9 +61,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.edited(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {"op1_divergence": op1_divergence, "op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op4_bradley_terry": op4_bradley_terry, "op5_weak_supervision": op5_weak_supervision, "op6_simhash": op6_simhash, "op7_merkle_fixity": op7_merkle_fixity, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op1_divergence": op1_divergence, "op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor, "op3_byte_bpe": op3_byte_bpe, "op4_bradley_terry": op4_bradley_terry, "op5_weak_supervision": op5_weak_supervision, "op6_simhash": op6_simhash, "op7_merkle_fixity": op7_merkle_fixity, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontaminate": op10_decontaminate, "op11_prefix_hash": op11_prefix_hash, "op12_whitening": op12_whitening, "op13_partial_distance": op13_partial_distance}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_divergence": divergence.SQL, "op7_merkle_fixity": fixity.SQL, "op8_url_filter": url_filter.SQL, "op9_suffix_dedup": suffix_dedup.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {"op1_divergence": divergence.SQL, "op7_merkle_fixity": fixity.SQL, "op8_url_filter": url_filter.SQL, "op9_suffix_dedup": suffix_dedup.SQL, "op10_decontaminate": decontaminate.SQL, "op13_partial_distance": vector_codes.SQL}
