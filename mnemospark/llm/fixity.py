@@ -2,9 +2,8 @@
 
 Each record is hashed.  Records lie in files in order of their ids, each replica laid out by
 itself, so that offsets behind a lost or longer record differ between replicas.  A node of
-the tree is therefore a range of places in the order of records, files one after another at
-equal spans; its hash is that of its children's places and hashes, in order: first of the
-records in LEAF places, then of FAN ranges, up to one root for a replica.  Replicas whose
+the tree is therefore a range of places in the order of records of a file, or a range of files; its hash is that of its children's places and hashes, in order: first of the
+records in LEAF places of a file, then of FAN ranges of it, then of FAN files by number, up to one root for a replica.  Replicas whose
 roots agree are equal.  Else only the children of nodes that differ are compared, level by
 level, and the records of the ranges that differ at last, so an audit of a good replica
 reads one row.  Bit-for-bit copies can be audited by offset in the same way.
@@ -22,6 +21,8 @@ LEAF, FAN = 1 << 16, 16
 PER_FILE = 1000
 #: Files that records without an id are dealt to.
 LOOSE = 1 << 20
+#: The number of the last of these files: below the file of any id.
+LAST_LOOSE = -(1 << 62)
 # The header of a record, its date a parameter.
 DATE = "2024-01-01T00:00:00Z"
 HEADER = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{}>\r\nWARC-Date: {}\r\nWARC-Target-URI: {}\r\nContent-Type: text/html\r\nContent-Length: {}\r\n\r\n"
@@ -37,13 +38,22 @@ def record(key: Column, url: Column, html: Column, date: str = DATE) -> Column:
     return F.concat(F.lit(first), *[c for part in rest for c in (next(between), F.lit(part))], h, F.lit("\r\n\r\n"))
 
 
+def _down(name: str, n: int) -> Column:
+    """A column over n, rounded down, in whole numbers: right for every long."""
+    return F.expr(f"{name} div {n} - int({name} < 0 and {name} % {n} <> 0)")
+
+
+def _file(per_file: int) -> Column:
+    return F.coalesce(_down("page_id", per_file), F.lit(LAST_LOOSE) - F.pmod(F.xxhash64("sha256"), F.lit(LOOSE)))
+
+
 def laid_out(records: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """(page_id, sha256, n_bytes, file, offset): where each of ``records`` (page_id, sha256, n_bytes) lies, in files of ``per_file`` ids, in order of id, then digest.
 
-    Only hashes and lengths are sorted, and equal records once.  Null ids go to files below 0,
-    by their digest; repeated records lie side by side.
+    Only hashes and lengths are sorted, and equal records once.  Null ids go to files below all
+    others, by their digest; repeated records lie side by side; an empty table gives no rows.
     """
-    file = F.coalesce(F.floor(F.col("page_id") / per_file), -1 - F.pmod(F.xxhash64("sha256"), F.lit(LOOSE)))
+    file = _file(per_file)
     rows = records.groupBy("page_id", "sha256", "n_bytes").agg(F.count("*").alias("copies")).withColumn("file", file)
     order = Window.partitionBy("file").orderBy("page_id", "sha256").rowsBetween(Window.unboundedPreceding, 0)
     first = F.sum(F.col("n_bytes") * F.col("copies")).over(order) - F.col("n_bytes") * F.col("copies")
@@ -52,7 +62,7 @@ def laid_out(records: DataFrame, per_file: int = PER_FILE) -> DataFrame:
 
 
 def placed(manifest: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """(file, offset, digest) with, for offset, a record's place among its file's ids, which does not shift; equal records are one digest and their number."""
+    """(file, offset, digest) with, for offset, a record's place among its file's ids, which does not shift; equal records are one digest and their number; an empty table gives no rows."""
     place = F.coalesce(F.pmod("page_id", F.lit(per_file)), F.pmod(F.xxhash64("sha256", F.lit(1)), F.lit(LEAF)))
     rows = manifest.groupBy("file", place.alias("offset"), "sha256").agg(F.count("*").alias("copies"))
     return rows.select("file", "offset", F.concat_ws("x", "sha256", "copies").alias("digest"), "sha256")
@@ -62,7 +72,7 @@ def files(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     """(file, content): the replica's files, records in the order that laid_out() states."""
     text = record(F.col(id_col), F.col(url_col), F.col(html_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), text.alias("text"), F.sha2(text, 256).alias("sha256"))
-    file = F.coalesce(F.floor(F.col("page_id") / per_file), -1 - F.pmod(F.xxhash64("sha256"), F.lit(LOOSE)))
+    file = _file(per_file)
     order = F.array_sort(F.collect_list(F.struct("page_id", "sha256", "text")))
     return rows.groupBy(file.alias("file")).agg(F.encode(F.array_join(F.transform(order, lambda x: x["text"]), ""), "UTF-8").alias("content"))
 
@@ -96,58 +106,69 @@ def read_records(replica: DataFrame) -> DataFrame:
     return replica.select(F.col("file").cast("long"), "content").mapInArrow(run, kinds)
 
 
-def trees(leaves: DataFrame) -> list[DataFrame]:
-    """Levels (side, node, hash) from the ranges of records up to the roots, for ``leaves`` (side, slot, digest)."""
-    top = leaves.agg(F.max("slot")).first()[0]
+def trees(leaves: DataFrame) -> list[tuple[DataFrame, list[Column]]]:
+    """Levels (side, file, node, hash) from the ranges of records up to the roots, for ``leaves`` (side, file, place, digest); with each, the (file, node) above a row of the level below.
 
-    def level(rows: DataFrame, key: Column, place: str, digest: str) -> DataFrame:
-        children = F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(digest).alias("d"))))
-        text = F.array_join(F.transform(children, lambda x: F.concat(x["p"].cast("string"), F.lit(":"), x["d"])), ";")
-        return written(rows.groupBy("side", key.alias("node")).agg(F.sha2(text, 256).alias("hash")))
+    A node stands over LEAF places of a file, then over FAN nodes of it, then over FAN files; files are keyed by
+    number, so no product of numbers is made and any long will do.  At last what is left, within FAN numbers, is one root.
+    """
+
+    def level(rows: DataFrame, up: list[Column], digest: str, *place: str) -> DataFrame:
+        children = F.array_sort(F.collect_list(F.struct(*place, F.col(digest).alias("d"))))
+        text = F.array_join(F.transform(children, lambda x: F.concat_ws(":", *[x[p].cast("string") for p in place], x["d"])), ";")
+        return written(rows.groupBy("side", up[0].alias("up_file"), up[1].alias("up_node")).agg(F.sha2(text, 256).alias("hash")).select("side", F.col("up_file").alias("file"), F.col("up_node").alias("node"), "hash"))
 
-    # a range holds LEAF bytes of records, a node FAN ranges: no group grows with the archive
-    out = [level(leaves, F.floor(F.col("slot") / LEAF), "slot", "digest")]
-    last = (top or 0) // LEAF
+    # a node has at most LEAF places or FAN children: no group grows with the archive
+    up = [F.col("file"), _down("place", LEAF)]
+    out = [(level(leaves, up, "digest", "place"), up)]
+    last = (leaves.agg(F.max("place")).first()[0] or 0) // LEAF
     while last > 0:
-        out.append(level(out[-1], F.floor(F.col("node") / FAN), "node", "hash"))
+        up = [F.col("file"), _down("node", FAN)]
+        out.append((level(out[-1][0], up, "hash", "node"), up))
         last //= FAN
-    return out
+    ends = leaves.agg(F.min("file").alias("low"), F.max("file").alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    while high - low >= FAN:
+        up = [_down("file", FAN), F.lit(0).cast("long")]
+        out.append((level(out[-1][0], up, "hash", "file"), up))
+        low, high = low // FAN, high // FAN
+    up = [F.lit(0).cast("long"), F.lit(0).cast("long")]
+    return [*out, (level(out[-1][0], up, "hash", "file"), up)]
+
+
+def _differ(rows: DataFrame, keys: list[str], digest: str) -> DataFrame:
+    """(keys, a, b) where the two sides' hashes are not equal, or only one side has the keys."""
+    a, b = (rows.where(F.col("side") == s).select(*keys, F.col(digest).alias(s)) for s in ("a", "b"))
+    return a.join(b, keys, "full").where(~F.col("a").eqNullSafe(F.col("b")))
 
 
-def _differ(rows: DataFrame, key: str, digest: str) -> DataFrame:
-    """(key, a, b) where the two sides' hashes are not equal, or only one side has the key."""
-    a, b = (rows.where(F.col("side") == s).select(key, F.col(digest).alias(s)) for s in ("a", "b"))
-    return a.join(b, key, "full").where(~F.col("a").eqNullSafe(F.col("b")))
+def _below(rows: DataFrame, up: list[Column], wrong: DataFrame) -> DataFrame:
+    """The rows that lie under nodes (file, node)."""
+    above = wrong.select(F.col("file").alias("up_file"), F.col("node").alias("up_node"))
+    return rows.join(above, (up[0] == F.col("up_file")) & (up[1] == F.col("up_node")), "left_semi")
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """(file, offset, verdict): the records of two replicas (file, offset, digest) that differ: corrupt, missing in b, or extra in b.
 
-    Empty replicas are equal; a record that occurs twice at one place is compared as both its digests.
+    Empty replicas are equal; a record that occurs twice at one place is compared as both its digests; file numbers are any longs, offsets any from 0.
     """
     both = a.select(F.lit("a").alias("side"), "file", "offset", "digest").union(b.select(F.lit("b"), "file", "offset", "digest"))
-    ends = both.agg(F.max("offset").alias("span"), F.min("file").alias("first")).first()
-    span, first = ((ends["span"] or 0) // LEAF + 1) * LEAF, ends["first"] or 0
-    slot = (F.col("file") - first) * span + F.col("offset")
-    leaves = written(both.groupBy("side", slot.cast("long").alias("slot")).agg(F.array_join(F.array_sort(F.collect_list("digest")), ",").alias("digest")))
+    leaves = written(both.groupBy("side", "file", F.col("offset").alias("place")).agg(F.array_join(F.array_sort(F.collect_list("digest")), ",").alias("digest")))
     levels = trees(leaves)
-    wrong = _differ(levels[-1], "node", "hash").select("node")
-    for level in reversed(levels[:-1]):
+    wrong = _differ(levels[-1][0], ["file", "node"], "hash").select("file", "node")
+    for (level, _), (_, up) in zip(reversed(levels[:-1]), reversed(levels)):
         if not wrong.limit(1).count():
             break
-        below = level.join(wrong.select(F.col("node").alias("up")), F.floor(F.col("node") / FAN) == F.col("up"), "left_semi")
-        wrong = written(_differ(below, "node", "hash").select("node"))
-    found = leaves.join(wrong, F.floor(F.col("slot") / LEAF) == F.col("node"), "left_semi")
+        wrong = written(_differ(_below(level, up, wrong), ["file", "node"], "hash").select("file", "node"))
+    found = _below(leaves, levels[0][1], wrong)
     verdict = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt")
-    return _differ(found, "slot", "digest").select((F.floor(F.col("slot") / span) + first).cast("long").alias("file"), (F.col("slot") % span).alias("offset"), verdict.alias("verdict"))
+    return _differ(found, ["file", "place"], "digest").select("file", F.col("place").alias("offset"), verdict.alias("verdict"))
 
 
 def root(replica: DataFrame) -> str | None:
     """A replica's root hash; null without records."""
-    span = ((replica.agg(F.max("offset")).first()[0] or 0) // LEAF + 1) * LEAF
-    first = replica.agg(F.min("file")).first()[0] or 0
-    rows = replica.select(F.lit("a").alias("side"), ((F.col("file") - first) * span + F.col("offset")).alias("slot"), "digest")
-    found = trees(written(rows))[-1].first()
+    found = trees(written(replica.select(F.lit("a").alias("side"), "file", F.col("offset").alias("place"), "digest")))[-1][0].first()
     return found["hash"] if found else None
 
 

@@ -72,3 +72,24 @@ def test_files_are_read_back(spark):
     assert sorted(r.content.decode() for r in read) == sorted(h or "" for _, _, h in rows) and all(r.record_id.startswith("<urn:uuid:") for r in read)
     broken = spark.createDataFrame([(0, bytearray(b"junk")), (1, None), (2, bytearray(b""))], "file long, content binary")
     assert [(r.file, r.n_bytes, r.record_id) for r in fixity.read_records(broken).collect()] == [(0, 4, None)]
+
+
+def test_any_longs_are_ids(spark):
+    """Ids spread like hashes, negative ones, and the ends of their range."""
+    rng = random.Random(3)
+    ids = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(200)] + [-(1 << 63), (1 << 63) - 1, -1, 0, -1000, (1 << 62) + 5, (1 << 62) + 6] + [None] * 5
+    pages = spark.createDataFrame([(i, f"u{i}", "some page " * 3) for i in ids], "page_id long, url string, html string")
+    rows = fixity.replicas(pages).collect()
+    mod = lambda i, n: i - n * int(i / n) if abs(i) < 1 << 50 else (abs(i) % n) * (1 if i >= 0 else -1)
+    want = lambda i: "ok" if i is None else "missing" if mod(i, 211) == 7 else "corrupt" if mod(i, 97) == 5 or mod(i, 193) == 11 else "ok"
+    assert sorted((str(r.page_id), r.verdict) for r in rows) == sorted((str(i), want(i)) for i in ids)
+    assert {r.file for r in rows if r.page_id is not None} == {i // 1000 for i in ids if i is not None}
+
+
+def test_roots_over_many_files(spark):
+    rng = random.Random(4)
+    made = [(rng.randrange(-(1 << 62), 1 << 62), rng.randrange(1 << 40), f"{k}") for k in range(300)]
+    a = spark.createDataFrame(made, KIND)
+    b = spark.createDataFrame([*made[:-1], (made[-1][0], made[-1][1], "other")], KIND)
+    assert fixity.root(a) == fixity.root(a.repartition(3)) != fixity.root(b)
+    assert [tuple(r) for r in fixity.audit(a, b).collect()] == [(*made[-1][:2], "corrupt")]
