@@ -2,9 +2,10 @@
 
 Every window of a text whose first words begin some benchmark n-gram is spelt out
 and looked up in the table of n-grams, word for word, so a hit is verified by
-equality.  Heads are kept as bits of a bitmap of at most 16 MB at any size of the
-benchmark, so that only windows that begin like an n-gram are spelt out; the
-table is broadcast while it is under a stated size, and joined by a shuffle beyond.
+equality.  Heads are kept as bits, one filter for n-grams of all sizes, sized by their
+number up to 128 MB; they are the value of a subquery, which no plan spells out, and only
+windows that begin like an n-gram are spelt out.  The n-grams are broadcast while they
+are few, and joined by a shuffle beyond; which items have them is joined to what was found.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OTHER, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 HEAD = 4
 MAX_BROADCAST = 200_000
-#: Bits for each n-gram, and the least and the most of them in all, as powers of two.
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 15, 27
+#: Bits for each n-gram while that is within MANY_BITS, else FEW_EACH; the least, MANY_BITS and the most as powers of two.
+BITS_EACH, FEW_EACH, LEAST_BITS, MANY_BITS, MOST_BITS = 64, 16, 15, 27, 30
 
 
 def lowered(text: Column) -> Column:
@@ -37,67 +38,91 @@ def words(text: Column) -> Column:
 
 
 def ngrams(benchmark: DataFrame, n: int, item_col: str, text_col: str) -> DataFrame:
-    """(size, gram, head, items): each n-gram of an item, or the whole of a shorter item, with the items that have it."""
+    """(size, gram, head, item): each n-gram of an item, or the whole of a shorter item, once an item."""
     w = benchmark.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("size", F.least(F.size("w"), F.lit(n)))
     cut = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: F.slice("w", i, F.col("size")))
     rows = w.select("item", "size", F.explode(cut).alias("g"))
-    return rows.groupBy("size", F.array_join("g", " ").alias("gram"), _head("g", F.lit(0), F.col("size")).alias("head")).agg(F.collect_set("item").alias("items"))
+    return rows.select("size", F.array_join("g", " ").alias("gram"), _head("g", F.lit(0), F.least("size", F.lit(HEAD))).alias("head"), "item").distinct()
 
 
 def _head(words_col: str, at: Column, size: Column) -> Column:
-    """Hash of a window's size and its first words; of a window shorter than that, of all of them."""
+    """Hash of the ``size`` words from a place on, HEAD at most."""
     return F.xxhash64(size, *[F.when(k < size, F.get(words_col, at + k)) for k in range(HEAD)])
 
 
-def bitmap(heads: DataFrame, bits: int) -> bytes:
-    """``bits`` bits, of which the head modulo ``bits`` is set for each head."""
+def size_of(n: int) -> int:
+    """How many bits the filter of n heads has."""
+    many = min(1 << MANY_BITS, 1 << (BITS_EACH * n).bit_length())
+    return min(1 << MOST_BITS, max(1 << LEAST_BITS, many, 1 << (FEW_EACH * n).bit_length()))
+
+
+def bitmap(heads: DataFrame, bits: int) -> DataFrame:
+    """(bits): one row, the filter as bytes; the head modulo ``bits`` is set for each head."""
     place = F.pmod("head", F.lit(bits)) + 1
-    rows = heads.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("part")).collect()
-    out = bytearray(max(bits // 8, 4096))
-    for r in rows:
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["part"]
-    return bytes(out[: bits // 8])
+    rows = heads.groupBy((F.bitmap_bucket_number(place) - 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("part"))
+    every = heads.sparkSession.range(max(1, bits >> 15)).select(F.col("id").alias("k")).join(rows, "k", "left")
+    return every.select("k", F.coalesce("part", F.lit(bytes(4096))).alias("part")).agg(F.expr("listagg(part) within group (order by k)").alias("bits"))
 
 
-def _begins(size: int, bits: Column, count: int):
-    """Whether the first words at a place may be those of some n-gram."""
+def _heads(length: int):
+    return lambda i: _head("w", i, F.lit(length))
 
-    def holds(i: Column) -> Column:
-        place = F.pmod(_head("w", i, F.lit(size)), F.lit(count))
-        byte = F.ascii(F.decode(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
-        return F.getbit(byte, (place % 8).cast("int")) == 1
 
-    return holds
+def _held(bits: Column, head: Column, count: int) -> Column:
+    """Whether the filter may hold a head."""
+    place = F.pmod(head, F.lit(count))
+    byte = F.ascii(F.decode(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    return F.getbit(byte, (place % 8).cast("int")) == 1
 
 
-def _window(size: int):
-    return lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice("w", i + 1, F.lit(size)), " ").alias("gram"))
+def _grams(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
+    return written(ngrams(benchmark, n, item_col, text_col))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
-    """One row per row of docs: (row, doc_id, digest of the text, n_words, found array<(at, size, items)>)."""
-    grams = written(ngrams(benchmark, n, item_col, item_text_col))
-    sizes = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count("*").alias("n")).collect()}  # n rows at most
+def _met(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, digest, at, size, gram) of each window that is an n-gram, and of each row one line with -1 for at and its number of words for size."""
+    table = grams.select(F.col("size").alias("g_size"), F.col("gram").alias("g_gram"), "head").distinct()
+    sizes = {r["g_size"]: r["n"] for r in table.groupBy("g_size").agg(F.count("*").alias("n")).collect()}  # n rows at most
     small = sum(sizes.values()) <= MAX_BROADCAST
-    count = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * sum(sizes.values())).bit_length()))
-    bits = F.lit(bitmap(grams, count))
+    count = size_of(sum(sizes.values()))
+    lengths = sorted({min(size, HEAD) for size in sizes})
+    places = {length: F.greatest(F.lit(0), F.size("w") - (length - 1)) for length in lengths}
+    heads = [F.transform(F.when(n_of > 0, F.sequence(F.lit(0), n_of - 1)).otherwise(F.array().cast("array<int>")), _heads(length)) for length, n_of in places.items()]
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), words(F.col(text_col)).alias("w"))
-    windows = [F.array(F.struct(F.lit(-1).alias("at"), F.size("w").alias("size"), F.lit(None).cast("string").alias("gram")))]
-    for size in sorted(sizes):
-        at = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size)).otherwise(F.array().cast("array<int>"))
-        windows.append(F.transform(F.filter(at, _begins(size, bits, count)), _window(size)))
-    rows = base.select("row", "doc_id", "digest", F.explode(F.concat(*windows)).alias("x")).select("row", "doc_id", "digest", "x.at", "x.size", "x.gram")
-    table = grams.select(F.col("size").alias("g_size"), F.col("gram").alias("g_gram"), "items")
-    met = rows.join(F.broadcast(table) if small else table, (F.col("gram") == F.col("g_gram")) & (F.col("size") == F.col("g_size")), "left").where((F.col("at") < 0) | F.col("items").isNotNull())
+    # one line for the row, then one for each place and length of a head; whole-stage code drops those that the filter has not, before anything is copied
+    each = base.select("row", "doc_id", "digest", "w", F.posexplode_outer(F.concat(F.array(F.lit(None).cast("long")), *heads)).alias("p", "head"))
+    each = each.where((F.col("p") == 0) | _held(bitmap(table, count).scalar(), F.col("head"), count)) if sizes else each
+    at, length, first = F.lit(-1), F.lit(0), F.lit(1)
+    for k, n_of in places.items():
+        inside = (F.col("p") >= first) & (F.col("p") < first + n_of)
+        at, length, first = F.when(inside, F.col("p") - first).otherwise(at), F.when(inside, k).otherwise(length), first + n_of
+    of = F.array(F.size("w"))
+    for k in lengths:
+        of = F.when(F.col("length") == k, F.array(*[F.lit(s) for s in sorted(sizes) if min(s, HEAD) == k])).otherwise(of)
+    each = each.withColumns({"at": at, "length": length}).withColumn("size", F.explode(of)).where((F.col("at") < 0) | (F.col("at") + F.col("size") <= F.size("w")))
+    # a row's own line has a key of its own, that no n-gram is: no join gathers such lines
+    gram = F.when(F.col("at") < 0, F.concat(F.lit("\x00"), F.col("row").cast("string"))).otherwise(F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " "))
+    rows = each.select("row", "doc_id", "digest", "at", "size", gram.alias("gram"))
+    table = table.select("g_size", "g_gram", F.lit(True).alias("known"))
+    met = rows.join(F.broadcast(table) if small else table, (F.col("gram") == F.col("g_gram")) & (F.col("size") == F.col("g_size")), "left")
+    return met.where((F.col("at") < 0) | F.col("known")).select("row", "doc_id", "digest", "at", "size", "gram")
+
+
+def _found(met: DataFrame) -> DataFrame:
     first = F.col("at") < 0
     return met.groupBy("row").agg(
         F.max(F.when(first, F.struct("doc_id", "digest"))).alias("own"),
         F.max(F.when(first, F.col("size"))).cast("long").alias("n_words"),
-        F.array_sort(F.collect_list(F.when(~first, F.struct("at", "size", "items")))).alias("found"),
+        F.array_sort(F.collect_list(F.when(~first, F.struct("at", "size")))).alias("found"),
     ).select("row", "own.*", "n_words", "found")
 
 
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
+    """One row per row of docs: (row, doc_id, digest of the text, n_words, found array<(at, size)>)."""
+    return _found(_met(docs, _grams(benchmark, item_col, item_text_col, n), id_col, text_col))
+
+
 def covered(found: Column) -> Column:
     """How many words the windows cover: they come in order of their starts."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
@@ -115,9 +140,12 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     no hits; items without words have no window; a null item_id hits but is not listed;
     repeated rows are judged each; other columns are not read.
     """
-    found = hits(docs, benchmark, id_col, text_col, item_col, item_text_col, n)
-    items = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"]))), lambda i: i.cast("string")))
-    out = found.select("doc_id", "n_words", covered(F.col("found")).alias("n_hit"), items.alias("items"))
+    grams = _grams(benchmark, item_col, item_text_col, n)
+    # few windows are n-grams: what was met is kept, so that both its uses read it; an n-gram's items join what is distinct in a row
+    met = written(_met(docs, grams, id_col, text_col))
+    has = met.where("at >= 0").select("row", "size", "gram").distinct().join(grams.select("size", "gram", F.col("item").cast("string").alias("item")), ["size", "gram"]).select("row", "item").distinct()
+    items = has.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = _found(met).join(items, "row", "left").select("doc_id", "n_words", covered(F.col("found")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     hit, n_words = F.col("n_hit"), F.col("n_words")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((hit > 0) & (share * hit >= n_words)).alias("contaminated"))
 

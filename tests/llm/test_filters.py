@@ -192,14 +192,34 @@ def test_only_windows_that_may_hit_are_spelt_out(spark):
     bench = spark.createDataFrame([(i, text(400)) for i in range(150)], "item_id long, text string")
     grams = decontaminate.ngrams(bench, 13, "item_id", "text")
     bits = 1 << 22
-    held = decontaminate.bitmap(grams, bits)
+    held = decontaminate.bitmap(grams, bits).first()["bits"]
     heads = [r[0] % bits for r in grams.select("head").collect()]
     assert len(heads) > 50_000 and sum(bin(b).count("1") for b in held) == len(set(heads)) and all(held[h >> 3] >> (h & 7) & 1 for h in heads)
     w = spark.createDataFrame([(text(2000).split(),) for _ in range(20)], "w array<string>")
     from pyspark.sql import functions as F
 
-    begun = F.filter(F.sequence(F.lit(0), F.size("w") - 13), decontaminate._begins(13, F.lit(held), bits))
-    assert w.agg(F.sum(F.size(begun))).first()[0] < 0.03 * 20 * 1988
+    begun = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 4), decontaminate._heads(4))).alias("h")).where(decontaminate._held(F.lit(bytes(held)), F.col("h"), bits))
+    assert begun.count() < 0.03 * 20 * 1988
+
+
+def test_the_filter_is_in_no_plan(spark, monkeypatch):
+    """Items of all sizes, and a filter of 16 MB: the plan stays short, and the results those of equality."""
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 27)
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(i))) for i in range(1, 20)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "x y " * 30 + " ".join(f"w{i}x{k}" for k in range(i)) + " z" * i) for i in range(1, 20)], DOC)
+    got = decontaminate.judge(docs, bench)
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in got.collect()} == {i: (i, 1) for i in range(1, 20)}
+    whole = decontaminate.hits(docs, bench)
+    assert len(spark._jvm.PythonSQLUtils.explainString(whole._jdf.queryExecution(), "extended")) < 300_000
+    assert [decontaminate.size_of(n) for n in (0, 10**6, 10**8, 10**10)] == [1 << 27, 1 << 27, 1 << 30, 1 << 30]
+
+
+def test_items_join_late(spark):
+    """Every item has one n-gram that every document has, too: lists of items are made a document, not a window."""
+    text = " ".join(f"w{k}" for k in range(13))
+    bench = spark.createDataFrame([(i, text) for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{text} x {text} x {text}") for i in range(40)], DOC)
+    assert {(r.n_hit, r.n_items) for r in decontaminate.judge(docs, bench).collect()} == {(39, 300)}
 
 
 @pytest.mark.parametrize("module", [ranking, toxicity])
