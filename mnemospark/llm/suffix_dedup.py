@@ -280,7 +280,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def ask_anchor(t: pa.Table) -> pa.Table:
         _, _, _, _, key, _, h, doc = opened(t)
         code, docs_of, _ = distinct(h, doc, key)
-        cut, low, many = shards(code), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(docs_of, 255).astype(np.uint8)
+        cut, low, many = shards(code), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(docs_of, 65535).astype(np.uint16)
         return X.asked(t.column("chunk")[0].as_py(), {s: X.to_blob(step=np.diff(low[i:j], prepend=np.uint32(0)), docs=many[i:j]) for s, (i, j) in enumerate(zip(cut, cut[1:])) if j > i})
 
     def answer_anchor(t: pa.Table) -> pa.Table:
