@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ SPAN, SAMPLE = 24, 64
 WIDE, MARK = 10, 6
 #: Code points that are hashed at once: the bound of what a very long text takes beside its prefix array.
 BLOCK = 1 << 16
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 GRID = np.unique(np.rint(2 ** (np.arange(4 * 40) / 4)).astype(np.int64))
 
 
@@ -43,9 +43,8 @@ def _mod(x: np.ndarray) -> np.ndarray:
     return np.minimum(x, x - P)  # the difference wraps around where x is smaller
 
 
-@lru_cache(4 * len(BASES))
 def _tables(base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base from 0 to BLOCK - 1, and those of its BLOCK-th power: together they reach BLOCK^2."""
+    """Powers of base from 0 to BLOCK - 1, and those of its BLOCK-th power: together they reach BLOCK^2.  A process makes them once."""
 
     def powers(x: int) -> np.ndarray:
         out = np.ones(1, np.uint64)
@@ -53,7 +52,9 @@ def _tables(base: int) -> tuple[np.ndarray, np.ndarray]:
             out = np.concatenate([out, _mod(out * pow(x, len(out), P))])
         return out
 
-    return powers(base), powers(pow(base, BLOCK, P))
+    if base not in POWERS:
+        POWERS[base] = powers(base), powers(pow(base, BLOCK, P))
+    return POWERS[base]
 
 
 def code_points(text: str) -> np.ndarray:
