@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 from . import vectors as V
+from .neighbours import neighbours
 
 #: Ids in a range that one task numbers.
 RANGE = 1 << 20
 
 
-def optimal_eps(df: DataFrame, dim: int, k: int = 4) -> DataFrame:
+def optimal_eps(df: DataFrame, dim: int, k: int = 5) -> DataFrame:
     """(eps): the mean Euclidean distance of all rows to their k nearest others."""
-    return V.neighbours(df, dim, k, metric="l2").agg(F.avg(F.sqrt("score")).alias("eps"))
+    return neighbours(df, dim, k, metric="l2").agg(F.avg(F.sqrt("score")).alias("eps"))
 
 
 def dbscan(df: DataFrame, dim: int, eps: float, min_samples: int) -> DataFrame:
@@ -24,7 +25,7 @@ def dbscan(df: DataFrame, dim: int, eps: float, min_samples: int) -> DataFrame:
     cluster; other rows join the cluster of their smallest core.  Labels spread to
     minima over rounds, each written, with their roots followed between rounds.
     """
-    pairs = written(V.neighbours(df, dim, radius=eps * eps, metric="l2").select("src", "dst"))
+    pairs = written(neighbours(df, dim, radius=eps * eps, metric="l2").select("src", "dst"))
     cores = written(pairs.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select(F.col("src").alias("id"))) if min_samples > 1 else df.select("id")
     inner = written(pairs.join(cores.select(F.col("id").alias("src")), "src").join(cores.select(F.col("id").alias("dst")), "dst"))
     root = written(cores.select("id", F.col("id").alias("root")))
@@ -72,8 +73,9 @@ def cluster_memories(df: DataFrame, dim: int, min_cluster: int = 6) -> DataFrame
         return df.select("id", F.lit(-1).alias("label"))
     clean = written(V.denoise(df, dim, out=min(50, dim)))
     size = min(50, dim - 3) if dim > 3 else dim
-    eps = optimal_eps(clean, size).first().eps
-    labels = written(dbscan(clean, size, eps, max(2, min(8, n // 20))))
+    least = max(2, min(8, n // 20))
+    eps = optimal_eps(clean, size, least).first().eps
+    labels = written(dbscan(clean, size, eps, least))
     return merge_tiny(clean.join(labels, "id"), size, min_cluster)
 
 

@@ -1,16 +1,12 @@
-"""Dense vectors: normalisation, exact nearest neighbours, exact neighbour joins, denoising."""
+"""Dense vectors: normalisation, exact nearest neighbours of one vector, denoising, embedding."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4096
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -53,49 +49,6 @@ def knn(df: DataFrame, query: list[float], k: int, metric: str = "cosine", id_co
     return rows.orderBy(F.col("score").desc() if best_is_high else F.col("score"), "id").limit(k)
 
 
-def neighbours(df: DataFrame, dim: int, k: int | None = None, radius: float | None = None, metric: str = "cosine", id_col: str = "id", vec_col: str = "vector", block: int = BLOCK) -> DataFrame:
-    """(src, dst, score) for each row's k nearest other rows, or all within ``radius``; exact.
-
-    Rows are dealt to blocks of about ``block``; each pair of blocks is one matrix product
-    in one task, so no task grows with the table.  score is cosine (k best highest, radius a
-    least value) or squared L2 (lowest, a greatest value).
-    """
-    rows = df.where(F.size(vec_col) == dim).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    n = max(1, math.ceil(rows.count() / block))
-    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = own.select(F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("is_left"), "id", "v")
-    right = own.select(every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("is_left"), "id", "v")
-    high = metric == "cosine"
-
-    def cell(t: pa.Table) -> pa.Table:
-        side = t.column("is_left").to_numpy(zero_copy_only=False)
-        ids, m = t.column("id").to_numpy(), _matrix(t.column("v"), dim)
-        a, b, ia, ib = m[side], m[~side], ids[side], ids[~side]
-        if high:
-            norm = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = norm(a) @ norm(b).T
-        else:
-            s = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
-        bad = -np.inf if high else np.inf
-        s[ia[:, None] == ib[None]] = bad
-        if radius is not None:
-            x, y = np.nonzero(s >= radius if high else s <= radius)
-        else:
-            keep = min(k, len(ib))
-            order = np.lexsort([np.broadcast_to(ib, s.shape), -s if high else s], axis=1)[:, :keep]
-            x, y = np.repeat(np.arange(len(ia)), keep), order.reshape(-1)
-        good = s[x, y] != bad
-        x, y = x[good], y[good]
-        return pa.table({"src": ia[x], "dst": ib[y], "score": s[x, y]})
-
-    found = left.union(right).groupBy("i", "j").applyInArrow(cell, "src long, dst long, score double")
-    if k is None:
-        return found
-    order = Window.partitionBy("src").orderBy(F.col("score").desc() if high else F.col("score"), "dst")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def denoise(df: DataFrame, dim: int, drop: int = 3, out: int | None = None, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
     """Vectors less their mean and first ``drop`` principal directions, projected to ``out`` directions, at unit length.
 
@@ -157,3 +110,35 @@ def embed(df: DataFrame, dim: int, text_col: str = "text", out_col: str = "vecto
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.float32()))], [*b.schema.names, out_col])
 
     return df.mapInArrow(run, df.withColumn(out_col, F.array().cast("array<float>")).schema)
+
+
+def embed_distinct(df: DataFrame, dim: int, model=None, text_col: str = "text", out_col: str = "vector") -> DataFrame:
+    """df with a vector for each text, each distinct text embedded once over all partitions.
+
+    ``model``: a function without arguments that gives a function of a list of texts; it is called once a Python worker.  None: the fallback.
+    Distinct texts meet by hash, their vectors are written, and rows take them by hash: texts that very many rows share
+    are one row until then.  A blank or null text has the zero vector.
+    """
+    from ..sources.tables import fresh_name, written
+
+    blank = F.coalesce(F.trim(F.translate(F.col(text_col), "\t\r\n\f\v", "     ")) == "", F.lit(True))
+    once = df.where(~blank).groupBy(F.sha2(text_col, 256).alias("sha")).agg(F.any_value(text_col).alias("text"))
+    name = f"{getattr(model, '__module__', '')}.{getattr(model, '__qualname__', '')}"
+
+    def run(batches):
+        import sys
+
+        made = sys.modules.setdefault("_mnemospark_models", type(sys)("_mnemospark_models"))
+        if model and name not in made.__dict__:
+            made.__dict__[name] = model()
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            vectors = made.__dict__[name](texts) if model else [fallback_embedding(t, dim) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32()))], ["sha", "vector"])
+
+    vectors = written(once.mapInArrow(run, "sha string, vector array<float>"))
+    key, of, value = (fresh_name(df, c) for c in ("sha", "of", "made"))
+    rows = df.withColumn(key, F.when(~blank, F.sha2(text_col, 256)))
+    rows = rows.join(vectors.select(F.col("sha").alias(of), F.col("vector").alias(value)), F.col(key) == F.col(of), "left")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return rows.withColumn(out_col, F.coalesce(value, zero)).drop(key, of, *([] if value == out_col else [value]))
