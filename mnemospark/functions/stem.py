@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
-
 # Suffixes and what stands for them, by step; the longest suffix that fits is taken.
 STEP_2 = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize",
@@ -56,7 +54,6 @@ def _plain(word: str) -> str:
     return cut + "e" if _measure(cut) == 1 and _short_end(cut) else cut
 
 
-@lru_cache(1 << 16)
 def stem(word: str) -> str:
     """The stem of a lower-case word; words of up to two letters, and with others than a-z, stay."""
     if len(word) < 3 or not (word.isascii() and word.isalpha()):
@@ -71,3 +68,15 @@ def stem(word: str) -> str:
     if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _short_end(word[:-1]))):
         word = word[:-1]
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
+
+
+class Stems(dict):
+    """Stems of the words that were looked up last; made where it is used, so that a task keeps its own."""
+
+    MOST = 1 << 18
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = out = stem(word)
+        return out

@@ -198,22 +198,32 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), *accents()), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def term_counts(text: Column, wanted: list[str]) -> Column:
-    """array<long>: how many search terms a text has, then how many of them have the stem of each wanted term.  Runs on Arrow batches."""
+def term_finder():
+    """A function of a text, or null, that gives its search terms in order; for Python workers."""
     import re
 
+    marks, find = str.maketrans(*accents()), re.compile(r"[^\W_]+").findall
+
+    def words(t: str | None) -> list[str]:
+        low = (t or "").lower()
+        return find(low if low.isascii() else low.translate(marks))
+
+    return words
+
+
+def term_counts(text: Column, wanted: list[str]) -> Column:
+    """array<long>: how many search terms a text has, then how many of them have the stem of each wanted term.  Runs on Arrow batches."""
     import pyarrow as pa
 
-    from .stem import stem
+    from .stem import Stems
 
-    stems = [stem(w) for w in wanted]
+    stem, find = Stems(), term_finder()
+    stems = [stem[w] for w in wanted]
     heads = tuple({s[:-1] or s for s in stems})  # a stem differs from its word's beginning in its last letter at most
-    marks, find = str.maketrans(*accents()), re.compile(r"[^\W_]+").findall
 
     def count(t: str | None) -> list[int]:
-        low = (t or "").lower()
-        words = find(low if low.isascii() else low.translate(marks))
-        near = [stem(w) for w in words if w.startswith(heads)]
+        words = find(t)
+        near = [stem[w] for w in words if w.startswith(heads)]
         return [len(words), *(near.count(s) for s in stems)]
 
     return F.arrow_udf(lambda texts: pa.array([count(t) for t in texts.to_pylist()], pa.list_(pa.int64())), "array<bigint>")(text)

@@ -7,7 +7,6 @@ texts that hold, in whatever case, a word of each list of ``needles(pattern)``.
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import pyarrow as pa
 
@@ -43,14 +42,15 @@ def needles(pattern: str) -> list[list[str]]:
     return sorted(of(sre.parse(pattern)), key=lambda ws: (len(ws), -min(map(len, ws))))
 
 
-@cache
-def _test(pattern: str, flags: int):
-    return re.compile(pattern, flags).search, needles(pattern)
+#: Patterns, compiled, with what they need; a worker fills its own.
+TESTS: dict[tuple[str, int], tuple[re.Pattern, list[list[str]]]] = {}
 
 
 def _found(text: str, low: str, pattern: str, flags: int = 0) -> bool:
-    search, words = _test(pattern, flags)
-    return all(any(w in low for w in ws) for ws in words) and search(text) is not None
+    if (pattern, flags) not in TESTS:
+        TESTS[pattern, flags] = re.compile(pattern, flags), needles(pattern)
+    compiled, words = TESTS[pattern, flags]
+    return all(any(w in low for w in ws) for ws in words) and compiled.search(text) is not None
 
 
 def _hits(text: str, low: str, categories) -> list[tuple[str, str]]:

@@ -65,15 +65,16 @@ def expand(hits: DataFrame, pool: DataFrame, edges: DataFrame, seeds: int, most:
     return hits.select("id", "score").union(more)
 
 
-def hybrid_search(memories: DataFrame, query_vector: list[float], query_terms: list[str], as_of: float, top_k: int = 10, alpha: float = 0.5, min_score: float = 0.0, decay: float = 0.005, edges: DataFrame | None = None, filter_unreliable: bool = True) -> DataFrame:
+def hybrid_search(memories: DataFrame, query_vector: list[float], query_terms: list[str], as_of: float, top_k: int = 10, alpha: float = 0.5, min_score: float = 0.0, decay: float = 0.005, edges: DataFrame | None = None, filter_unreliable: bool = True, index=None) -> DataFrame:
     """(rank, id, score, combined): vector and keyword candidates, fused, reliable, decayed by age.
 
     Vector candidates are max(3 top_k, 50), keyword ones 3 top_k, 2 top_k survive fusion;
-    unreliable texts go, scores decay by exp(-decay * hours), the top k stay.
+    unreliable texts go, scores decay by exp(-decay * hours), the top k stay.  Keywords are looked up in
+    ``index`` (a ``postings.KeywordIndex`` of the memories) where there is one, else in all texts.
     """
     # candidate lists are as long as the request asks for; written, so that scaling and fusion do not scan the corpus again
     vector = written(V.knn(memories, query_vector, max(3 * top_k, 50), "l2").select("id", (1 / (1 + F.col("score"))).alias("score")))
-    keyword = written(bm25(memories, query_terms, 3 * top_k))
+    keyword = written(bm25(memories, query_terms, 3 * top_k) if index is None else index.search(query_terms, 3 * top_k))
     pool = fuse(minmax(vector), minmax(keyword), alpha, 0.0).select("id", "score")
     hits = pool.where(F.col("score") >= min_score)
     if edges is not None and min_score > 0:
@@ -170,5 +171,5 @@ def last_user_message(turns: DataFrame) -> DataFrame:
 
 
 def token_prefilter(memories: DataFrame, query_terms: list[str]) -> DataFrame:
-    """(term): the query terms that some memory holds; none means nothing can be found."""
+    """(term): the query terms that some memory holds; none means nothing can be found.  ``KeywordIndex.known`` asks an index for stems instead."""
     return memories.select(F.explode(T.terms(F.col("text"))).alias("term")).where(F.col("term").isin([t.lower() for t in query_terms])).distinct()
