@@ -1 +1,10 @@
-"""mnemospark: text-memory analytics as lazy DataFrame operators on Apache Spark."""
+"""mnemospark: text-memory analytics as lazy DataFrame operators on Apache Spark.
+
+Functions that run on executors are pickled by value, so a cluster needs no installed copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import written
-from .graph import first_edges
+from .graph import first_edges, reached
 from .maintenance import equals_all
 
 
@@ -44,13 +44,8 @@ def by_keyword(triples: DataFrame, word: str, most: int = 50) -> DataFrame:
 
 def related(triples: DataFrame, name: str, depth: int = 1) -> DataFrame:
     """(entity): what is linked with a name, in either direction, within ``depth`` steps."""
-    both = triples.select(F.col("subject").alias("a"), F.col("object").alias("b")).union(triples.select("object", "subject")).distinct()
-    seen = triples.sparkSession.createDataFrame([(name,)], "entity string")
-    front = seen
-    for _ in range(depth):
-        front = both.join(F.broadcast(front.select(F.col("entity").alias("a"))) if _ == 0 else front.select(F.col("entity").alias("a")), "a").select(F.col("b").alias("entity")).distinct().join(seen, "entity", "left_anti")
-        seen = seen.union(front)
-    return seen.where(F.col("entity") != name)
+    both = triples.select(F.col("subject").alias("src"), F.col("object").alias("dst")).union(triples.select("object", "subject"))
+    return reached(both, triples.sparkSession.createDataFrame([(name,)], "id string"), depth).where(F.col("depth") > 0).select(F.col("id").alias("entity"))
 
 
 def relational(triples: DataFrame, question: str) -> DataFrame:
@@ -192,15 +187,14 @@ def extract_tasks(df: DataFrame) -> DataFrame:
 
 
 def _state_lines(df: DataFrame, inside, leaves, enters) -> DataFrame:
-    """Lines of each text with the state that earlier lines put it in: a fold over a text's lines, without a shuffle."""
+    """Lines of each text with the state that earlier lines put it in: the text is cut where a line enters or leaves one, without a shuffle."""
     lines = F.filter(F.transform(F.split("text", r"\r?\n"), T.stripped), lambda x: x != "")
-    start = F.struct(F.lit(None).cast("string").alias("state"), F.array().cast("array<struct<line:string,state:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        state = F.when(enters(x), inside(x)).when(leaves(x), F.lit(None).cast("string")).otherwise(s["state"])
-        return F.struct(state.alias("state"), F.array_append(s["out"], F.struct(x.alias("line"), state.alias("state"))).alias("out"))
-
-    return df.select("source_file", F.inline(F.aggregate(lines, start, step, lambda s: s["out"])))
+    rows = df.select("source_file", lines.alias("l"))
+    mark = lambda x, i: F.struct((i + 1).alias("at"), F.when(enters(x), inside(x)).alias("state"), (enters(x) | leaves(x)).alias("cuts"))
+    head = F.array(F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("state"), F.lit(True).alias("cuts")))
+    rows = rows.select("source_file", "l", F.concat(head, F.filter(F.transform("l", mark), lambda m: m["cuts"])).alias("m"))
+    part = F.transform("m", lambda m, k: F.struct(m["state"].alias("state"), F.slice("l", m["at"], F.coalesce(F.get("m", k + 1)["at"], F.size("l") + 1) - m["at"]).alias("lines")))
+    return rows.select("source_file", F.explode(part).alias("p")).select("source_file", F.explode("p.lines").alias("line"), F.col("p.state").alias("state"))
 
 
 def extract_daily(df: DataFrame) -> DataFrame:

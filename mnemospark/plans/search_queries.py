@@ -196,8 +196,8 @@ def concept_edges(spark, d):
 
 LINKS = """, c as (select a.id src, b.id dst, list_cosine_similarity(a.vector, b.vector) s, a."timestamp" - b."timestamp" dt, a.source_file = b.source_file and a.source_file <> '' same from memories a join memories b on a.id <> b.id),
 k as (select * from (select *, row_number() over (partition by src order by s desc, dst) r from c) where r <= 16),
-w as (select src, dst, s, round(0.85 * greatest(0, s) + 0.15 * exp(-dt * dt / (2 * 43200.0 * 43200.0)) + case when same then 0.05 else 0 end, 3) weight from k),
-links as (select src, dst, weight from w where weight > 0.4)
+w as (select src, dst, s, 0.85 * greatest(0, s) + 0.15 * exp(-dt * dt / (2 * 43200.0 * 43200.0)) + case when same then 0.05 else 0 end weight from k),
+links as (select src, dst, round(weight, 3) weight from w where weight > 0.4)
 """
 
 
@@ -226,7 +226,7 @@ def graph_path(spark, d):
     return G.path(X.edges(spark, d), 3, 61)
 
 
-@query(", c as (select a.id src, b.id dst, list_distance(a.vector, b.vector) s from memories a join memories b on a.id <> b.id) select round(avg(s), 6) eps from (select *, row_number() over (partition by src order by s, dst) r from c) where r <= 4", "memories")
+@query(", c as (select a.id src, b.id dst, list_distance(a.vector, b.vector) s from memories a join memories b on a.id <> b.id) select round(avg(s), 6) eps from (select *, row_number() over (partition by src order by s, dst) r from c) where r <= 5", "memories")
 def optimal_eps(spark, d):
     return C.optimal_eps(X.memories(spark, d), DIM).select(F.round("eps", 6).alias("eps"))
 

@@ -10,16 +10,32 @@ from pyspark.sql import functions as F
 # Folders that are never scanned.
 EXCLUDED = (".git", "__pycache__", "node_modules", ".vscode", "projects")
 
+#: Scratch folders of this process.
+MADE: list[str] = []
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a folder of this machine only where that is unset (local tests)."""
+    """A new folder below spark.checkpoint.dir.  Where that is unset, a folder of this machine, which only a local master has to itself."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         top = tempfile.mkdtemp(prefix="mnemospark-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the folders that scratch() has named in this process, and tells how many; what was read from them is lost."""
+    count = len(MADE)
+    while MADE:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return count
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -29,6 +45,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df has not, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scan(df: DataFrame, *cols: str) -> DataFrame:
     """Columns of all rows in order of id."""
     return df.select(*cols).orderBy("id")

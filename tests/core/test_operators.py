@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.operators import chunking as C
-from mnemospark.operators import clustering, graph, kg, maintenance, retrieval, tiering, vectors
+from mnemospark.operators import clustering, graph, kg, maintenance, neighbours, retrieval, tiering, vectors
 from mnemospark.operators import ingest as I
 from mnemospark.sources import tables as S
 from mnemospark.streaming import jobs
@@ -75,9 +75,9 @@ def test_neighbours_are_brute_force(points):
     v, df = points
     d = ((v[:, None] - v[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
-    got = {(r.src, r.dst) for r in vectors.neighbours(df, 4, 3, metric="l2", block=16).collect()}
+    got = {(r.src, r.dst) for r in neighbours.neighbours(df, 4, 3, metric="l2", block=16).collect()}
     assert got == {(i, int(j)) for i in range(len(v)) for j in np.argsort(d[i], kind="stable")[:3]}
-    near = {(r.src, r.dst) for r in vectors.neighbours(df, 4, radius=0.02, metric="l2", block=16).collect()}
+    near = {(r.src, r.dst) for r in neighbours.neighbours(df, 4, radius=0.02, metric="l2", block=16).collect()}
     assert near == set(zip(*map(lambda x: x.tolist(), np.nonzero(d <= 0.02))))
 
 
