@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import written
+from ..sources.versions import Table
 from .graph import first_edges, reached
 from .maintenance import equals_all
 
@@ -27,6 +28,20 @@ def dedup(triples: DataFrame) -> DataFrame:
     return first_edges(keyed, "__subject", "__predicate", "__object").drop("__subject", "__predicate", "__object")
 
 
+def _keyed(triples: DataFrame) -> DataFrame:
+    return insert_ignore(triples).withColumn("key", F.to_json(F.array("subject", "predicate", "object")))
+
+
+def create_store(triples: DataFrame, folder: str, buckets: int = 16) -> Table:
+    """Triples (with seq) as a table of versions: the first of each."""
+    return Table.create(_keyed(triples), folder, "key", buckets)
+
+
+def refresh(store: Table, triples: DataFrame) -> Table:
+    """All triples of the store deleted and these inserted, the first of each, in one commit: no reader sees a part of it."""
+    return store.overwrite(_keyed(triples))
+
+
 def query(triples: DataFrame, most: int = 100, **values: str | None) -> DataFrame:
     return best(triples.where(equals_all(**values)), most)
 
