@@ -214,9 +214,9 @@ def _grouped(fps: DataFrame, distance: int) -> DataFrame:
     named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     members = X.written(named.select("fp", "n", "component").join(names, "component").select("fp", "n", "component_id"))
-    # rows of a fingerprint that very many texts share go to many tasks: at most one such fingerprint for HOT rows
+    # rows of a fingerprint that very many texts share go to many tasks, by their places, which null and repeated ids have too: at most one such fingerprint for HOT rows
     hot = members.where(F.col("n") > HOT).select("fp", F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
-    dealt = fps.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
+    dealt = fps.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("blocks")), F.lit(0)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / HOT) - 1).cast("int")))
     return dealt.drop("blocks").join(members.select("fp", "component_id", copies.alias("salt")), ["fp", "salt"]).drop("salt")
 
