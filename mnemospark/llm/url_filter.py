@@ -93,7 +93,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     # the rows of a URL that very many pages share go to many tasks; there is at most one such URL for HOT rows
     blocks = F.ceil(F.col("n") / HOT).cast("int")
     hot = scored.where(F.col("n") > HOT).select("url", blocks.alias("blocks"))
-    dealt = rows.join(F.broadcast(hot), "url", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("blocks")), F.lit(0)).cast("int"))
+    dealt = rows.join(F.broadcast(hot), "url", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("blocks")), F.lit(0)).cast("int"))
     copies = scored.select("url", "score", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"))
     return dealt.join(copies, ["url", "salt"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", passed).alias("verdict"), F.round("score", 9).alias("score"))
 
