@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for i, r in enumerate(rows):
         fired[i, r[0]] = 1
     given = label >= 0
-    if found:
+    if {0, 1} <= set(label.tolist()):
         model = LabelModel(fired, np.where(given, label, label[given].mean()))
         x = features(model, fired, np.array([r[1] for r in rows]))
         weights = L.logistic(x, model.told)

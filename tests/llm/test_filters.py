@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from mnemospark.llm import _linear, decontaminate, divergence, queries, ranking, toxicity, url_filter
+from mnemospark.llm import _linear, decontaminate, divergence, queries, ranking, simhash, toxicity, url_filter
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string"
@@ -264,3 +264,26 @@ def test_clean_keeps_rows_as_they_are(spark, labels):
     df = spark.createDataFrame(rows, "doc_id long, text string, __id int, score int")
     assert Counter(map(tuple, toxicity.clean(df, labels).collect())) == Counter(rows)
     assert toxicity.clean(df.limit(0), labels).collect() == []
+
+
+def test_labels_count_without_stems(spark):
+    """Labels of both kinds are learnt from though no stem is mined: the fixed voters get their rates from them."""
+    texts = [f"you stupid idiot {k}" if k % 2 else f"a calm day number {k}" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    plain = {r.doc_id: r.score for r in toxicity.classify(docs, labels.limit(0)).collect()}
+    assert scores != plain and min(scores[k] for k in range(1, 40, 2)) > max(scores[k] for k in range(0, 40, 2))
+
+
+def test_hot_rows_without_ids_are_dealt(spark, monkeypatch):
+    """Rows of a hot fingerprint whose ids are null go to many tasks, and to right results."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "HOT", 50)
+    docs = spark.createDataFrame([(None, "one text that all have")] * 600 + [(7, "one text that all have"), (8, "another text altogether here")], "doc_id long, text string")
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == 602 and {(r.doc_id, r.component_id) for r in got} == {(None, 7), (7, 7), (8, 8)}
+    url = spark.createDataFrame([(None, "http://a.com/x")] * 300 + [(1, "http://b.org/es/y")], "page_id long, url string")
+    monkeypatch.setattr(url_filter, "HOT", 50)
+    assert url_filter.judge(url).groupBy(F.col("page_id").isNull()).count().orderBy("count").collect()[1][1] == 300
