@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +52,34 @@ def dbscan(df: DataFrame, dim: int, eps: float, min_samples: int) -> DataFrame:
     return df.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
 
 
-def merge_tiny(df: DataFrame, dim: int, least: int = 6) -> DataFrame:
-    """(id, label): clusters under ``least`` rows join the large one whose centroid is nearest by cosine; without a large one all is noise.
+def merge_tiny(df: DataFrame, dim: int, least: int = 6, block: int = 4096) -> DataFrame:
+    """(id, label): clusters under ``least`` rows join the large one whose centroid is nearest by cosine (to nine places; of equals the least label); without a large one all is noise.
 
-    Centroids are a row per cluster.
+    Centroids meet in blocks of about ``block`` small and large ones, one task each, which keep the best of every small one.
     """
     mean = F.array(*[F.avg(F.get("vector", F.lit(i)).cast("double")) for i in range(dim)])
-    cents = df.where(F.col("label") != -1).groupBy("label").agg(F.count("*").alias("n"), mean.alias("c"))
-    cents = written(cents)
+    cents = written(df.where(F.col("label") != -1).groupBy("label").agg(F.count("*").alias("n"), mean.alias("c")))
     big, tiny = cents.where(F.col("n") >= least), cents.where(F.col("n") < least)
-    if not big.limit(1).count():
+    many, few = big.count(), tiny.count()
+    if not many:
         return df.select("id", F.lit(-1).alias("label"))
-    cosine = V.dot(F.col("c"), F.col("bc")) / F.sqrt(V.dot(F.col("c"), F.col("c")) * V.dot(F.col("bc"), F.col("bc")))
-    to = tiny.join(F.broadcast(big.select(F.col("label").alias("to"), F.col("c").alias("bc")))).groupBy("label").agg(F.max_by("to", F.struct(F.round(cosine, 9), -F.col("to"))).alias("to"))
-    return df.select("id", "label").join(F.broadcast(to), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    kind = dict(df.dtypes)["label"]
+
+    def nearest(t: pa.Table) -> pa.Table:
+        side = t.column("small").to_numpy(zero_copy_only=False)
+        m, label = V._matrix(t.column("c"), dim), t.column("label").to_numpy()
+        unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        order = np.argsort(label[~side], kind="stable")
+        s = np.round(unit[side] @ unit[~side][order].T, 9)
+        at = s.argmax(axis=1) if s.size else np.zeros(0, int)  # the first of equals: labels come in order
+        return pa.table({"label": label[side][: len(at)], "to": label[~side][order][at], "score": s[np.arange(len(at)), at] if s.size else np.zeros(0)})
+
+    place = lambda n: F.pmod(F.xxhash64("label"), F.lit(max(1, -(-n // block)))).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // block)) - 1)))
+    both = tiny.select(place(few).alias("i"), each(many).alias("j"), F.lit(True).alias("small"), "label", "c").union(big.select(each(few).alias("i"), place(many).alias("j"), F.lit(False).alias("small"), "label", "c"))
+    met = both.groupBy("i", "j").applyInArrow(nearest, f"label {kind}, to {kind}, score double")
+    to = met.groupBy("label").agg(F.max_by("to", F.struct("score", -F.col("to"))).alias("to"))
+    return df.select("id", "label").join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
 
 
 def cluster_memories(df: DataFrame, dim: int, min_cluster: int = 6) -> DataFrame:

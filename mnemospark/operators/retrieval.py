@@ -119,14 +119,15 @@ def recall(memories: DataFrame, query_vector: list[float], as_of: float, access:
     """
     if terms and not token_prefilter(memories, terms).limit(1).count():
         memories = memories.limit(0)
-    base = vector_search(memories, query_vector, as_of, 5 * k, base_decay).select("id", F.col("score").alias("base"))
+    base = written(vector_search(memories, query_vector, as_of, 5 * k, base_decay).select("id", F.col("score").alias("base")))
     rows = memories.join(F.broadcast(base), "id").orderBy(F.desc("base"), "id").limit(5 * k)  # only candidates are judged
     for key, value in (where or {}).items():
         rows = rows.where(F.col(key) == value)
     rows = rows.withColumn("clean", T.sanitize(F.col("text")))
     rows = rows.where(~T.has_tags(F.col("clean")) & ~T.verdict(F.col("clean"))["is_flagged"])
     h = hours_since(F.col("timestamp"), as_of, clamp=False)
-    rows = rows.join(access.select(F.col("mem_id").alias("id"), "n"), "id", "left")
+    seen = access.select(F.col("mem_id").alias("id"), "n").join(F.broadcast(base.select("id")), "id", "left_semi")  # of the log, candidates alone are shuffled
+    rows = rows.join(seen, "id", "left")
     importance = F.coalesce(F.col("importance_score"), F.lit(0.0))
     score = F.col("base") * F.exp(-decay * h) + F.when(importance > 0, 0.15 * importance * F.exp(-0.5 * decay * h)).otherwise(0.0) + frequency * F.log1p(F.coalesce("n", F.lit(0)))
     return ranked(rows.select("id", score.alias("score"), h.alias("age_hours")).where(F.col("score") >= threshold), k)

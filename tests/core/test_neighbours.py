@@ -153,3 +153,18 @@ def test_greedy_duplicates_over_blocks(spark, monkeypatch):
     for block in (32, 4096):
         monkeypatch.setattr(maintenance, "neighbours", lambda *a, block=block, **k: whole(*a, block=block, **k))
         assert {r.id: (r.kept, r.duplicate_of) for r in maintenance.semantic_dedup(frame(spark, m), 6, 0.12).collect()} == want
+
+
+def test_small_clusters_merge_over_blocks(spark):
+    rng = np.random.default_rng(5)
+    label = [k for k in range(40) for _ in range(3 if k % 2 else 8)] + [-1] * 5
+    m = rng.normal(size=(40, 4))[label] + rng.normal(size=(len(label), 4)) * 0.1
+    m[[i for i, c in enumerate(label) if c == 4]] = m[[i for i, c in enumerate(label) if c == 2]]
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(m, label))], "id long, vector array<double>, label int")
+    mean = {c: m[np.array(label) == c].mean(axis=0) for c in range(40)}
+    cos = lambda a, b: round(a @ b / np.sqrt((a @ a) * (b @ b)), 9)
+    to = {c: max((b for b in range(0, 40, 2)), key=lambda b: (cos(mean[c], mean[b]), -b)) for c in range(1, 40, 2)}
+    want = {i: to.get(c, c) for i, c in enumerate(label)}
+    for block in (3, 4096):
+        assert {r.id: r.label for r in clustering.merge_tiny(df, 4, 6, block).collect()} == want
+    assert {r.label for r in clustering.merge_tiny(df, 4, 100).collect()} == {-1} and clustering.merge_tiny(df.limit(0), 4).collect() == []
