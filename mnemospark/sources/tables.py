@@ -63,9 +63,10 @@ def active(df: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A page of rows in order of id, with the table's row count on each."""
+    """A page of rows in order of id, with the table's row count on each; past the end one row of nulls, with the count."""
     total = df.agg(F.count("*").alias("total"))
-    return df.orderBy("id").offset(offset).limit(limit).join(F.broadcast(total))
+    rows = df.orderBy("id").offset(offset).limit(limit)
+    return total.join(F.broadcast(rows), F.lit(True), "left").select(*df.columns, "total")
 
 
 def listing(df: DataFrame, limit: int = 10_000) -> DataFrame:

@@ -41,7 +41,7 @@ def test_changes(store):
         store.update_relevance(99, 1)
     after, groups = store.consolidate()
     assert groups.first().summary == "red fox runs; blue dog sleeps; red dog" and after.stats().first().active == 0
-    assert store.prune(86400.0 * 60, max_age_days=30).memories.count() == 0 and store.page(1, 1).first().total == 3
+    assert store.prune(86400.0 * 60, max_age_days=30).memories.count() == 0 and store.page(1, 1).first().total == 3 and [(r.id, r.total) for r in store.page(50, 5).collect()] == [(None, 3)]
 
 
 def test_build_keeps_the_most_certain(spark):
