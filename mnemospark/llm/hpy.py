@@ -97,10 +97,22 @@ def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount
 
 
 def discount_of(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return discount_from(int((counts == 1).sum()), int((counts == 2).sum()))
+
+
+def discount_from(once: int, twice: int) -> float:
+    """The discount of dishes of which so many were ordered once, and twice."""
     return float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
 
 
+def few_orders(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many dishes have one customer, and two, in contexts of two words, and in those of one when each context above has one table."""
+    of, first = _numbered(_mix(_mix(u, v), w))
+    long = np.bincount(of, n, len(first))
+    short = np.bincount(_numbered(_mix(v[first], ~w[first]))[0])
+    return np.array([(c == k).sum() for c in (long, short) for k in (1, 2)])
+
+
 def spelling_model(codes: np.ndarray, counts: np.ndarray, strength: float = 1.0, sweeps: int = 6, kept: int = 3, seed: int = 0) -> np.ndarray:
     """Natural log of the averaged predictive probability of each byte in each context, as a (contexts, 256) table."""
     rng = np.random.default_rng(seed)
@@ -167,14 +179,14 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, first
 
 
-def seat_contexts(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, base: np.ndarray, rng, strength: float = 1.0, burn: int = 3, samples: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def seat_contexts(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, base: np.ndarray, rng, strength: float = 1.0, burn: int = 3, samples: int = 3, discounts: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seats n customers of each word w after (u, v); ``base``: P(w) without context.  All rows of a v must be given.
 
     A chain of ``burn`` sweeps and then one for each of ``samples``, begun with one table a dish; a sweep
     seats contexts of two words by what those of one predict, and then those.
     For each row a and b, so that its predictive probability, averaged over the samples, is a + b * P(w);
     and each distinct w with its tables in the contexts of one word, which are the customers of the restaurant without context.
-    Discounts are estimated from the counts given.
+    ``discounts`` of contexts of two words and of one: else they are estimated from the counts given.
     """
     pair = _mix(u, v)
     of, first = _numbered(_mix(pair, w))
@@ -186,7 +198,7 @@ def seat_contexts(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, ba
     t3 = np.minimum(c3, 1).astype(np.float64)
     c2 = np.bincount(dish, t3, len(at)).astype(np.int64)
     t2 = np.minimum(c2, 1).astype(np.float64)
-    d3, d2 = discount_of(c3), discount_of(c2)
+    d3, d2 = discounts or (discount_of(c3), discount_of(c2))
     full = (strength + np.bincount(long, c3))[long]
     many3 = np.flatnonzero(c3 > 1)
     a, b = np.zeros(len(first)), np.zeros(len(first))
@@ -515,8 +527,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         a, b, sent = np.zeros(len(u), np.uint16), np.zeros(len(u), np.uint16), []
         blocks = _mix(v.astype(np.uint64), np.uint64(1)) % np.uint64(-(-len(v) // BLOCK))
         order = np.argsort(blocks, kind="stable")
-        for k, at in enumerate(np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1)):
-            x, y, *of_words = seat_contexts(*(z[at].astype(np.uint64) for z in (u, v, w)), count[at], from_codes(p[at]), np.random.default_rng([seed, samples, own, k]), strength, burn, samples)
+        parts = np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1)
+        wide = lambda at: (z[at].astype(np.uint64) for z in (u, v, w))
+        # one discount an order for all blocks of the shard
+        few = sum(few_orders(*wide(at), count[at]) for at in parts) if len(parts) > 1 else None
+        discounts = None if few is None else (discount_from(*few[:2]), discount_from(*few[2:]))
+        for k, at in enumerate(parts):
+            x, y, *of_words = seat_contexts(*wide(at), count[at], from_codes(p[at]), np.random.default_rng([seed, samples, own, k]), strength, burn, samples, discounts)
             a[at], b[at] = to_codes(x), to_codes(y)
             sent.append(of_words)
         del u, v, w, count, p

@@ -360,3 +360,28 @@ def test_very_long_texts(spark):
     assert got[1].n_removed == 0 and got[2].n_bytes == len(rows[1][1]) and got[2].n_removed >= len(rows[0][1]) - 50
     assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(df).collect()} == {i: format(plain_fingerprint(b.decode()), "016x") for i, b in rows}
     assert all(math.isfinite(r.score) for r in hpy.score(df).collect())
+
+
+def test_discounts_are_those_of_all_blocks():
+    """Blocks of a shard hold whole contexts, so their counts of rare dishes add up to those of the shard."""
+    rng = np.random.default_rng(3)
+    u, v, w = (rng.integers(0, k, 4000).astype(np.uint64) for k in (40, 30, 50))
+    n = rng.integers(1, 4, 4000)
+    few = sum(hpy.few_orders(u[v % 3 == k], v[v % 3 == k], w[v % 3 == k], n[v % 3 == k]) for k in range(3))
+    long = Counter()
+    for a, b, c, k in zip(u.tolist(), v.tolist(), w.tolist(), n.tolist()):
+        long[a, b, c] += k
+    short = Counter((b, c) for _, b, c in long)
+    assert few.tolist() == [sum(x == k for x in counts.values()) for counts in (long, short) for k in (1, 2)]
+    one = hpy.seat_contexts(u, v, w, n, np.full(4000, 0.02), np.random.default_rng(0))
+    two = hpy.seat_contexts(u, v, w, n, np.full(4000, 0.02), np.random.default_rng(0), discounts=(hpy.discount_from(*few[:2]), hpy.discount_from(*few[2:])))
+    assert all((x == y).all() for x, y in zip(one, two))
+
+
+def test_blocks_share_their_discounts(spark, monkeypatch):
+    """Held-out scores with many blocks a shard are as good as with one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    total = lambda: hpy.score(docs).where("held_out").agg({"score": "sum"}).first()[0]
+    whole = total()
+    monkeypatch.setattr(hpy, "BLOCK", 2000)
+    assert abs(total() - whole) < 0.002 * abs(whole)
