@@ -274,8 +274,9 @@ def neighbours(df: DataFrame, dim: int, k: int | None = None, radius: float | No
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, dim), pa.int32()), pa.array(m.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0), flat], ["id", "v"])
 
-    rows = rows.mapInArrow(unit, "id long, v array<double>") if cosine else rows
-    n = rows.limit(block + 1).count()
+    # written once: what makes the vectors may be dear, and they are read again
+    rows = written(rows.mapInArrow(unit, "id long, v array<double>") if cosine else rows)
+    n = rows.count()
     limit = None if radius is None else -radius if cosine else radius
     if n <= block:
         if k is None:
@@ -284,6 +285,5 @@ def neighbours(df: DataFrame, dim: int, k: int | None = None, radius: float | No
         own = rows.withColumn("place", F.lit(0)).groupBy("place").applyInArrow(_own(k, dim, cosine), "place int, id long, v array<double>, reach double, dst array<long>, score array<double>")
         found = own.select(F.col("id").alias("src"), F.posexplode(F.arrays_zip("dst", "score")).alias("p", "x"))
         return found.select("src", "x.dst", "x.score", (F.col("p") + 1).alias("rank"))
-    rows = written(rows)
-    rows, blocks = placed(rows, dim, rows.count(), block)
+    rows, blocks = placed(rows, dim, n, block)
     return _near(rows, blocks, dim, limit, cosine) if k is None else _nearest(rows, blocks, dim, k, cosine)
