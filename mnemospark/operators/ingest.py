@@ -36,24 +36,23 @@ def chunks_by_type(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_type").agg(F.count("*").alias("n"))
 
 
-def _reason(piece: Column) -> Column:
+def _reason(piece: Column, word: str = C.WORD) -> Column:
     """Why a piece is of no use, or null."""
-    blank = piece.rlike(T.like_python(r"^[^\w]*$"))
-    return F.when(F.length(piece) < 10, "short").when(piece.startswith("```"), "code").when(blank, "marks").when(T.has_tags(piece), "tags")
+    return F.when(F.length(piece) < 10, "short").when(piece.startswith("```"), "code").when(C.marks_only(piece, word), "marks").when(T.has_tags(piece), "tags")
 
 
-def crawl(files: DataFrame, threshold: float = 0.5, most: int = 500) -> tuple[DataFrame, Observation]:
+def crawl(files: DataFrame, threshold: float = 0.5, most: int = 500, word: str = C.WORD) -> tuple[DataFrame, Observation]:
     """(path, chunk_index, total_chunks, modified, chunk) of files (path, text, modified), and counters that are there once the rows have been computed.
 
     Chunks are those of chunking.crawl_chunks that are reliable; their index and total count the unreliable ones too.  The counters come
     with the rows, in one pass: files, chunks, and pieces rejected as short, code, marks, tags or unreliable.  Files
     without text count as files.
     """
-    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), T.like_python(r"\n\s*\n|(?=#+\s)")), T.stripped), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), T.like_python(C.PARAGRAPH)), T.stripped), lambda p: p != "")
     sentences = lambda p: F.filter(F.transform(F.split(p, T.like_python(C.SENTENCE)), T.stripped), lambda x: x != "")
-    long = lambda p: C.useful(p) & (F.length(p) > most)
+    long = lambda p: C.useful(p, word) & (F.length(p) > most)
     rows = files.select("path", "modified", F.flatten(F.transform(parts, lambda p: F.when(long(p), sentences(p)).otherwise(F.array(p)))).alias("pieces"))
-    rows = rows.select("path", "modified", F.transform("pieces", lambda p: F.struct(p.alias("chunk"), _reason(p).alias("reason"))).alias("pieces"))
+    rows = rows.select("path", "modified", F.transform("pieces", lambda p: F.struct(p.alias("chunk"), _reason(p, word).alias("reason"))).alias("pieces"))
     kept = F.transform(F.filter("pieces", lambda p: p["reason"].isNull()), lambda p: p["chunk"])
     count = lambda why: F.size(F.filter("pieces", lambda p: p["reason"] == why)).cast("long").alias(why)
     reasons = ("short", "code", "marks", "tags")

@@ -199,3 +199,29 @@ print(sorted(r[0] for r in df.select(T.verdict(F.col("text"))["is_flagged"]).col
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.stdout.strip().endswith("[False, True] 1 2 2 1"), done.stderr[-3000:]
+
+
+MARKS = "Words enough for one.###\n\n# Heading of this part.\nSome more.\n## Another heading here\n\nThe last one of them. ### \n \nIts end is this."
+
+
+def test_marks_before_a_blank_line_are_text(spark):
+    """The SQL of crawl_chunks and useful_chunks looks for headings when blank lines are gone; marks before one head nothing."""
+    want = ["Words enough for one.###", "# Heading of this part.\nSome more.", "# Another heading here", "The last one of them.", "Its end is this."]
+    df = spark.createDataFrame([("a", MARKS)], "id string, text string")
+    assert [r.chunk for r in chunking.crawl_chunks(df).orderBy("chunk_index").collect()] == want
+
+
+def test_crawl_splits_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from mnemospark.plans import ORACLES, QUERIES
+
+    pad = " word" * 96  # over 500 characters with the marks, under without
+    rows = [(0, MARKS, "s"), (1, pad + " sentence of the end.#############\n\n# Heading", "s"), (5, MARKS + "###", "s"), (25, None, "s"), (6, "Ê Ê Ê Ê Ê Ê Ê\n\nNaïve words of ours. " + "é " * 300 + ". Ends so here.", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("crawl_chunks", "useful_chunks", "crawl_ingest", "crawl_counters"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.sql(ORACLES[name]).project(",".join(f'"{c}"' for c in got.columns)).fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want), name
