@@ -33,6 +33,8 @@ from ..sources import versions
 #: Documents of a block, folders of terms, blocks that are scored first, and lines of bounds that the driver takes.
 BLOCK, BUCKETS, FIRST, NAMED = 1024, 64, 32, 2000
 ROW_GROUP = 1 << 20
+#: Postings that one task sorts, and writes as blocks.
+SHARE = 1 << 20
 COUNTS = "id long, len long, terms array<struct<term: string, tf: int>>"
 POSTINGS = "term string, block long, n int, top int, least long, ids array<long>, tf array<int>, lens array<long>, bucket int"
 
@@ -121,7 +123,7 @@ class KeywordIndex:
         """With the segment whose counts are written."""
         c, path = self.content, f"{self.folder}/segments/{name}"
         rows = self.spark.read.schema(COUNTS).parquet(f"{path}/counts")
-        n, ids, total = rows.agg(F.count("*"), F.count_distinct("id"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        n, ids, total, postings = rows.agg(F.count("*"), F.count_distinct("id"), F.coalesce(F.sum("len"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
         if n != ids:
             raise ValueError(f"{n - ids} rows have a null id or one that another row has")
         if not n:
@@ -141,8 +143,9 @@ class KeywordIndex:
         each.select("id", "len", "block").write.parquet(f"{path}/docs")
         posts = each.select("id", "len", "block", F.explode("terms").alias("t"))
         posts = posts.select(F.pmod(F.crc32("t.term"), F.lit(c["buckets"])).cast("int").alias("bucket"), "t.term", "block", "id", "t.tf", "len")
-        # one shuffle and sort; a term's blocks lie side by side, so a scan skips the row groups of other terms
-        posts = posts.repartition(c["buckets"], "bucket").sortWithinPartitions("bucket", "term", "block", "id").mapInArrow(_blocks, POSTINGS)
+        # one shuffle and sort; a term's blocks lie side by side, so a scan skips the row groups of other terms.  Ranges, not
+        # buckets, are the tasks: their number grows with the postings, and a frequent term's blocks are dealt to several
+        posts = posts.repartitionByRange(max(1, -(-postings // SHARE)), "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block", "id").mapInArrow(_blocks, POSTINGS)
         posts.write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
         base = self._without(rows.select("id")) if c["segments"] else self
         c = base.content

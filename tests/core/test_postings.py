@@ -116,3 +116,18 @@ def test_hybrid_search_takes_an_index(spark, tmp_path):
     index = postings.KeywordIndex.create(m, str(tmp_path / "i"))
     one, two = (retrieval.hybrid_search(m, X.query_vector(spark, sf), list(X.TERMS), X.AS_OF, index=i).select("rank", "id", F.round("score", 9).alias("s")).collect() for i in (None, index))
     assert one == two and one
+
+
+def test_tasks_that_make_postings_are_bounded(spark, tmp_path, monkeypatch):
+    """Of one bucket and a word in every text: shares, not buckets, are the tasks, and no term's block is in two of them."""
+    monkeypatch.setattr(postings, "SHARE", 500, raising=False)
+    df = texts(spark, 400, 5).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" common")))
+    index = postings.KeywordIndex.create(df, str(tmp_path / "i"), block=16, buckets=1)
+    rows = index._segments("postings", postings.POSTINGS).select("term", "block", "n", F.input_file_name().alias("file"))
+    held = [r["n"] for r in rows.groupBy("file").agg(F.sum("n").alias("n")).collect()]
+    assert len(held) > 4 and max(held) < 1500
+    assert rows.count() == rows.select("term", "block").distinct().count()
+    live = [(r.id, r.text) for r in df.collect()]
+    want = brute(live, ["common", "redis"], "and")
+    got = [(r.id, round(r.score, 9)) for r in index.search(["common", "redis"], 20).collect()]
+    assert got == [(i, round(s, 9)) for i, s in sorted(want, key=lambda x: (-x[1], x[0]))[:20]]
