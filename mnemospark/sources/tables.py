@@ -70,8 +70,13 @@ def page(df: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def listing(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(id, text, source_file): rows in order of id, null texts as empty."""
-    return df.select("id", F.coalesce("text", F.lit("")).alias("text"), "source_file").orderBy("id").limit(limit)
+    """(id, text, source_file): rows in order of id, null texts as empty.
+
+    The last id of the list is found over ids alone, so the task that sorts the list gets no other rows' texts.
+    """
+    last = df.select("id").orderBy("id").limit(limit).agg(F.max("id")).scalar()
+    rows = df.where(F.col("id").isNull() | (F.col("id") <= last))
+    return rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "source_file").orderBy("id").limit(limit)
 
 
 def wanted_path(path, excluded=EXCLUDED, suffix: str | None = ".md"):
