@@ -168,3 +168,16 @@ def test_small_clusters_merge_over_blocks(spark):
     for block in (3, 4096):
         assert {r.id: r.label for r in clustering.merge_tiny(df, 4, 6, block).collect()} == want
     assert {r.label for r in clustering.merge_tiny(df, 4, 100).collect()} == {-1} and clustering.merge_tiny(df.limit(0), 4).collect() == []
+
+
+def test_rows_go_once_to_a_group_of_blocks(spark):
+    """Groups hold neighbouring blocks up to a number of rows, and a row is sent to a group, not to its blocks."""
+    m = data("even", 2000)
+    out, blocks = neighbours.placed(frame(spark, m).select("id", F.col("vector").alias("v")), 6, len(m), 32)
+    n, groups = len(blocks.cell), blocks.group.max() + 1
+    rows = np.bincount([r.place for r in out.collect()], minlength=n)
+    assert n > 60 and groups <= n / 3
+    assert len(set(zip(blocks.group.tolist(), blocks.slot.tolist()))) == n and blocks.slot.max() < 62
+    assert np.bincount(blocks.group, rows).max() <= 2 * 32 * neighbours.GROUP
+    x, group, bits = blocks.calls(np.ones((3, n), bool), np.arange(n))
+    assert len(x) == 3 * groups and sum(int(b).bit_count() for b in bits.tolist()) == 3 * n
