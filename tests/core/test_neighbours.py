@@ -1,10 +1,13 @@
 """Neighbour joins against brute force, and how much of the work bounds save."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.operators import clustering, graph, maintenance, neighbours
+from mnemospark.sources import tables
 
 
 def frame(spark, m, ids=None):
@@ -155,6 +158,68 @@ def test_greedy_duplicates_over_blocks(spark, monkeypatch):
         assert {r.id: (r.kept, r.duplicate_of) for r in maintenance.semantic_dedup(frame(spark, m), 6, 0.12).collect()} == want
 
 
+def greedy(m, limit):
+    near, kept, want = scores(m, False), [], {}
+    for i in range(len(m)):
+        close = [j for j in kept if near[i, j] < limit]
+        want[i] = (not close, min(close, key=lambda j: (near[i, j], j)) if close else None)
+        kept += [] if close else [i]
+    return want
+
+
+@pytest.mark.parametrize("kind,limit", [("even", 2.0), ("even", 6.0), ("clustered", 0.12), ("copies", 2.5), ("copies", 4.5), ("zeros", 3.0), ("mixed", 3.0)])
+@pytest.mark.parametrize("held", [1 << 23, 600])
+def test_greedy_duplicates_by_passes_and_pairs(spark, monkeypatch, kind, limit, held):
+    """Passes alone, pairs after passes, and rows of passes that are nearest to a row kept by pairs, in several parts."""
+    m = data(kind)
+    if kind == "mixed":  # the first pass settles a half; of those rows some have what is kept later for their nearest
+        m[:200:2] = m[0] + np.random.default_rng(1).normal(size=(100, 6)) * 0.4
+        m[200:] = m[200:] * 2
+        m[300:340] = m[0] + np.random.default_rng(2).normal(size=(40, 6)) * 0.8
+    whole, calls, parts = neighbours.neighbours, [], []
+    monkeypatch.setattr(maintenance, "neighbours", lambda *a, **k: calls.append(1) or whole(*a, block=32, **k))
+    nearer = maintenance._nearer
+    monkeypatch.setattr(maintenance, "_nearer", lambda *a: parts.append(1) or nearer(*a))
+    monkeypatch.setattr(maintenance, "PREFIX", 32)
+    monkeypatch.setattr(maintenance, "HELD", held)
+    assert {r.id: (r.kept, r.duplicate_of) for r in maintenance.semantic_dedup(frame(spark, m), 6, limit).collect()} == greedy(m, limit)
+    assert len(calls) == len(parts) and {("even", 2.0): len(calls) == 1, ("even", 6.0): not calls}.get((kind, limit), True)
+
+
+def test_rows_kept_late_may_be_nearest(spark, monkeypatch):
+    """A row that a pass settles has its nearest among rows kept by pairs; what is within half the limit's root is not asked."""
+    monkeypatch.setattr(maintenance, "PREFIX", 1)
+    monkeypatch.setattr(maintenance, "HELD", 4)
+    m = np.array([[0.0, 0], [5.0, 0], [6.1, 0], [0.9, 0], [5.55, 0], [5.2, 0], [5.8, 0], [9.0, 0]])
+    assert {r.id: (r.kept, r.duplicate_of) for r in maintenance.semantic_dedup(frame(spark, m), 2, 1.0).collect()} == greedy(m, 1.0)
+
+
+def test_many_close_pairs_are_not_written(spark):
+    """Greedy duplicates of 6000 rows, a third of them copies: what is written is some times the table, not its close pairs."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(6000, 6))
+    m[::3] = m[0]
+    df = frame(spark, m)
+    first = len(tables.MADE)
+    got = {r.id: (r.kept, r.duplicate_of) for r in maintenance.semantic_dedup(df, 6, 4.0).collect()}
+    made = sum(os.path.getsize(os.path.join(d, f)) for top in tables.MADE[first:] for d, _, names in os.walk(top.removeprefix("file://")) for f in names)
+    assert made < 4 * m.nbytes
+    kept = [i for i in range(len(m)) if got[i][0]]
+    assert 20 < len(kept) < 3000 and got[3] == (False, 0) and {i: v for i, v in got.items() if i < 500} == greedy(m[:500], 4.0)
+
+
+def test_greedy_duplicates_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(maintenance, "PREFIX", 2)
+    rows = [(1, [0.0, 1.0]), (None, [0.0, 1.0]), (3, None), (4, [1.0]), (-5, [0.0, 1.1]), (6, [float("nan"), 1.0]), (7, [0.1, 1.0]), (8, [0.0, 1.04])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = sorted(map(tuple, maintenance.semantic_dedup(df, 2, 0.05).collect()), key=str)
+    assert got == sorted([(-5, True, None), (1, False, -5), (None, True, None), (3, True, None), (4, True, None), (6, True, None), (7, False, -5), (8, False, -5)], key=str)
+    assert all(r.kept for r in maintenance.semantic_dedup(df, 2, 0.0).collect())
+    assert maintenance.semantic_dedup(df.limit(0), 2).collect() == []
+    twice = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.1]), (2, [9.0, 1.0]), (3, [9.0, 1.1])], "id long, vector array<double>")
+    assert sorted(map(tuple, maintenance.semantic_dedup(twice, 2, 0.05).collect())) == [(1, True, None), (2, False, 1), (2, False, 1), (3, True, None)]
+
+
 def test_small_clusters_merge_over_blocks(spark):
     rng = np.random.default_rng(5)
     label = [k for k in range(40) for _ in range(3 if k % 2 else 8)] + [-1] * 5

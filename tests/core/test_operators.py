@@ -401,3 +401,36 @@ def test_texts_are_split_in_slices(spark, monkeypatch):
 
     C._split(Rows(), lambda t: [(t, "")])
     assert sum(sizes) == 1000 and max(sizes) <= 256
+
+
+def test_memories_leave_out_other_texts_before_the_join(spark, tmp_path):
+    """Texts and events outside of the vectors' ids are filtered where they are read; the rows are those of the plain join."""
+    from mnemospark.plans import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    for t in ("documents", "events"):
+        fixtures.read(spark, sf, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    e = fixtures.read(spark, sf, "embeddings")
+    for rows, want in ((e.where("vec_id between 40 and 60 and vec_id <> 50"), {*range(40, 61)} - {50}), (e.where("vec_id >= 190"), {*range(190, 200)}), (e.limit(0), set())):
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+        got = fixtures.memories(spark, str(tmp_path))
+        assert {r.id for r in got.select("id").collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(any(c in line and "scalar-subquery" in line for line in plan.splitlines() if "Filter" in line) for c in ("doc_id", "event_id"))
+
+
+def test_add_decision_writes_no_texts(spark):
+    """The longest texts only leave their hashes; equal and null texts, rejected rows and near vectors get what they got."""
+    import os
+
+    from mnemospark.sources import tables
+
+    long = "a sentence about the weather in march. " * 4
+    salt = lambda i: "".join(chr(97 + int(x)) for x in np.random.default_rng(i).integers(0, 26, 20_000))
+    rows = [(1, long + salt(1), [0.0, 1.0]), (2, long + salt(1), [5.0, 5.0]), (3, None, [9.0, 9.0]), (4, None, [7.0, 7.0]), (5, long + salt(5), [0.0, 1.1]), (6, "x", [1.0]), (7, "This is broken <result>x</result>", [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "id long, text string, vector array<double>")
+    first = len(tables.MADE)
+    got = sorted(map(tuple, maintenance.add_decision(df, 2, 0.05).collect()))
+    assert got == [(1, 1, "added"), (2, 1, "exact"), (3, 3, "added"), (4, 4, "added"), (5, 1, "semantic"), (6, -1, "dimension"), (7, -1, "unreliable")]
+    made = sum(os.path.getsize(os.path.join(d, f)) for top in tables.MADE[first:] for d, _, names in os.walk(top.removeprefix("file://")) for f in names)
+    assert made < 30_000
